@@ -153,3 +153,211 @@ WHERE channel_id IS NOT NULL"""),
   initialBid, reserve, A.dateTime AS auction_dateTime, expires, seller, category, A.extra AS auction_extra
 FROM bid B JOIN person P ON P.id = B.bidder JOIN auction A ON A.seller = B.bidder"""),
     }
+
+
+# ---- generator: the event table's ids are the event numbers; group size 7, delay probability 0.1
+
+PRIME = 2147483647
+
+
+def _draw(number: str, slot: int) -> str:
+    start = slot * 1099087573 % PRIME
+    mixed = f"(({number} % {PRIME} * 48271 + {number} // {PRIME} * 69621 + {start}) % {PRIME})"
+    return f"(xor({mixed}, {mixed} >> 15) * 1583458089 % {PRIME})"
+
+
+def _draws(number: str, slots, prefix: str = "d") -> str:
+    return ", ".join(f"{_draw(number, s)} AS {prefix}{s}" for s in slots)
+
+
+def _filler(length: int, separator: str = "") -> str:
+    state, letters = 12345, []
+    for _ in range(length):
+        state = (state * 1103515245 + 12345) % 2147483648
+        value = state // 256
+        letters.append(separator if separator and value % 13 == 0 else chr(97 + value // 13 % 26))
+    return "".join(letters)
+
+
+def _text(draws: list[str], limit: int, separator: str = " ") -> str:
+    pool = _filler(2048, separator)
+    pieces = " || ".join(f"substr('{pool}', 1 + {d} % 2032, 16)" for d in draws[1:])
+    return f"trim(substr({pieces}, 1, 3 + {draws[0]} % {limit - 3}))"
+
+
+def _pick(values: str, draw: str) -> str:
+    items = ", ".join(f"'{v}'" for v in values.split(","))
+    return f"([{items}])[{draw} % {len(values.split(','))} + 1]"
+
+
+def _price(draw: str) -> str:
+    return f"CAST(round(pow(10e0, {draw} / {PRIME}e0 * 6e0) * 100e0) AS BIGINT)"
+
+
+def _extra(average: int, size_draw: str, start_draw: str) -> str:
+    pool = _filler(max(2048, 4 * average))
+    delta = "CAST(round(rest * 0.2e0) AS BIGINT)"
+    size = f"rest - {delta} + CASE WHEN {delta} = 0 THEN 0 ELSE {size_draw} % greatest(2 * {delta}, 1) END"
+    return f"CASE WHEN rest < 0 THEN '' ELSE substr('{pool}', 1 + {start_draw} % {len(pool) - 2 * average}, {size}) END"
+
+
+def _identity(number: str = "event_id + 1", group: int = 7) -> str:
+    return f"""ids AS (SELECT event_id AS k, {number} AS n, n - n % {group} + n * 953 % {group} AS adjusted,
+    1 + adjusted AS id, id // 50 AS epoch, id % 50 AS rest_id, 1700000000000 + adjusted * 100 // 1000 AS millis,
+    CASE WHEN rest_id < 1 THEN 0 WHEN rest_id < 4 THEN 1 ELSE 2 END AS kind, epoch AS last_person,
+    CASE WHEN rest_id < 1 THEN epoch * 3 - 1 ELSE epoch * 3 + least(rest_id - 1, 2) END AS last_auction,
+    make_timestamp(millis * 1000) AS dateTime,
+    make_timestamp((1700000000000 + (n - n % {group}) * 100 // 1000) * 1000) AS lowWaterMark,
+    make_timestamp((1700000000000 + n * 100 // 1000 + CASE WHEN kind > 0 AND {_draw('id', 30)} / {PRIME}e0 < 0.1e0
+      THEN 60000 + {_draw('id', 31)} % 180001 ELSE 0 END) * 1000) AS arrival
+  FROM events)"""
+
+
+def _any_person(draw: str) -> str:
+    active = "least(last_person + 1, 1000)"
+    return f"last_person + 1 - {active} + {draw} % ({active} + 10)"
+
+
+def _generated() -> dict[str, str]:
+    text = {
+        "mail": _text(["d3", "d4"], 7), "host": _text(["d5", "d6"], 5),
+        "item": _text(["d1", "d2", "d3"], 20), "description": _text([f"d{i}" for i in range(5, 13)], 100),
+    }
+    card = " || ' ' || ".join(f"lpad(CAST(d{i} % 10000 AS VARCHAR), 4, '0')" for i in range(7, 11))
+    person = (
+        f"drawn AS (SELECT *, {_draws('id', range(1, 15))} FROM ids WHERE kind = 0)",
+        f"""made AS (SELECT *, 1000 + last_person AS person_id,
+    {_pick('Peter,Paul,Luke,John,Saul,Vicky,Kate,Julie,Sarah,Deiter,Walter', 'd1')} || ' ' ||
+      {_pick('Shultz,Abrams,Spencer,White,Bartels,Walton,Smith,Jones,Noris', 'd2')} AS name,
+    {text['mail']} || '@' || {text['host']} || '.com' AS emailAddress, {card} AS creditCard,
+    {_pick('Phoenix,Los Angeles,San Francisco,Boise,Portland,Bend,Redmond,Seattle,Kent,Cheyenne', 'd11')} AS city,
+    {_pick('AZ,CA,ID,OR,WA,WY', 'd12')} AS state FROM drawn)""",
+        """sized AS (SELECT *, 192 - length(name) - length(emailAddress) - length(creditCard) - length(city)
+    - length(state) AS rest FROM made)""",
+        f"""person AS (SELECT person_id AS id, name, emailAddress, creditCard, city, state, dateTime,
+    {_extra(200, 'd13', 'd14')} AS extra FROM sized)""",
+    )
+    horizon = "((adjusted + 1666) * 100 // 1000 - adjusted * 100 // 1000)"
+    auction = (
+        f"drawn AS (SELECT *, {_draws('id', range(1, 24))} FROM ids WHERE kind = 1)",
+        f"""made AS (SELECT *, 1000 + last_auction AS auction_id, {text['item']} AS itemName,
+    {text['description']} AS description, {_price('d16')} AS initialBid FROM drawn)""",
+        "sized AS (SELECT *, 452 - length(itemName) - length(description) AS rest FROM made)",
+        f"""auction AS (SELECT auction_id AS id, itemName, description, initialBid,
+    initialBid + {_price('d17')} AS reserve, dateTime,
+    make_timestamp((millis + 1 + d18 % greatest(2 * {horizon}, 1)) * 1000) AS expires,
+    1000 + CASE WHEN d19 % 4 > 0 THEN last_person - last_person % 100 ELSE {_any_person('d20')} END AS seller,
+    10 + d21 % 5 AS category, {_extra(500, 'd22', 'd23')} AS extra FROM sized)""",
+    )
+    oldest = "greatest(last_auction - 100, 0)"
+    dirs = " || '/' || ".join(_text([f"c{s}", f"c{s + 1}"], 5, "_") for s in (50, 52, 54))
+    bid = (
+        f"""drawn AS (SELECT *, {_draws('id', range(1, 11))},
+    CASE WHEN d6 % 2 > 0 THEN 10000 + d7 % 4 ELSE d8 % 10000 END AS nr FROM ids WHERE kind = 2)""",
+        f"made AS (SELECT *, {_draws('nr', range(50, 58), 'c')}, 68 AS rest FROM drawn)",
+        f"""bid AS (SELECT id,
+    1000 + CASE WHEN d1 % 2 > 0 THEN last_auction - last_auction % 100
+      ELSE {oldest} + d2 % (last_auction - {oldest} + 11) END AS auction,
+    2000 + CASE WHEN d3 % 4 > 0 THEN last_person - last_person % 100 + 1 ELSE {_any_person('d4')} END AS bidder,
+    {_price('d5')} AS price,
+    CASE WHEN nr < 10000 THEN 'channel-' || nr ELSE {_pick('Google,Facebook,Baidu,Apple', 'nr')} END AS channel,
+    'https://www.example.com/' || {dirs} || '/item.htm?query=1' ||
+      CASE WHEN nr < 10000 AND c56 % 10 > 0 THEN '&channel_id=' || c57 ELSE '' END AS url,
+    dateTime, {_extra(100, 'd9', 'd10')} AS extra FROM made)""",
+    )
+    ids = _identity()
+    line = "((SELECT count(*) FROM events) // 4)"
+    renamed = [part.replace("drawn", "b_drawn").replace("FROM made", "FROM b_made").replace("made AS", "b_made AS") for part in bid]
+    typed_bid = "SELECT id, auction, bidder, price, dateTime FROM bid"
+    return {
+        "gen_identity": f"WITH {ids} SELECT k, id, kind AS event_type, last_person, last_auction, dateTime, lowWaterMark, arrival FROM ids",
+        "gen_split": f"""WITH lines AS (SELECT event_id AS k, least(event_id // {line}, 3) * {line} AS skipped FROM events)
+SELECT k, 1 + skipped + k - skipped + 1 AS id,
+  make_timestamp((1700000000000 + (k - skipped + 1) * 400 // 1000) * 1000) AS dateTime FROM lines""",
+        "gen_person": f"WITH {', '.join((ids, *person))} SELECT * FROM person",
+        "gen_auction": f"WITH {', '.join((ids, *auction))} SELECT * FROM auction",
+        "gen_bid": f"WITH {', '.join((ids, *bid))} SELECT * FROM bid",
+        "src_typed": f"WITH {', '.join((ids, *person))} SELECT * FROM person",
+        "src_typed_bidmod": f"WITH {', '.join((ids, *bid))} {typed_bid}",
+        "src_v2": f"WITH {', '.join((ids, *bid))} {typed_bid}",
+        "src_union": f"""WITH {', '.join((ids, *renamed))}
+SELECT kind AS event_type, CASE WHEN kind = 0 THEN 1000 + last_person END AS person_id,
+  CASE WHEN kind = 1 THEN 1000 + last_auction END AS auction_id, bid.auction AS bid_auction,
+  bid.bidder AS bid_bidder, bid.price AS bid_price, ids.dateTime, arrival, lowWaterMark
+FROM ids LEFT JOIN bid ON ids.kind = 2 AND ids.id = bid.id""",
+    }
+
+
+def _heads(bid: str, bid_name: str) -> str:
+    cut = "date_trunc('milliseconds', dateTime)" if bid_name == "topic" else "dateTime"
+    return f"""SELECT 'person' AS entity, id, dateTime, extra FROM person UNION ALL
+SELECT 'auction' AS entity, id, dateTime, extra FROM auction UNION ALL
+SELECT '{bid_name}' AS entity, {bid} AS id, {cut} AS dateTime, extra FROM bid"""
+
+
+def sources(relational: dict[str, str]) -> dict[str, str]:
+    everything, cut = "person auction bid", "date_trunc('milliseconds', dateTime) AS dateTime"
+    return _generated() | {
+        "src_views": _with(everything, _heads("auction", "bid")),
+        "src_views_u": _with(everything, _heads("id", "bid_modified")),
+        "snk_multi": _with(everything, _heads("auction", "bid")),
+        "src_kafka": _with("bid", f"SELECT auction, bidder, price, channel, url, {cut}, extra FROM bid"),
+        "src_upsert": _with("bid", f"SELECT id, auction, bidder, price, channel, url, {cut}, extra FROM bid"),
+        "snk_upsert": _with("bid", """SELECT id, bidder, price FROM (SELECT *, row_number() OVER (PARTITION BY bidder
+  ORDER BY id DESC) AS rn FROM bid) WHERE rn = 1"""),
+        "snk_kafka": _with(everything, """SELECT 0 AS partition, NULL AS seller, NULL AS price FROM person UNION ALL
+SELECT 1, seller, NULL FROM auction UNION ALL SELECT 2, NULL, price FROM bid"""),
+        "snk_null": _with("bid", "SELECT count(*) AS written FROM bid"),
+        "snk_part": _with("bid", f"""SELECT auction, bidder, price, {cut}, extra,
+  strftime(bid.dateTime, '%Y-%m-%d') AS dt, strftime(bid.dateTime, '%H:00') AS hm FROM bid"""),
+        "src_csv": relational["q13"],
+        "src_side": _with("bid", """SELECT range AS key, CAST(range AS VARCHAR) AS value FROM range(10000)
+WHERE range IN (SELECT auction % 10000 FROM bid)"""),
+    }
+
+
+def streams(relational: dict[str, str], tumble: str, day: str, size: str, slide: str, copies: int, gap: str) -> dict[str, str]:
+    """Append mode shows the windows that the final watermark has closed; the rest equals the batch form."""
+    closed = "endtime <= (SELECT max(dateTime) FROM bid) - INTERVAL '4 seconds'"
+    hops = hop_rows(size, slide, copies)
+    start = bucket(tumble)
+    both = """least((SELECT max(dateTime) FROM bid), (SELECT max(dateTime) FROM auction)) - INTERVAL '4 seconds'"""
+    counts = "counts AS (SELECT auction, starttime, endtime, count(*) AS num FROM hops GROUP BY ALL)"
+    windows = f"SELECT {start} AS starttime, {start} + INTERVAL '{tumble}' AS endtime"
+    closed_counts = _with("bid", f"SELECT * FROM ({windows}, count(*) AS bid_count FROM bid GROUP BY 1, 2) WHERE {closed}")
+    same = {
+        "st_join": "q20", "st_join_q3": "q3", "st_join_q23": "q23", "st_lookup": "q13", "st_upd_agg": "q17",
+        "st_upd_agg_q15": "q15", "st_upd_agg_q16": "q16", "st_dedup_last": "q18", "st_topn": "q19",
+        "st_join_agg": "q4", "st_procwin": "q12",
+    }
+    return {name: relational[query] for name, query in same.items()} | {
+        "st_wm": closed_counts,
+        "st_resume": closed_counts,
+        "st_tumble": _with("bid", f"SELECT * FROM ({windows}, max(price) AS maxprice FROM bid GROUP BY 1, 2) WHERE {closed}"),
+        "st_hop": _with("bid", f"SELECT * FROM counts WHERE {closed}", (hops, counts)),
+        "st_session": _with("bid", f"""SELECT * FROM (SELECT bidder, count(*) AS bid_count, min(dateTime) AS starttime,
+  max(dateTime) + INTERVAL '{gap}' AS endtime FROM numbered GROUP BY bidder, nr) WHERE {closed}""", session_rows(gap)),
+        "st_chain": _with("bid", f"""SELECT C.auction, C.num, C.starttime, C.endtime FROM counts C JOIN
+  (SELECT endtime AS e, max(num) AS maxn FROM counts GROUP BY endtime) M ON C.endtime = M.e AND C.num >= M.maxn
+WHERE {closed}""", (hops, counts)),
+        "st_wjoin": _with("bid", f"""SELECT B.auction, B.price, B.bidder, B.dateTime, B.extra FROM bid B JOIN (
+  SELECT * FROM (SELECT max(price) AS maxprice, {start} + INTERVAL '{tumble}' AS endtime FROM bid GROUP BY endtime)
+  WHERE {closed}) M ON B.price = M.maxprice AND B.dateTime BETWEEN M.endtime - INTERVAL '{tumble}' AND M.endtime"""),
+        "st_wjoin_q8": _with("person auction", f"""SELECT P.id, P.name, P.stime FROM
+  (SELECT DISTINCT id, name, {bucket(day)} AS stime FROM person) P JOIN
+  (SELECT DISTINCT seller, {bucket(day)} AS stime FROM auction) A ON P.id = A.seller AND P.stime = A.stime
+WHERE P.stime + INTERVAL '{day}' <= least((SELECT max(dateTime) FROM person), (SELECT max(dateTime) FROM auction))
+  - INTERVAL '4 seconds'"""),
+        "st_ijoin": _with("auction bid", """SELECT A.id, category, bidder, price, B.dateTime AS bid_dateTime
+FROM auction A JOIN bid B ON A.id = B.auction AND B.dateTime BETWEEN A.dateTime AND A.expires"""),
+        "st_final": _with("auction bid", f"""SELECT id, seller, expires, bidder, price, bid_dateTime FROM winners
+WHERE expires <= {both} - INTERVAL '10 days'""", (WINNERS,)),
+        "st_unique": _with("bid", "SELECT id, auction, price, dateTime FROM bid"),
+        "st_late": _with("bid", f"""SELECT * FROM ({windows}, count(*) AS bid_count FROM arrived JOIN marks USING (part)
+WHERE {start} + INTERVAL '{tumble}' > coalesce(late_mark, TIMESTAMP '1970-01-01') GROUP BY 1, 2) WHERE {closed}""", (
+            f"""arrived AS (SELECT *, {bucket('5 days', "dateTime + to_days(CAST(CASE WHEN id % 10 = 0 THEN id % 8 ELSE 0 END AS INT))")} AS part
+  FROM bid)""",
+            """marks AS (SELECT part, lag(mark) OVER (ORDER BY part) AS late_mark FROM (SELECT part,
+    max(max(dateTime)) OVER (ORDER BY part) - INTERVAL '4 seconds' AS mark FROM arrived GROUP BY part))""",
+        )),
+    }

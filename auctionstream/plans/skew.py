@@ -27,14 +27,15 @@ DEFAULT = Skew()
 
 
 def may_be_hot(df: DataFrame, skew: Skew) -> bool:
-    """Whether Catalyst's size estimate leaves room for a hot key. Reads no data."""
+    """Whether the tables below leave room for a hot key, by Catalyst's size estimates. Reads no data."""
     if df.isStreaming:
         return False
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     except AttributeError:  # a remote session does not show its plans
         return True
-    return size >= skew.small_bytes
+    return sum(sizes) >= skew.small_bytes
 
 
 def hot_keys(df: DataFrame, keys: list[str], skew: Skew, *extra: Column) -> DataFrame:

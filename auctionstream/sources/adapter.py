@@ -84,11 +84,11 @@ def bid(spark: SparkSession, folder: str) -> DataFrame:
 def stream_of(spark: SparkSession, folder: str, entity: str, max_files: int = 1000) -> DataFrame:
     """The same view as a stream. Event times become TIMESTAMP, which watermarks need."""
     name = ENTITY_TABLE[entity]
-    path = f"{folder}/{name}.parquet"
+    # A pattern, as a stream takes no path of a single file.
     raw = (
-        spark.readStream.schema(spark.read.parquet(path).schema)
+        spark.readStream.schema(table(spark, folder, name).schema)
         .option("maxFilesPerTrigger", max_files)
-        .parquet(path)
+        .parquet(f"{folder}/{name}.parque[t]")
     )
     if entity == "person":
         rows = person_from(raw, table(spark, folder, "nation"))
