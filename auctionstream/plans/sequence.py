@@ -2,16 +2,19 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from auctionstream.functions.scalar import interval
 from auctionstream.plans.skew import Skew, hot_keys
 
 CHUNK = "__chunk"
 
 
-def with_chunks(df: DataFrame, keys: list[str], ts: str, skew: Skew) -> DataFrame:
+def with_chunks(
+    df: DataFrame, keys: list[str], ts: str, skew: Skew, min_length: str | None = None
+) -> DataFrame:
     """Add ``__chunk``: null for ordinary keys, the number of the time slice for hot keys.
 
-    Slices of one key have equal length in time, about one per ``rows_per_task`` rows. Rows of one
-    key and one instant stay together.
+    Slices of one key have equal length in time, about one per ``rows_per_task`` rows, but no shorter
+    than ``min_length``. Rows of one key and one instant stay together.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     hot = hot_keys(
@@ -19,6 +22,9 @@ def with_chunks(df: DataFrame, keys: list[str], ts: str, skew: Skew) -> DataFram
     ).withColumnsRenamed({k: f"__hot_{k}" for k in keys})
     on = [F.col(k) == F.col(f"__hot_{k}") for k in keys]
     length = F.ceil((F.col("__to") - F.col("__from") + 1) / F.col("__pieces"))
+    if min_length:
+        shortest = F.unix_micros(F.timestamp_seconds(F.lit(0)) + interval(min_length))
+        length = F.greatest(length, shortest)
     chunk = F.floor((micros - F.col("__from")) / length).cast("int")
     return (
         df.join(F.broadcast(hot), on, "left")
