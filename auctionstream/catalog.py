@@ -4,7 +4,7 @@ sinks and streams. Every function takes (spark, folder) and returns a DataFrame.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auctionstream import schemas
-from auctionstream.operators import joins, projections
+from auctionstream.operators import joins, match, patterns, projections
 from auctionstream.session import ROCKSDB, work_folder
 from auctionstream.sources import adapter, events, sinks, tables, topics
 from auctionstream.streaming import aggregates as stream_aggregates
@@ -299,6 +299,29 @@ def st_resume(spark: SparkSession, folder: str) -> DataFrame:
     return result
 
 
+# ---- row patterns, per bidder --------------------------------------------------------------------
+
+PATTERN_OPTIONS = {"keys": ["bidder"], "tie": ["id"]}
+WITHIN_MICROS = 86_400_000_000
+
+
+def cep(operator, **options):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return operator(adapter.bid(spark, folder), **PATTERN_OPTIONS, **options)
+
+    return run
+
+
+def st_cep(pattern: match.Pattern):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        bids = _stream(spark, folder, "bid").select("bidder", "dateTime", "id", "price")
+        found = run_append(stateful.match_rows(bids, ["bidder"], ["dateTime", "id"], pattern))
+        times = [c for c in found.columns if c.endswith(("tstamp", "time"))]
+        return plain_times(found.withColumns({c: F.timestamp_micros(c) for c in times}))
+
+    return run
+
+
 def queries() -> dict:
     """Generator, source, sink and streaming queries by name."""
     keep = lambda *names: (lambda df: df.select(*names))
@@ -346,4 +369,12 @@ def queries() -> dict:
         "st_late": st_late,
         "st_resume": st_resume,
         "st_unique": st_unique,
+        "cep0": cep(patterns.cep0_v_shape),
+        "cep1": cep(patterns.cep1_low_average),
+        "cep2": cep(patterns.cep2_low_average_overlapping),
+        "cep3": cep(patterns.cep3_drop, within="1 day"),
+        "st_cep0": st_cep(match.v_shape("dateTime")),
+        "st_cep1": st_cep(match.low_average(time="dateTime")),
+        "st_cep2": st_cep(match.low_average(skip=match.TO_NEXT_ROW, time="dateTime")),
+        "st_cep3": st_cep(match.drop_within(within_micros=WITHIN_MICROS, time="dateTime")),
     }

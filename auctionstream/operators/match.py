@@ -71,8 +71,13 @@ class Pattern:
 OPEN, FAILED = object(), object()
 
 
-def attempt(rows: list[tuple], start: int, place: dict[str, int], time: str, pattern: Pattern, final: bool):
-    """The match from this row: (index behind it, index of the last row per variable, mapped rows)."""
+def attempt(
+    rows: list[tuple], start: int, place: dict[str, int], time: str, pattern: Pattern, final: bool, now: int | None
+):
+    """The match from this row: (index behind it, index of the last row per variable, mapped rows).
+
+    ``now`` is a time that all further rows exceed.
+    """
     mapped, at, lasts = Mapped(place), start, {}
     begin = rows[start][place[time]]
 
@@ -90,7 +95,8 @@ def attempt(rows: list[tuple], start: int, place: dict[str, int], time: str, pat
         while True:
             if at >= len(rows):
                 # Without more rows a repeated variable cannot know that it is done.
-                return FAILED if final else OPEN
+                too_late = pattern.within is not None and now is not None and now - begin >= pattern.within
+                return FAILED if final or too_late else OPEN
             if pattern.within is not None and rows[at][place[time]] - begin >= pattern.within:
                 return FAILED
             if not fits(variable):
@@ -103,13 +109,21 @@ def attempt(rows: list[tuple], start: int, place: dict[str, int], time: str, pat
     return at, lasts, mapped
 
 
-def find_matches(rows: list[tuple], place: dict[str, int], time: str, pattern: Pattern, final: bool, start: int = 0):
-    """Measures of the matches, and the first row that may still begin one (the end if ``final``)."""
-    found = []
+def find_matches(
+    rows: list[tuple], place: dict[str, int], time: str, pattern: Pattern, final: bool,
+    now: int | None = None, ttl: int | None = None,
+):
+    """Measures of the matches, and the first row that may still begin one (the end if ``final``).
+
+    An attempt that is still open holds back the later ones, unless it is older than ``ttl``.
+    """
+    found, start = [], 0
     while start < len(rows):
-        result = attempt(rows, start, place, time, pattern, final)
+        result = attempt(rows, start, place, time, pattern, final, now)
         if result is OPEN:
-            break
+            if ttl is None or now - rows[start][place[time]] <= ttl:
+                break
+            result = FAILED
         if result is FAILED:
             start += 1
             continue

@@ -361,3 +361,64 @@ WHERE {start} + INTERVAL '{tumble}' > coalesce(late_mark, TIMESTAMP '1970-01-01'
     max(max(dateTime)) OVER (ORDER BY part) - INTERVAL '4 seconds' AS mark FROM arrived GROUP BY part))""",
         )),
     }
+
+
+# ---- row patterns, per bidder; each bidder's rows are numbered by time
+
+
+def _pattern_rows(stream: bool) -> str:
+    passed = " WHERE dateTime <= (SELECT max(dateTime) FROM bid) - INTERVAL '4 seconds'" if stream else ""
+    return f"""r AS (SELECT bidder, dateTime, price, row_number() OVER (PARTITION BY bidder ORDER BY dateTime, id) AS i,
+    sum(price - 10000) OVER (PARTITION BY bidder ORDER BY dateTime, id ROWS UNBOUNDED PRECEDING) AS s
+  FROM bid{passed})"""
+
+
+# Falling runs numbered per bidder, with their last two prices and the row after them.
+FALLS = """f AS (SELECT *, CASE WHEN price < lag(price) OVER w THEN 0 ELSE 1 END AS fresh FROM r
+    WINDOW w AS (PARTITION BY bidder ORDER BY i)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY bidder ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f),
+runs AS (SELECT bidder, run, count(*) AS n, min(dateTime) AS start_tstamp, max(dateTime) AS bottom_tstamp,
+    arg_max(price, -i) AS first_price, list(price ORDER BY i)[-2] AS second_last FROM g GROUP BY bidder, run)"""
+FALL_MATCHES = """SELECT a.bidder, a.start_tstamp, a.bottom_tstamp, b.start_tstamp AS end_tstamp
+FROM runs a JOIN runs b ON a.bidder = b.bidder AND b.run = a.run + 1
+WHERE a.n >= 3 AND b.first_price > a.second_last"""
+# From every low row to the row that lifts the average to the limit; j is null where none does.
+LOW = """low AS (SELECT a.bidder, a.i, min(b.i) AS j FROM r a LEFT JOIN r b ON a.bidder = b.bidder AND b.i > a.i
+    AND b.s - a.s + a.price - 10000 >= 0 WHERE a.price < 10000 GROUP BY a.bidder, a.i)"""
+# From every row to the first price at or below its own minus 50; only a lower one within a day counts.
+DROPS = """reach AS (SELECT a.bidder, a.i, min(b.i) AS j FROM r a LEFT JOIN r b ON a.bidder = b.bidder AND b.i > a.i
+    AND b.price <= a.price - 50 GROUP BY a.bidder, a.i),
+drops AS (SELECT e.bidder, e.i, e.j, c.dateTime AS drop_time, a.price - c.price AS drop_diff, a.dateTime AS begun
+  FROM reach e JOIN r a ON e.bidder = a.bidder AND e.i = a.i LEFT JOIN r c ON e.bidder = c.bidder AND e.j = c.i)"""
+GOOD_DROPS = "good AS (SELECT * FROM drops WHERE drop_diff > 50 AND drop_time - begun < INTERVAL '1 day')"
+GOOD_LOW = "good AS (SELECT * FROM low WHERE j IS NOT NULL)"
+# Left to right, the next match starts behind the last one.
+CHAIN = """chain AS (SELECT bidder, min(i) AS i FROM good GROUP BY bidder UNION ALL
+  SELECT chain.bidder, (SELECT min(n.i) FROM good n WHERE n.bidder = chain.bidder AND n.i > g.j) AS i
+  FROM chain JOIN good g ON chain.bidder = g.bidder AND chain.i = g.i WHERE chain.i IS NOT NULL),
+picked AS (SELECT good.* FROM good JOIN chain USING (bidder, i))"""
+
+
+def _low_measures(source: str, where: str = "") -> str:
+    return f"""SELECT p.bidder, a.dateTime AS start_tstamp, b.dateTime AS end_tstamp,
+  CAST((b.s - a.s + a.price - 10000 + 10000 * (p.j - p.i)) // (p.j - p.i) AS BIGINT) AS avg_price
+FROM {source} p JOIN r a ON p.bidder = a.bidder AND p.i = a.i JOIN r b ON p.bidder = b.bidder AND p.j - 1 = b.i {where}"""
+
+
+def patterns() -> dict[str, str]:
+    """On streams only rows up to the watermark count, and an attempt that is still open holds back the
+    later ones of its bidder."""
+    out = {}
+    for prefix, stream in (("", False), ("st_", True)):
+        rows = _pattern_rows(stream)
+        open_low = "p.i < coalesce((SELECT min(o.i) FROM low o WHERE o.bidder = p.bidder AND o.j IS NULL), 1000000000)"
+        held = f"WHERE {open_low}" if stream else ""
+        out[f"{prefix}cep0"] = _with("bid", FALL_MATCHES, (rows, FALLS))
+        out[f"{prefix}cep2"] = _with("bid", _low_measures("good", held), (rows, LOW, GOOD_LOW))
+        out[f"{prefix}cep1"] = _with("bid", _low_measures("picked", held), (rows, LOW, GOOD_LOW, CHAIN), True)
+        undecided = """WHERE p.i < coalesce((SELECT min(o.i) FROM drops o WHERE o.bidder = p.bidder AND o.j IS NULL
+    AND (SELECT max(dateTime) FROM bid) - INTERVAL '4 seconds' - o.begun < INTERVAL '1 day'
+    AND NOT EXISTS (SELECT 1 FROM picked q WHERE q.bidder = o.bidder AND q.i < o.i AND o.i <= q.j)), 1000000000)"""
+        body = f"SELECT p.bidder, p.drop_time, p.drop_diff FROM picked p {undecided if stream else ''}"
+        out[f"{prefix}cep3"] = _with("bid", body, (rows, DROPS, GOOD_DROPS, CHAIN), True)
+    return out

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from auctionstream.operators.match import Pattern, find_matches
+
 Order = list[tuple[str, bool]]
 
 
@@ -147,3 +149,61 @@ def winners_at_close(offers: DataFrame) -> DataFrame:
         processor, StructType([rows.schema["id"], *state.fields]), "Append", "EventTime"
     )
     return _times(out, times).withColumnRenamed("bid_time", "bid_dateTime")
+
+
+class Matcher(StatefulProcessor):
+    """Keeps the rows of a key until the watermark has passed them, matches them in order of time, and
+    drops those that can no longer begin a match."""
+
+    def __init__(self, keys, columns: list[str], order: list[str], pattern: Pattern, ttl: int | None, state):
+        self.keys, self.columns, self.order = keys, columns, order
+        self.pattern, self.ttl, self.state = pattern, ttl, state
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.state)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [TopN._plain(r) for part in rows for r in part[self.columns].itertuples(index=False, name=None)]
+        yield from self._match(key, fresh, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._match(key, [], timerValues)
+
+    def _match(self, key, fresh, timerValues):
+        place = {c: i for i, c in enumerate(self.columns)}
+        by_time = [place[c] for c in self.order]
+        time, now = by_time[0], timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted([tuple(r) for r in self.rows.get()] + fresh, key=lambda r: [r[i] for i in by_time])
+        passed = sum(r[time] <= now for r in rows)
+        found, start = find_matches(rows[:passed], place, self.order[0], self.pattern, False, now, self.ttl)
+        if start < len(rows):
+            self.rows.put(rows[start:])
+        else:
+            self.rows.clear()
+        if passed < len(rows):
+            self.handle.registerTimer(-(-rows[passed][time] // 1000))
+        if found:
+            yield pd.DataFrame([(*key, *m) for m in found], columns=[*self.keys, *self.pattern.measures])
+
+    def close(self) -> None:
+        pass
+
+
+def match_rows(
+    stream: DataFrame, partition_by: list[str], order_by: list[str], pattern: Pattern, ttl_micros: int | None = None
+) -> DataFrame:
+    """Row-pattern matches of a watermarked stream, append mode; see operators.match for patterns.
+
+    The first order column is the event time; conditions and measures see it in microseconds under its
+    own name. Rows after the watermark wait. An attempt that may still succeed holds back later ones of
+    its key, for ever if need be; ``ttl_micros`` lets it fail after that time.
+    """
+    time = order_by[0]
+    rows = stream.withColumnRenamed(time, "__event_time").withColumn(time, F.unix_micros("__event_time"))
+    columns = [c for c in rows.columns if c not in (*partition_by, "__event_time")]
+    state = StructType([rows.schema[c] for c in columns])
+    fields = ", ".join(f"{n} {kind}" for n, (kind, _) in pattern.measures.items())
+    schema = StructType([rows.schema[c] for c in partition_by] + list(StructType.fromDDL(fields)))
+    processor = Matcher(partition_by, columns, order_by, pattern, ttl_micros, state)
+    return rows.groupBy(*partition_by).transformWithStateInPandas(processor, schema, "Append", "EventTime")
