@@ -161,9 +161,8 @@ PRIME = 2147483647
 
 
 def _draw(number: str, slot: int) -> str:
-    start = slot * 1099087573 % PRIME
-    mixed = f"(({number} % {PRIME} * 48271 + {number} // {PRIME} * 69621 + {start}) % {PRIME})"
-    return f"(xor({mixed}, {mixed} >> 15) * 1583458089 % {PRIME})"
+    linear = f"(({number} % {PRIME} * 48271 + {number} // {PRIME} * 69621 + 1) % {PRIME})"
+    return f"(xor({linear}, {linear} >> 15) * 1583458089 % {PRIME} * {pow(16807, slot, PRIME)} % {PRIME})"
 
 
 def _draws(number: str, slots, prefix: str = "d") -> str:

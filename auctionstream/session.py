@@ -19,6 +19,8 @@ def build_session(master: str = "local[8]", app: str = "auctionstream", shuffle_
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.driver.memory", "8g")
+        # The event generator's stages compile to methods above HotSpot's default limit.
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

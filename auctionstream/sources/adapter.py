@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 STATES = ("AZ", "CA", "ID", "OR", "WA", "WY")
 EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 ENTITY_TABLE = {"person": "customer", "auction": "orders", "bid": "events"}
+# Columns the views read; a given schema saves a job that would infer it.
+TABLE_SCHEMA = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
 def _after_epoch(hours: str):
-    return F.expr(f"{EPOCH} + make_dt_interval(0, CAST({hours} AS INT))")
+    return F.expr(f"{EPOCH} + INTERVAL '1' HOUR * ({hours})")
 
 
 def person_from(customer: DataFrame, nation: DataFrame) -> DataFrame:
@@ -66,7 +73,7 @@ def bid_from(events: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMA[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def person(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +93,7 @@ def stream_of(spark: SparkSession, folder: str, entity: str, max_files: int = 10
     name = ENTITY_TABLE[entity]
     # A pattern, as a stream takes no path of a single file.
     raw = (
-        spark.readStream.schema(table(spark, folder, name).schema)
+        spark.readStream.schema(TABLE_SCHEMA[name])
         .option("maxFilesPerTrigger", max_files)
         .parquet(f"{folder}/{name}.parque[t]")
     )

@@ -4,7 +4,8 @@ Every column is an integer or string expression of the event number, so rows are
 they are needed, in whole-stage codegen, and do not depend on how the numbers are partitioned. The
 same builder serves a range of numbers, any table with a number column and the micro-batch source.
 
-Random choices come from ``draw``: integer mixing modulo a prime, which other SQL engines can repeat.
+Random choices come from ``mixed`` and ``draw``: integer arithmetic modulo a prime, which other SQL
+engines can repeat.
 """
 
 from dataclasses import dataclass, replace
@@ -30,7 +31,7 @@ HOT_CHANNELS = ["Google", "Facebook", "Baidu", "Apple"]
 
 # Constants of the draw. PRIME keeps every product below 2**63.
 PRIME = 2_147_483_647
-ID_FACTOR, ROUND_FACTOR, SLOT_FACTOR, MIX_FACTOR = 48_271, 69_621, 1_099_087_573, 1_583_458_089
+ID_FACTOR, ROUND_FACTOR, MIX_FACTOR, STEP_FACTOR = 48_271, 69_621, 1_583_458_089, 16_807
 
 
 @dataclass(frozen=True)
@@ -80,11 +81,15 @@ DEFAULT = EventConfig()
 # ---- draws ------------------------------------------------------------------------------------
 
 
-def draw(number: Column, slot: int, seed: int = 0) -> Column:
-    """Pseudo-random integer in [0, PRIME), fixed by the number, the slot and the seed."""
-    start = (slot * SLOT_FACTOR + seed * 7919) % PRIME
-    mixed = (number % PRIME * ID_FACTOR + _div(number, PRIME) * ROUND_FACTOR + start) % PRIME
-    return mixed.bitwiseXOR(F.shiftright(mixed, 15)) * MIX_FACTOR % PRIME
+def mixed(number: Column, seed: int = 0) -> Column:
+    """Pseudo-random integer in [0, PRIME), fixed by the number and the seed."""
+    linear = (number % PRIME * ID_FACTOR + _div(number, PRIME) * ROUND_FACTOR + seed * 7919 + 1) % PRIME
+    return linear.bitwiseXOR(F.shiftright(linear, 15)) * MIX_FACTOR % PRIME
+
+
+def draw(mix: Column, slot: int) -> Column:
+    """The slot-th step of a multiplicative generator that starts from the mixed number."""
+    return mix * pow(STEP_FACTOR, slot, PRIME) % PRIME
 
 
 def _div(value: Column, by: int | Column) -> Column:
@@ -157,6 +162,7 @@ def with_identity(df: DataFrame, config: EventConfig, events: int | None = None)
         "_epoch": _div(F.col("_id"), c.total),
         "_offset": F.col("_id") % c.total,
         "_millis": event_millis(F.col("_adjusted"), c),
+        "_mix": mixed(F.col("_id"), c.seed),
     })
     epoch, offset = F.col("_epoch"), F.col("_offset")
     behind = offset - c.person_share
@@ -182,7 +188,7 @@ def with_times(df: DataFrame, config: EventConfig) -> DataFrame:
     """
     c, number = config, F.col("_number")
     spread = max((c.delay_max - c.delay_min) * 1000 + 1, 1)
-    drawn = df.withColumns({f"_d{s}": draw(F.col("_id"), s, c.seed) for s in DELAY_SLOTS})
+    drawn = df.withColumns({f"_d{s}": draw(F.col("_mix"), s) for s in DELAY_SLOTS})
     late = (F.col("_kind") != schemas.PERSON_EVENT) & (_d(30) / PRIME < c.delay_probability)
     delay = F.when(late, c.delay_min * 1000 + _d(31) % spread).otherwise(0)
     return drawn.withColumns({
@@ -210,14 +216,18 @@ def price(slot: int) -> Column:
     return F.round(F.pow(F.lit(10.0), _d(slot) / F.lit(float(PRIME)) * 6.0) * 100.0).cast("bigint")
 
 
+def cut(pool: str, start: Column, length: Column) -> Column:
+    """Part of the pool as bytes: a binary substring jumps to its start, one of text walks there."""
+    return F.substring(F.lit(bytearray(pool.encode())), start.cast("int"), length.cast("int"))
+
+
 def text(drawn: list[Column], limit: int, pool: str = WORDS) -> Column:
     """3 to limit-1 characters cut from the pool in pieces, without outer blanks. The first draw is
     for the length, the others for the pieces."""
-    pieces = [
-        F.substring(F.lit(pool), (1 + d % (TEXT_LENGTH - PIECE)).cast("int"), F.lit(PIECE)) for d in drawn[1:]
-    ]
+    pieces = [cut(pool, 1 + d % (TEXT_LENGTH - PIECE), F.lit(PIECE)) for d in drawn[1:]]
     joined = pieces[0] if len(pieces) == 1 else F.concat(*pieces)
-    return F.trim(F.substring(joined, F.lit(1), (3 + drawn[0] % (limit - 3)).cast("int")))
+    length = (3 + drawn[0] % (limit - 3)).cast("int")
+    return F.trim(F.substring(joined, F.lit(1), length).cast("string"))
 
 
 def _extra(rest: Column, average: int, slot: int) -> Column:
@@ -226,7 +236,7 @@ def _extra(rest: Column, average: int, slot: int) -> Column:
     size = rest - delta + F.when(delta == 0, 0).otherwise(_d(slot) % F.greatest(delta * 2, F.lit(1)))
     pool = filler(max(TEXT_LENGTH, 4 * average))
     start = 1 + _d(slot + 1) % (len(pool) - 2 * average)
-    return F.when(rest < 0, "").otherwise(F.substring(F.lit(pool), start.cast("int"), size.cast("int")))
+    return F.when(rest < 0, "").otherwise(cut(pool, start, size).cast("string"))
 
 
 def _person(df: DataFrame, c: EventConfig, only) -> DataFrame:
@@ -278,7 +288,8 @@ def _bid(df: DataFrame, c: EventConfig, only) -> DataFrame:
     hot_bidder = F.col("_person") - F.col("_person") % HOT_SPAN + 1
     channel = F.when(_d(6) % 2 > 0, CHANNELS + _d(7) % len(HOT_CHANNELS)).otherwise(_d(8) % CHANNELS)
     out = df.withColumn("_channel", channel)
-    out = out.withColumns({f"_d{s}": draw(F.col("_channel"), s) for s in CHANNEL_SLOTS})
+    out = out.withColumn("_channel_mix", mixed(F.col("_channel")))
+    out = out.withColumns({f"_d{s}": draw(F.col("_channel_mix"), s) for s in CHANNEL_SLOTS})
     dirs = [text([_d(s), _d(s + 1)], 5, PATHS) for s in (50, 52, 54)]
     is_cold = F.col("_channel") < CHANNELS
     suffix = F.when(is_cold & (_d(56) % 10 > 0), F.concat(F.lit("&channel_id="), _d(57).cast("string"))).otherwise("")
@@ -299,8 +310,8 @@ def _bid(df: DataFrame, c: EventConfig, only) -> DataFrame:
 BUILDERS = {"person": _person, "auction": _auction, "bid": _bid}
 
 
-def _with_draws(df: DataFrame, slots, config: EventConfig) -> DataFrame:
-    return df.withColumns({f"_d{s}": draw(F.col("_id"), s, config.seed) for s in slots})
+def _with_draws(df: DataFrame, slots) -> DataFrame:
+    return df.withColumns({f"_d{s}": draw(F.col("_mix"), s) for s in slots})
 
 
 def _fields(entity: str) -> list[Column]:
@@ -325,7 +336,7 @@ def stream_numbers(spark: SparkSession, per_batch: int, advance_millis: int = 10
 def union_events(numbers_df: DataFrame, config: EventConfig = DEFAULT, events: int | None = None) -> DataFrame:
     """One row per number: event_type, the struct of that type, event time, arrival and low-water mark."""
     rows = with_times(with_identity(numbers_df, config, events), config)
-    rows = _with_draws(rows, AUCTION_SLOTS, config)
+    rows = _with_draws(rows, AUCTION_SLOTS)
     structs = []
     for entity, kind in KINDS.items():
         rows = BUILDERS[entity](rows, config, lambda c, kind=kind: F.when(F.col("_kind") == kind, c))
@@ -343,7 +354,7 @@ def typed_events(
     late = ["arrival", "lowWaterMark"] if with_arrival else []
     if with_arrival:
         rows = with_times(rows, config)
-    rows = BUILDERS[entity](_with_draws(rows, SLOTS[entity], config), config, lambda c: c)
+    rows = BUILDERS[entity](_with_draws(rows, SLOTS[entity]), config, lambda c: c)
     return rows.select(*_fields(entity), *late)
 
 

@@ -24,9 +24,21 @@ def _times(df: DataFrame, times: list[str]) -> DataFrame:
     return df.withColumns({c: F.timestamp_micros(c) for c in times})
 
 
-def _first(rows: pd.DataFrame, order: Order, n: int) -> pd.DataFrame:
-    names, ascending = [c for c, _ in order], [up for _, up in order]
-    return rows.sort_values(names, ascending=ascending, kind="stable").head(n)
+def _sorter(columns: list[str], order: Order):
+    """Sorts tuples by several columns, each up or down."""
+    steps = [(columns.index(c), up) for c, up in reversed(order)]
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        for place, up in steps:
+            rows = sorted(rows, key=lambda r: (r[place] is not None, r[place]), reverse=not up)
+        return rows
+
+    return run
+
+
+def _rows(part: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    """Rows as plain Python values, which the state takes."""
+    return list(zip(*[part[c].tolist() for c in columns]))
 
 
 class TopN(StatefulProcessor):
@@ -38,35 +50,25 @@ class TopN(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getListState("rows", self.state)
+        self.sort = _sorter(self.columns, self.order)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = pd.DataFrame([tuple(r) for r in self.rows.get()], columns=self.columns)
-        best = old
+        before = [tuple(r) for r in self.rows.get()]
+        after = before
         for part in rows:
-            fresh = _first(part[self.columns], self.order, self.n)
-            best = _first(pd.concat([best, fresh]) if len(best) else fresh, self.order, self.n)
-        before, after = list(old.itertuples(index=False, name=None)), list(best.itertuples(index=False, name=None))
+            after = self.sort(after + _rows(part, self.columns))[: self.n]
         if before != after:
-            self.rows.put([self._plain(r) for r in after])
+            self.rows.put(after)
             yield from self._emit(key, before, after)
 
-    @staticmethod
-    def _plain(row):
-        return tuple(v.item() if hasattr(v, "item") else v for v in row)
-
     def _emit(self, key, before, after):
-        ranked = {"": [(*key, *r, i + 1) for i, r in enumerate(after)]}
-        if self.changelog:
-            old, new = set(enumerate(before)), set(enumerate(after))
-            ranked = {
-                "-D": [(*key, *r, i + 1) for i, r in sorted(old - new)],
-                "+I": [(*key, *r, i + 1) for i, r in sorted(new - old)],
-            }
         names = [*self.keys, *self.columns, self.rank]
-        for op, out in ranked.items():
-            if out:
-                frame = pd.DataFrame(out, columns=names)
-                yield frame.assign(op=op) if self.changelog else frame
+        if not self.changelog:
+            yield pd.DataFrame([(*key, *r, i + 1) for i, r in enumerate(after)], columns=names)
+            return
+        old, new = set(enumerate(before)), set(enumerate(after))
+        changes = [("-D", c) for c in sorted(old - new)] + [("+I", c) for c in sorted(new - old)]
+        yield pd.DataFrame([(*key, *r, i + 1, op) for op, (i, r) in changes], columns=[*names, "op"])
 
     def close(self) -> None:
         pass
@@ -109,17 +111,16 @@ class WinnerAtClose(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.best = handle.getValueState("best", self.state)
+        self.sort = _sorter(self.columns, self.order)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.best.exists()
-        best = pd.DataFrame([tuple(self.best.get())], columns=self.columns) if known else None
+        best = [tuple(self.best.get())] if known else []
         for part in rows:
-            fresh = _first(part[self.columns], self.order, 1)
-            best = fresh if best is None else _first(pd.concat([best, fresh]), self.order, 1)
-        row = best.iloc[0]
-        self.best.update(TopN._plain(row[c] for c in self.columns))
+            best = self.sort(best + _rows(part, self.columns))[:1]
+        self.best.update(best[0])
         if not known:
-            self.handle.registerTimer(-(-int(row[self.end]) // 1000))
+            self.handle.registerTimer(-(-best[0][self.columns.index(self.end)] // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -164,7 +165,7 @@ class Matcher(StatefulProcessor):
         self.rows = handle.getListState("rows", self.state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [TopN._plain(r) for part in rows for r in part[self.columns].itertuples(index=False, name=None)]
+        fresh = [r for part in rows for r in _rows(part, self.columns)]
         yield from self._match(key, fresh, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
