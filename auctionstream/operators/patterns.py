@@ -1,8 +1,9 @@
 """The four row-pattern queries, each reduced to something Spark can spread.
 
-Rows of one key (auction and bidder) in order of time. No query gathers a whole key: sequences of hot
-keys are cut into time slices (plans.sequence), which different tasks take, and what crosses a cut is
-settled from one summary row per slice.
+Rows of one key (auction and bidder) in order of time. No query gathers a hot key: its sequence is cut
+into time slices (plans.sequence), which different tasks take, and what crosses a cut is settled from
+few rows per slice. Ordinary keys go through in one pass. Slice results that several steps need are
+written once to the shared folder; so cep1, cep2 and cep3 run jobs when called on big inputs.
 """
 
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from auctionstream.functions.scalar import interval
 from auctionstream.plans.sequence import CHUNK, with_chunks, with_halo
 from auctionstream.plans.skew import DEFAULT, Skew, may_be_hot
+from auctionstream.session import stage
 
 KEYS = ["auction", "bidder"]
 LIMIT, DROP, WITHIN = 10_000, 50, "5 seconds"
@@ -203,8 +205,6 @@ def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, sk
     types = dict(rows.dtypes)
     key_fields = ", ".join(f"{c} {types[c]}" for c in [*keys, CHUNK])
     run_fields = RUN_FIELDS.format(time=types["dateTime"])
-    hot_possible = may_be_hot(bid, skew)
-    hot_fields = ", __kind string, __sum bigint, __place bigint" if hot_possible else ""
 
     def kernel(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         over = part["price"].to_numpy("int64") - limit
@@ -228,29 +228,22 @@ def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, sk
             start_tstamp=times[done], end_tstamp=times[until - 1], avg_price=average,
             __from=base[done] + done - first[done], __to=base[until] + until - first[until],
         )
-        if not hot_possible:
+        if part[CHUNK].isna().all():
             return out
-        hot = part[CHUNK].notna().to_numpy()
         place = np.arange(len(part)) - first
         frames = [out.assign(__kind="run", __sum=0, __place=0)]
         # Runs that the slice leaves open: their sum before the start is the level to reach.
-        frames.append(_marks(part, np.flatnonzero(hot & starts & (ends < 0)), "open", before, place, times))
+        frames.append(_marks(part, np.flatnonzero(starts & (ends < 0)), "open", before, place, times))
         # Rows that exceed all sums of the slice before them: only they can end a run from outside.
-        records, lasts = [], []
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if hot[lo]:
-                peak = np.maximum.accumulate(sums[lo:hi])
-                records.append(lo + np.flatnonzero(np.append(True, peak[1:] > peak[:-1])))
-                lasts.append(hi - 1)
-        if records:
-            at = np.concatenate(records)
-            previous = np.where(at > first[at], times[np.maximum(at - 1, 0)], np.datetime64("NaT"))
-            frames.append(_marks(part, at, "record", sums, place, times).assign(
-                end_tstamp=previous, avg_price=over[at]))
-            last = np.array(lasts)
-            peaks = np.array([sums[lo:hi].max() for lo, hi in zip(first[last], last + 1)])
-            frames.append(_marks(part, last, "slice", sums, place, times).assign(avg_price=peaks))
-        return pd.concat([f for f in frames if len(f)]) if any(len(f) for f in frames) else frames[0]
+        at = np.concatenate([
+            lo + np.flatnonzero(np.append(True, np.diff(np.maximum.accumulate(sums[lo:hi])) > 0))
+            for lo, hi in zip(bounds[:-1], bounds[1:])
+        ])
+        previous = np.where(at > first[at], times[np.maximum(at - 1, 0)], np.datetime64("NaT"))
+        frames.append(_marks(part, at, "record", sums, place, times).assign(end_tstamp=previous, avg_price=over[at]))
+        peaks = np.array([sums[lo:hi].max() for lo, hi in zip(bounds[:-1], bounds[1:])])
+        frames.append(_marks(part, bounds[1:] - 1, "slice", sums, place, times).assign(avg_price=peaks))
+        return pd.concat([f for f in frames if len(f)])
 
     def _marks(part, at, kind, sums, place, times):
         return part.loc[at, [*keys, CHUNK]].assign(
@@ -258,11 +251,16 @@ def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, sk
             __kind=kind, __sum=sums[at], __place=place[at],
         )
 
-    found = _by_slice(rows, keys, order, kernel, f"{key_fields}, {run_fields}{hot_fields}")
-    if not hot_possible:
-        return found
-    closed = found.where(F.col("__kind") == "run").drop("__kind", "__sum", "__place")
-    return closed.unionByName(_runs_across_slices(found, keys, key_fields, run_fields, limit))
+    fields = f"{key_fields}, {run_fields}"
+    if not may_be_hot(bid, skew):
+        return _by_slice(rows, keys, order, kernel, fields)
+    cold = _by_slice(rows.where(F.col(CHUNK).isNull()), keys, order, kernel, fields)
+    marked = f"{fields}, __kind string, __sum bigint, __place bigint"
+    hot = stage(
+        _by_slice(rows.where(F.col(CHUNK).isNotNull()), keys, order, kernel, marked), "low-average", "__kind"
+    )
+    closed = hot.where(F.col("__kind") == "run").select(*cold.columns)
+    return cold.unionByName(closed).unionByName(_runs_across_slices(hot, keys, key_fields, run_fields, limit))
 
 
 def _runs_across_slices(found: DataFrame, keys: list[str], key_fields: str, run_fields: str, limit: int) -> DataFrame:
@@ -355,10 +353,6 @@ def cep3_drop(
     order = ["dateTime", *tie]
     rows = _sequence(bid, keys, tie, skew, within).withColumn("__own", F.lit(True))
     types = dict(rows.dtypes)
-    hot_possible = may_be_hot(bid, skew)
-    if hot_possible:
-        ahead = _rows_ahead(rows, keys, within)
-        rows = rows.unionByName(ahead)
     span = pd.Timedelta(within).to_timedelta64()
     key_fields = ", ".join(f"{c} {types[c]}" for c in [*keys, CHUNK])
     fields = f"{key_fields}, drop_time {types['dateTime']}, drop_diff bigint, __from bigint, __to bigint"
@@ -392,19 +386,20 @@ def cep3_drop(
             drop_time=times[to], drop_diff=price[at] - price[to], __from=at - first[at], __to=to - first[at],
         )
 
-    found = _by_slice(rows, keys, order, kernel, fields)
-    if not hot_possible:
-        return found.select(*keys, "drop_time", "drop_diff")
-    cold = found.where(F.col(CHUNK).isNull())
-    hot = found.where(F.col(CHUNK).isNotNull())
-    sizes = rows.where("__own").where(F.col(CHUNK).isNotNull()).groupBy(*keys, CHUNK).agg(F.count("*").alias("__size"))
+    if not may_be_hot(bid, skew):
+        return _by_slice(rows, keys, order, kernel, fields).select(*keys, "drop_time", "drop_diff")
+    cold = _by_slice(rows.where(F.col(CHUNK).isNull()), keys, order, kernel, fields)
+    slices = rows.where(F.col(CHUNK).isNotNull())
+    with_ahead = slices.unionByName(_rows_ahead(slices, keys, within))
+    hot = stage(_by_slice(with_ahead, keys, order, kernel, fields), "drops")
+    sizes = slices.groupBy(*keys, CHUNK).agg(F.count("*").alias("__size"))
     chosen = _choose(hot, sizes, keys, key_fields, fields)
     return cold.unionByName(chosen).select(*keys, "drop_time", "drop_diff")
 
 
 def _rows_ahead(rows: DataFrame, keys: list[str], within: str) -> DataFrame:
     """Rows that lie less than ``within`` behind the last row of an earlier slice, copied into it."""
-    last = rows.where(F.col(CHUNK).isNotNull()).groupBy(*keys, CHUNK).agg(F.max("dateTime").alias("__last"))
+    last = rows.groupBy(*keys, CHUNK).agg(F.max("dateTime").alias("__last"))
     named = {k: f"__{k}" for k in keys} | {CHUNK: "__slice"}
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
     # Slices are at least ``within`` long, so only the slice just before can reach a row.

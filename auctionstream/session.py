@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,3 +40,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="auctionstream-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write the rows to the shared folder and read them from there.
+
+    For results that several later steps use and that are costly to compute again.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
