@@ -4,7 +4,8 @@ sinks and streams. Every function takes (spark, folder) and returns a DataFrame.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auctionstream import schemas
-from auctionstream.operators import joins, match, patterns, projections
+from auctionstream.functions import scalar
+from auctionstream.operators import joins, match, patterns, projections, windows
 from auctionstream.session import ROCKSDB, work_folder
 from auctionstream.sources import adapter, events, sinks, tables, topics
 from auctionstream.streaming import aggregates as stream_aggregates
@@ -156,8 +157,9 @@ def snk_null(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snk_part(spark: SparkSession, folder: str) -> DataFrame:
-    """The log, partitioned by day and hour here, written and read back."""
-    log = projections.q10_log(adapter.bid(spark, folder)).withColumn("hm", F.date_format("dateTime", "HH':00'"))
+    """The log, written and read back; a partition is six hours here."""
+    slot = F.window("dateTime", "6 hours")["start"]
+    log = projections.q10_log(adapter.bid(spark, folder)).withColumn("hm", scalar.minute_of(slot))
     path = work_folder(spark, "log")
     sinks.write_log(log, path)
     return sinks.read_log(spark, path, log.schema)
@@ -322,10 +324,95 @@ def st_cep(pattern: match.Pattern):
     return run
 
 
+# ---- single rules and functions ------------------------------------------------------------------
+
+
+def parts_of(query, *columns: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return query(spark, folder).select(*columns)
+
+    return run
+
+
+def gen_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return gen_identity(spark, folder).groupBy("event_type").agg(F.count("*").alias("events"))
+
+
+def gen_start(spark: SparkSession, folder: str) -> DataFrame:
+    """The same numbers, resumed 1000 events later."""
+    rows = events.with_identity(_event_numbers(spark, folder), events.resume_at(EVENTS, 1000))
+    return rows.select("k", F.col("_id").alias("id"))
+
+
+def gen_size(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimated bytes of as many events as the table has rows."""
+    counted = _event_numbers(spark, folder).agg(F.count("*").alias("events"))
+    shares = ((EVENTS.person_share, EVENTS.person_size), (EVENTS.auction_share, EVENTS.auction_size), (EVENTS.bid_share, EVENTS.bid_size))
+    sizes = [F.call_function("div", F.col("events") * n, F.lit(EVENTS.total)) * size for n, size in shares]
+    return counted.select("events", (sizes[0] + sizes[1] + sizes[2]).cast("bigint").alias("estimated_bytes"))
+
+
+def on_bids(**columns):
+    """Bid ids with columns computed from the bid's columns."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        bid = adapter.bid(spark, folder)
+        return bid.select("id", *[column(bid).alias(name) for name, column in columns.items()])
+
+    return run
+
+
+def f_proctime(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of a batch carry one clock time."""
+    clock = adapter.bid(spark, folder).select(F.current_timestamp().alias("p_time"))
+    return clock.agg(F.countDistinct("p_time").alias("clocks"), F.count("p_time").alias("rows"))
+
+
+def st_wm_align(spark: SparkSession, folder: str) -> DataFrame:
+    """Two streams in one: a window closes when the slower watermark has passed it."""
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
+    both = _stream(spark, folder, "bid").select("dateTime").union(_stream(spark, folder, "auction").select("dateTime"))
+    counts = both.groupBy(windows.tumble(TUMBLE).alias("window")).agg(F.count("*").alias("events"))
+    return run_append(windows.with_bounds(counts))
+
+
+def rules() -> dict:
+    return {
+        "gen_mix": gen_mix,
+        "gen_time": parts_of(gen_split, "k", "dateTime"),
+        "gen_ooo": parts_of(gen_identity, "k", "id"),
+        "gen_wm": parts_of(gen_identity, "k", "lowWaterMark"),
+        "gen_delay": parts_of(gen_identity, "k", "event_type", "arrival"),
+        "gen_start": gen_start,
+        "gen_auction_id": parts_of(gen_identity, "k", "last_auction"),
+        "gen_person_id": parts_of(gen_identity, "k", "last_person"),
+        "gen_auction_pick": parts_of(generated("bid"), "id", "auction"),
+        "gen_auction_len": parts_of(generated("auction"), "id", "dateTime", "expires"),
+        "gen_bidder_shift": parts_of(generated("bid"), "id", "bidder"),
+        "gen_channel": parts_of(generated("bid"), "id", "channel", "url"),
+        "gen_price": parts_of(generated("bid"), "id", "price"),
+        "gen_string": parts_of(generated("auction"), "id", "itemName", "description"),
+        "gen_extra": parts_of(generated("bid"), "id", "extra"),
+        "gen_size": gen_size,
+        "f_mod": on_bids(remainder=lambda b: b.auction % 123),
+        "f_datefmt": on_bids(dt=lambda b: scalar.day_of(b.dateTime), hm=lambda b: scalar.minute_of(b.dateTime)),
+        "f_hour": on_bids(hour=lambda b: F.hour(b.dateTime).cast("bigint")),
+        "f_lower": on_bids(lowered=lambda b: F.lower(b.channel)),
+        "f_regex": on_bids(channel_id=lambda b: scalar.regexp_group(b.url, "(&|^)channel_id=([^&]*)", 2)),
+        "f_split": on_bids(dir1=lambda b: scalar.split_index(b.url, "/", 3), none=lambda b: scalar.split_index(b.url, "/", 9)),
+        "f_case": on_bids(kind=lambda b: scalar.bid_time_type(b.dateTime)),
+        "f_proctime": f_proctime,
+        "u_countchar": on_bids(
+            k_count=lambda b: scalar.count_char(b.extra, "k"), quotes=lambda b: scalar.count_char(b.extra, '"')
+        ),
+        "st_wm_align": st_wm_align,
+    }
+
+
 def queries() -> dict:
     """Generator, source, sink and streaming queries by name."""
     keep = lambda *names: (lambda df: df.select(*names))
-    return {
+    return rules() | {
         "src_union": src_union,
         "src_typed": generated("person"),
         "src_typed_bidmod": lambda s, f: keep("id", "auction", "bidder", "price", "dateTime")(generated("bid")(s, f)),

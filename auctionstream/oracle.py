@@ -308,7 +308,7 @@ def sources(relational: dict[str, str]) -> dict[str, str]:
 SELECT 1, seller, NULL FROM auction UNION ALL SELECT 2, NULL, price FROM bid"""),
         "snk_null": _with("bid", "SELECT count(*) AS written FROM bid"),
         "snk_part": _with("bid", f"""SELECT auction, bidder, price, {cut}, extra,
-  strftime(bid.dateTime, '%Y-%m-%d') AS dt, strftime(bid.dateTime, '%H:00') AS hm FROM bid"""),
+  strftime(bid.dateTime, '%Y-%m-%d') AS dt, strftime({bucket('6 hours', 'bid.dateTime')}, '%H:%M') AS hm FROM bid"""),
         "src_csv": relational["q13"],
         "src_side": _with("bid", """SELECT range AS key, CAST(range AS VARCHAR) AS value FROM range(10000)
 WHERE range IN (SELECT auction % 10000 FROM bid)"""),
@@ -421,3 +421,48 @@ def patterns() -> dict[str, str]:
         body = f"SELECT p.bidder, p.drop_time, p.drop_diff FROM picked p {undecided if stream else ''}"
         out[f"{prefix}cep3"] = _with("bid", body, (rows, DROPS, GOOD_DROPS, CHAIN), True)
     return out
+
+
+# ---- single rules and functions
+
+
+def rules(generated: dict[str, str], tumble: str) -> dict[str, str]:
+    parts = {
+        "gen_time": ("gen_split", "k, dateTime"),
+        "gen_ooo": ("gen_identity", "k, id"),
+        "gen_wm": ("gen_identity", "k, lowWaterMark"),
+        "gen_delay": ("gen_identity", "k, event_type, arrival"),
+        "gen_auction_id": ("gen_identity", "k, last_auction"),
+        "gen_person_id": ("gen_identity", "k, last_person"),
+        "gen_auction_pick": ("gen_bid", "id, auction"),
+        "gen_auction_len": ("gen_auction", "id, dateTime, expires"),
+        "gen_bidder_shift": ("gen_bid", "id, bidder"),
+        "gen_channel": ("gen_bid", "id, channel, url"),
+        "gen_price": ("gen_bid", "id, price"),
+        "gen_string": ("gen_auction", "id, itemName, description"),
+        "gen_extra": ("gen_bid", "id, extra"),
+    }
+    start = bucket(tumble)
+    out = {name: f"SELECT {columns} FROM ({generated[query]})" for name, (query, columns) in parts.items()}
+    return out | {
+        "gen_mix": f"SELECT event_type, count(*) AS events FROM ({generated['gen_identity']}) GROUP BY event_type",
+        "gen_start": f"WITH {_identity('event_id + 1001')} SELECT k, id FROM ids",
+        "gen_size": """SELECT n AS events, CAST(n // 50 * 200 + n * 3 // 50 * 500 + n * 46 // 50 * 100 AS BIGINT)
+  AS estimated_bytes FROM (SELECT count(*) AS n FROM events)""",
+        "f_mod": _with("bid", "SELECT id, auction % 123 AS remainder FROM bid"),
+        "f_datefmt": _with("bid", "SELECT id, strftime(dateTime, '%Y-%m-%d') AS dt, strftime(dateTime, '%H:%M') AS hm FROM bid"),
+        "f_hour": _with("bid", "SELECT id, hour(dateTime) AS hour FROM bid"),
+        "f_lower": _with("bid", "SELECT id, lower(channel) AS lowered FROM bid"),
+        "f_regex": _with("bid", """SELECT id, CASE WHEN regexp_matches(url, '(&|^)channel_id=([^&]*)')
+  THEN regexp_extract(url, '(&|^)channel_id=([^&]*)', 2) END AS channel_id FROM bid"""),
+        "f_split": _with("bid", "SELECT id, string_split(url, '/')[4] AS dir1, string_split(url, '/')[10] AS none FROM bid"),
+        "f_case": _with("bid", """SELECT id, CASE WHEN hour(dateTime) BETWEEN 8 AND 18 THEN 'dayTime'
+  WHEN hour(dateTime) <= 6 OR hour(dateTime) >= 20 THEN 'nightTime' ELSE 'otherTime' END AS kind FROM bid"""),
+        "f_proctime": "SELECT CAST(1 AS BIGINT) AS clocks, count(*) AS rows FROM events",
+        "u_countchar": _with("bid", """SELECT id, length(extra) - length(replace(extra, 'k', '')) AS k_count,
+  length(extra) - length(replace(extra, '"', '')) AS quotes FROM bid"""),
+        "st_wm_align": _with("auction bid", f"""SELECT * FROM (SELECT {start} AS starttime,
+  {start} + INTERVAL '{tumble}' AS endtime, count(*) AS events
+  FROM (SELECT dateTime FROM bid UNION ALL SELECT dateTime FROM auction) GROUP BY 1, 2)
+WHERE endtime <= least((SELECT max(dateTime) FROM bid), (SELECT max(dateTime) FROM auction)) - INTERVAL '4 seconds'"""),
+    }
