@@ -11,6 +11,7 @@ engines can repeat.
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from auctionstream import schemas
 
@@ -239,24 +240,24 @@ def _extra(rest: Column, average: int, slot: int) -> Column:
     return F.when(rest < 0, "").otherwise(cut(pool, start, size).cast("string"))
 
 
-def _person(df: DataFrame, c: EventConfig, only) -> DataFrame:
+def _person(df: DataFrame, c: EventConfig) -> DataFrame:
     mail = F.concat(text([_d(3), _d(4)], 7), F.lit("@"), text([_d(5), _d(6)], 5), F.lit(".com"))
     card = F.concat_ws(" ", *[F.lpad((_d(s) % 10_000).cast("string"), 4, "0") for s in range(7, 11)])
     out = df.withColumns({
         "person_id": F.col("_person") + FIRST_PERSON_ID,
-        "person_name": only(F.concat(pick(FIRST_NAMES, _d(1)), F.lit(" "), pick(LAST_NAMES, _d(2)))),
-        "person_emailAddress": only(mail),
-        "person_creditCard": only(card),
-        "person_city": only(pick(CITIES, _d(11))),
-        "person_state": only(pick(STATES, _d(12))),
+        "person_name": F.concat(pick(FIRST_NAMES, _d(1)), F.lit(" "), pick(LAST_NAMES, _d(2))),
+        "person_emailAddress": mail,
+        "person_creditCard": card,
+        "person_city": pick(CITIES, _d(11)),
+        "person_state": pick(STATES, _d(12)),
         "person_dateTime": F.timestamp_millis(F.col("_millis")),
     })
     parts = [F.length(f"person_{n}") for n in ("name", "emailAddress", "creditCard", "city", "state")]
     out = out.withColumn("_person_rest", c.person_size - 8 - sum(parts[1:], parts[0]))
-    return out.withColumn("person_extra", only(_extra(F.col("_person_rest"), c.person_size, 13)))
+    return out.withColumn("person_extra", _extra(F.col("_person_rest"), c.person_size, 13))
 
 
-def _auction(df: DataFrame, c: EventConfig, only) -> DataFrame:
+def _auction(df: DataFrame, c: EventConfig) -> DataFrame:
     """An auction lasts 1 ms to twice the time in which as many auctions start as are in flight."""
     ahead = c.in_flight_auctions * c.total // max(c.auction_share, 1)
     horizon = event_millis(F.col("_adjusted") + ahead, c) - F.col("_millis")
@@ -264,9 +265,9 @@ def _auction(df: DataFrame, c: EventConfig, only) -> DataFrame:
     seller = F.when(_d(19) % c.hot_sellers > 0, hot_seller).otherwise(any_person(20, c))
     out = df.withColumns({
         "auction_id": F.col("_auction") + FIRST_AUCTION_ID,
-        "auction_itemName": only(text([_d(s) for s in range(1, 4)], 20)),
-        "auction_description": only(text([_d(s) for s in range(5, 13)], 100)),
-        "auction_initialBid": only(price(16)),
+        "auction_itemName": text([_d(s) for s in range(1, 4)], 20),
+        "auction_description": text([_d(s) for s in range(5, 13)], 100),
+        "auction_initialBid": price(16),
         "auction_dateTime": F.timestamp_millis(F.col("_millis")),
         "auction_expires": F.timestamp_millis(
             F.col("_millis") + 1 + _d(18) % F.greatest(horizon * 2, F.lit(1))
@@ -276,13 +277,13 @@ def _auction(df: DataFrame, c: EventConfig, only) -> DataFrame:
     })
     used = 48 + F.length("auction_itemName") + F.length("auction_description")
     out = out.withColumns({
-        "auction_reserve": only(F.col("auction_initialBid") + price(17)),
+        "auction_reserve": F.col("auction_initialBid") + price(17),
         "_auction_rest": c.auction_size - used,
     })
-    return out.withColumn("auction_extra", only(_extra(F.col("_auction_rest"), c.auction_size, 22)))
+    return out.withColumn("auction_extra", _extra(F.col("_auction_rest"), c.auction_size, 22))
 
 
-def _bid(df: DataFrame, c: EventConfig, only) -> DataFrame:
+def _bid(df: DataFrame, c: EventConfig) -> DataFrame:
     """Half of the bids come through a well-known channel; the url depends on the channel alone."""
     hot_auction = F.col("_auction") - F.col("_auction") % HOT_SPAN
     hot_bidder = F.col("_person") - F.col("_person") % HOT_SPAN + 1
@@ -299,11 +300,11 @@ def _bid(df: DataFrame, c: EventConfig, only) -> DataFrame:
         "bid_id": F.col("_id"),
         "bid_auction": FIRST_AUCTION_ID + F.when(_d(1) % c.hot_auctions > 0, hot_auction).otherwise(any_auction(2, c)),
         "bid_bidder": c.bidder_offset + F.when(_d(3) % c.hot_bidders > 0, hot_bidder).otherwise(any_person(4, c)),
-        "bid_price": only(price(5)),
-        "bid_channel": only(F.when(is_cold, cold_name).otherwise(pick(HOT_CHANNELS, F.col("_channel")))),
-        "bid_url": only(url),
+        "bid_price": price(5),
+        "bid_channel": F.when(is_cold, cold_name).otherwise(pick(HOT_CHANNELS, F.col("_channel"))),
+        "bid_url": url,
         "bid_dateTime": F.timestamp_millis(F.col("_millis")),
-        "bid_extra": only(_extra(F.lit(c.bid_size - 32), c.bid_size, 9)),
+        "bid_extra": _extra(F.lit(c.bid_size - 32), c.bid_size, 9),
     })
 
 
@@ -334,15 +335,23 @@ def stream_numbers(spark: SparkSession, per_batch: int, advance_millis: int = 10
 
 
 def union_events(numbers_df: DataFrame, config: EventConfig = DEFAULT, events: int | None = None) -> DataFrame:
-    """One row per number: event_type, the struct of that type, event time, arrival and low-water mark."""
-    rows = with_times(with_identity(numbers_df, config, events), config)
-    rows = _with_draws(rows, AUCTION_SLOTS)
-    structs = []
+    """One row per number: event_type, the struct of that type, event time, arrival and low-water mark.
+
+    A branch per entity generates only what it needs, and a filter on event_type removes the others.
+    """
+    union = None
     for entity, kind in KINDS.items():
-        rows = BUILDERS[entity](rows, config, lambda c, kind=kind: F.when(F.col("_kind") == kind, c))
-        fields = [f for f, spec in zip(_fields(entity), FIELDS[entity]) if (entity, spec.name) != ("bid", "id")]
-        structs.append(F.when(F.col("_kind") == kind, F.struct(*fields)).alias(entity))
-    return rows.select(F.col("_kind").alias("event_type"), *structs, "dateTime", "arrival", "lowWaterMark")
+        flat = typed_events(numbers_df, entity, config, events, with_arrival=True)
+        structs = {
+            name: StructType([f for f in schema if (name, f.name) != ("bid", "id")]) for name, schema in FIELDS.items()
+        }
+        columns = [
+            F.struct(*structs[name].fieldNames()).alias(name) if name == entity else F.lit(None).cast(schema).alias(name)
+            for name, schema in structs.items()
+        ]
+        rows = flat.select(F.lit(kind).alias("event_type"), *columns, "dateTime", "arrival", "lowWaterMark")
+        union = rows if union is None else union.union(rows)
+    return union
 
 
 def typed_events(
@@ -354,7 +363,7 @@ def typed_events(
     late = ["arrival", "lowWaterMark"] if with_arrival else []
     if with_arrival:
         rows = with_times(rows, config)
-    rows = BUILDERS[entity](_with_draws(rows, SLOTS[entity]), config, lambda c: c)
+    rows = BUILDERS[entity](_with_draws(rows, SLOTS[entity]), config)
     return rows.select(*_fields(entity), *late)
 
 
