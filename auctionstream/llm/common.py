@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: The white space between words; everything else belongs to a word.
 SPACE = "[ \\t-\\r]"
 WORD = "[^ \\t-\\r]+"
-#: Stands for a missing id and sorts after every other one.
-NO_ID = 2**63 - 1
+#: Numbers from here on stand for missing ids; they sort after every other one.
+NO_ID = 2**62
 
 
 def documents(spark, folder: str) -> DataFrame:
@@ -31,6 +31,12 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
 
 
+def id_key(doc_id: Column, text: Column) -> Column:
+    """A number to know a document by: its id, or one that equal texts without an id share."""
+    of_text = F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(NO_ID))
+    return F.coalesce(doc_id.cast("long"), of_text)
+
+
 def unsigned(value: Column) -> Column:
     """The hash as a number of 0 to 2^53, for fractions and buckets."""
     return F.shiftrightunsigned(value, 11)
