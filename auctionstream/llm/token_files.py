@@ -82,6 +82,8 @@ class WordIds(dict):
             self.clear()
         if word[-1] in ".," and word[:-1].isalpha() and word.isascii():
             found = self[word[:-1]] + self[word[-1]]  # letters and a mark are split in any case
+        elif word.isascii() and word.isalpha():  # the normaliser only lowers it, and nothing splits it
+            found = np.array([t.id for t in self.library.model.tokenize(word.lower())], "<u4").tobytes()
         else:
             found = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = found

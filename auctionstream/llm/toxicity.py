@@ -14,13 +14,13 @@ from auctionstream.llm.common import bytes_of
 
 #: Labelled documents that the model is fitted on: at most so many of either label, by the hash of the text.
 SAMPLE_PER_LABEL = 3_000
-#: The log-likelihood ratio by which a feature must go with toxic documents of the sample (p of about 1e-4).
-LEAST_RATIO = 15.0
+#: The log-likelihood ratio by which a feature must go with toxic documents of the sample (p of about 0.002).
+LEAST_RATIO = 10.0
 #: Features that get a weight at most: those with the largest ratios.
 MOST_FEATURES = 50_000
 PREFIX = 5
 #: Strength of the pull of weights towards 0.
-RIDGE = 1e-4
+RIDGE = 1e-6
 THRESHOLD = 0.3
 SENTENCE = re.compile(rb"[^.!?\n]+[.!?]*")
 
@@ -78,7 +78,7 @@ def _telling(bags: list[tuple[int, list[set[bytes]]]]) -> list[bytes]:
     return sorted((f for f, x in ratios.items() if x >= LEAST_RATIO), key=lambda f: (-ratios[f], f))
 
 
-def _fit(bags: list[tuple[int, list[np.ndarray]]], n_features: int, priors: dict[int, float], steps: int = 200):
+def _fit(bags: list[tuple[int, list[np.ndarray]]], n_features: int, priors: dict[int, float], steps: int = 400):
     """Weights and bias that maximise the likelihood of the document labels under noisy-or, by Adam.
 
     A document is clean if all its sentences are: log P(clean) is the sum of log(1 - p) over sentences.
