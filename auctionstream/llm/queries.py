@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auctionstream.llm import decontamination, licenses, mixing, quality, sharding, simhash, token_counts, token_files, toxicity
+from auctionstream.llm import decontamination, licenses, mixing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity
 from auctionstream.llm.common import documents
 from auctionstream.session import work_folder
 
@@ -36,6 +36,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, folder)).drop("spans", "kept")
+
+
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_folder(spark, "token-files")
     token_files.write_tokens(documents(spark, folder), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
