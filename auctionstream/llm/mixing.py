@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from auctionstream.llm.common import SPACE, WORD, unsigned
+from auctionstream.llm.common import SPACE, WORD, let, unsigned
 from auctionstream.llm.running import ROWS_PER_BUCKET, buckets_for, running_total
 
 BLOCK_WORDS = 64
@@ -198,23 +198,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document taken whole keeps its exact text; of another one the taken pieces remain, joined by a
     space, each with the white space inside it. ``n_chars`` follows the text; other columns are kept.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    table, pieces = mix(docs, keep=others, **options)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select("doc_id", "source", "text", F.struct(*columns).alias("__doc"))
+    table, pieces = mix(rows, keep=("__doc",), **options)
     per_round = pieces.groupBy("group", "start", "round").agg(
         F.sum(F.col("last") - F.col("first") + 1).alias("__taken"),
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__pieces"),
     )
     same = (F.col("__group") == F.col("group")) & (F.col("__start") == F.col("start")) & (F.col("size") > 0)
     # Words with the white space after them: the pieces of a text are then plain concatenations.
-    parts = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD}{SPACE}*)"), 1)
-    cut = F.array_join(
-        F.transform("__pieces", lambda p: F.array_join(F.slice(F.col("__parts"), p["first"] + 1, p["last"] - p["first"] + 1), "")),
-        "",
-    )
-    found = table.join(per_round, same).withColumn("__parts", F.when(F.col("__taken") < F.col("size"), parts))
-    text = F.when(F.col("__taken") == F.col("size"), F.col("text")).otherwise(F.rtrim(cut))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.char_length("text").cast(kind))
-    return out.select(*docs.columns)
+    parts = F.regexp_extract_all(F.col("__doc.text"), F.lit(f"({WORD}{SPACE}*)"), 1)
+    cut = let(parts, lambda w: F.array_join(
+        F.transform("__pieces", lambda p: F.array_join(F.slice(w, p["first"] + 1, p["last"] - p["first"] + 1), "")), ""
+    ))
+    whole = F.col("__taken") == F.col("size")
+    found = table.join(per_round, same).withColumn("__text", F.when(whole, F.col("__doc.text")).otherwise(F.rtrim(cut)))
+    values = {"text": F.col("__text"), "n_chars": F.char_length("__text")}
+    return found.select(*[
+        values[f.name].cast(f.dataType).alias(f.name) if f.name in values else F.col(f"__doc.`{f.name}`") for f in docs.schema
+    ])

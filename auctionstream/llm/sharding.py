@@ -17,11 +17,12 @@ def interleave(
     a shard's rows from 0 without gaps.
 
     A null stratum is a stratum of its own. Null ids and texts are values like others. Identical rows get
-    places of their own. An empty table gives no rows. Columns starting with ``__`` are reserved.
+    places of their own. An empty table gives no rows. Columns named shard or slot are replaced; names
+    starting with ``__`` are reserved.
     """
     n = docs.count()
     buckets = buckets_for(n, rows_per_bucket)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
     rows = docs.withColumns({
         "__stratum": F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")),
         "__random": F.xxhash64(F.lit(seed), "doc_id"),

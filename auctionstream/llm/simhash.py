@@ -45,14 +45,18 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x) for x in bytes_of(batch.column("text"))], np.uint64).view(np.int64)
-        columns = [batch.column("doc_id"), batch.column("key"), pa.array(found, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp"])
+        columns = [batch.column(c) for c in ("doc_id", "key", "th")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int64())], ["doc_id", "key", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key and fp (the 64 bits as a signed number) per row; null and empty texts have 0."""
-    rows = docs.select(F.col("doc_id").cast("long"), id_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    return rows.mapInArrow(_fingerprints, "doc_id long, key long, fp long")
+    """doc_id, key and th (to know the row by) and fp (the 64 bits as a signed number) per row.
+
+    Null and empty texts have fingerprint 0.
+    """
+    key = id_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), key.alias("key"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(_fingerprints, "doc_id long, key long, th long, fp long")
 
 
 def sliced_links(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -222,25 +226,27 @@ def links(prints: DataFrame, largest: int = LARGEST_BUCKET) -> DataFrame:
 
 
 def classes(docs: DataFrame, largest: int = LARGEST_BUCKET) -> DataFrame:
-    """Per row: doc_id, key, fp, component_id, the smallest doc_id whose fingerprint is reachable by links.
+    """Per row: doc_id, key, th, fp, component_id (the smallest doc_id whose fingerprint is reachable by links)
+    and stays (for one document of each component: that of the smallest id, then text hash).
 
     Texts without words share fingerprint 0 and are linked like others. A null id sorts after all others;
-    component_id is null only if all ids of the component are. Ids are below 2^62. Repeated rows are kept. An empty table
-    gives no row. Other columns are not read. Runs jobs when called and writes fingerprints and links
-    below the shared folder.
+    component_id is null only if all ids of the component are. Ids are below 2^62. Repeated rows are kept.
+    An empty table gives no row. Other columns are not read. Runs jobs when called and writes
+    fingerprints and links below the shared folder.
     """
     prints = stage(fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("key").alias("least"))
+    distinct = prints.groupBy("fp").agg(F.min(F.struct("key", "th")).alias("least"))
     tied = components(links(distinct.select("fp"), largest))
     # Most fingerprints have no link: only those with one are looked up.
     of = tied.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("id"))
     ids = tied.join(of.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("node", "id")
     named = distinct.join(ids, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("own"), F.coalesce("id", "least").alias("component")
+        F.col("fp").alias("own"), F.coalesce("id", "least").alias("first")
     )
+    component = F.col("first.key")
     return prints.join(named, F.col("fp") == F.col("own")).select(
-        "doc_id", "key", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"),
-        (F.col("key") == F.col("component")).alias("stays"),
+        "doc_id", "key", "th", "fp", F.when(component < NO_ID, component).alias("component_id"),
+        (F.struct("key", "th") == F.col("first")).alias("stays"),
     )
 
 
@@ -249,11 +255,11 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one of each component left: that of the smallest id, of several rows with this
-    id the one with the smallest hash of all columns. All columns are kept."""
-    kept = classes(docs, **options).where("stays").select(F.col("key").alias("__kept")).distinct()
+    """The documents with one of each component left: the one that ``classes`` says stays, once if its row
+    is repeated. All columns are kept."""
+    kept = classes(docs, **options).where("stays").select(F.col("key").alias("__k"), F.col("th").alias("__h")).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("__key", id_key(F.col("doc_id"), F.col("text")))
-    same = Window.partitionBy("__key").orderBy(F.xxhash64(*columns))
-    chosen = rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    rows = docs.withColumns({"__key": id_key(F.col("doc_id"), F.col("text")), "__th": F.xxhash64("text")})
+    same = Window.partitionBy("__key", "__th").orderBy(F.xxhash64(*columns))
+    chosen = rows.join(kept, (F.col("__key") == F.col("__k")) & (F.col("__th") == F.col("__h")), "left_semi")
     return chosen.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*columns)
