@@ -24,44 +24,58 @@ UNITS = (
 )
 
 
-def marked(text: Column) -> Column:
-    """The words of a text, lower-cased, without punctuation, separated by spaces; a mark stands before
-    each number, each unit after a number and each capitalised word within a sentence."""
+#: What stands between words.
+GAP = f"[^\\p{{L}}\\p{{N}}\\p{{M}}{NAME}{NUMBER}{UNIT}]+"
+#: Sorts after all marks and before all letters and digits.
+MARKS_END = "\x04"
+
+
+def _with_numbers(text: Column) -> Column:
+    """Numbers as single words, with a mark before each and before a unit after it."""
     steps = (
         ("(?<=\\d)[.,](?=\\d)", ""),
         ("(\\d)(?=\\p{L})", "$1 "),
-        ("(?<=[\\p{L}\\p{N},;] )(?=\\p{Lu})", NAME),
         (f"(?<=\\d )(?=(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}]))", UNIT),
         ("(?<![\\p{L}\\p{N}])(?=\\d)", NUMBER),
-        (f"[^\\p{{L}}\\p{{N}}\\p{{M}}{NAME}{NUMBER}{UNIT}]+", " "),
     )
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}]", " ")
     for pattern, into in steps:
-        out = F.regexp_replace(out, pattern, into)
-    return F.trim(F.lower(out))
+        text = F.regexp_replace(text, pattern, into)
+    return text
+
+
+def marked_words(text: Column) -> Column:
+    """The words of a text, lower-cased, without punctuation; a mark stands before each number, each unit
+    after a number and each capitalised word within a sentence. Texts without a digit skip the numbers."""
+    own_marks = f"[{NAME}{NUMBER}{UNIT}]"
+    given = F.coalesce(text, F.lit(""))
+    plain = F.when(given.rlike(own_marks), F.regexp_replace(given, own_marks, " ")).otherwise(given)
+    numbered = let(plain, lambda t: F.when(t.rlike("\\d"), _with_numbers(t)).otherwise(t))
+    named = F.regexp_replace(numbered, "(?<=[\\p{L}\\p{N},;] )(?=\\p{Lu})", NAME)
+    return F.array_remove(F.split(F.lower(named), GAP), "")
 
 
 def windows(text: Column) -> Column:
     """An array of (h, i, slots): the hash of every five template words, where, and the marked words in them.
 
-    Texts of less than five words have none; windows with too few literal words are left out.
+    In the template a marked word is its mark alone. Texts of less than five words have no window; windows
+    with too few literal words are left out.
     """
-    def of_arrays(both: Column) -> Column:
-        starts = F.slice(both["c"], 1, F.greatest(F.size(both["c"]) - (WINDOW - 1), F.lit(0)))
-        return F.filter(
-            F.transform(starts, lambda w, i: F.struct(
-                F.xxhash64(w, *[F.get(both["c"], i + k) for k in range(1, WINDOW)]).alias("h"),
-                i.cast("int").alias("i"),
-                F.filter(F.slice(both["v"], i + 1, WINDOW), lambda x: x < "\x04").alias("slots"),
-            )),
-            lambda x: F.size(x["slots"]) <= WINDOW - LEAST_LITERALS,
-        )
-
-    def of_words(words: Column) -> Column:
-        template = F.regexp_replace(words, f"([{NAME}{NUMBER}{UNIT}])[^ ]*", "$1")
-        return let(F.struct(F.split(template, " ").alias("c"), F.split(words, " ").alias("v")), of_arrays)
-
-    return let(marked(text), of_words)
+    def hashed(template: Column, slots) -> Column:
+        starts = F.slice(template, 1, F.greatest(F.size(template) - (WINDOW - 1), F.lit(0)))
+        return F.transform(starts, lambda w, i: F.struct(
+            F.xxhash64(w, *[F.get(template, i + k) for k in range(1, WINDOW)]).alias("h"), i.cast("int").alias("i"),
+            slots(i).alias("slots"),
+        ))
+
+    def with_marks(words: Column) -> Column:
+        template = F.transform(words, lambda w: F.when(w < MARKS_END, F.substring(w, 1, 1)).otherwise(w))
+        found = let(template, lambda t: hashed(t, lambda i: F.filter(F.slice(words, i + 1, WINDOW), lambda w: w < MARKS_END)))
+        return F.filter(found, lambda x: F.size(x["slots"]) <= WINDOW - LEAST_LITERALS)
+
+    none = F.array().cast("array<string>")
+    return let(marked_words(text), lambda words: F.when(
+        F.coalesce(F.array_min(words) < MARKS_END, F.lit(False)), with_marks(words)
+    ).otherwise(hashed(words, lambda i: none)))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
