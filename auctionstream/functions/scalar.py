@@ -48,6 +48,10 @@ def regexp_group(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def has_parameter(url: Column, name: str) -> Column:
+    return F.instr(F.concat(F.lit("&"), url), f"&{name}=") > 0
+
+
 def url_parameter(url: Column, name: str) -> Column:
     """Value of a url parameter up to the next '&'; null when the url lacks it.
 
@@ -56,7 +60,7 @@ def url_parameter(url: Column, name: str) -> Column:
     marker = f"&{name}="
     padded = F.concat(F.lit("&"), url)
     behind = F.split_part(padded, F.lit(marker), F.lit(2))
-    return F.when(F.instr(padded, marker) > 0, F.substring_index(behind, "&", 1))
+    return F.when(has_parameter(url, name), F.substring_index(behind, "&", 1))
 
 
 def day_of(ts: Column) -> Column:
@@ -89,14 +93,17 @@ def bid_time_type(ts: Column) -> Column:
 
 
 def channel_id(channel: Column, url: Column) -> Column:
-    name, ids = F.lower(channel), iter(CHANNEL_IDS.items())
-    first, number = next(ids)
-    case = F.when(name == first, number)
-    for known, number in ids:
-        case = case.when(name == known, number)
+    case = F
+    for name, number in CHANNEL_IDS.items():
+        case = case.when(F.lower(channel) == name, number)
     return case.otherwise(url_parameter(url, "channel_id"))
 
 
+def has_channel_id(channel: Column, url: Column) -> Column:
+    """Whether ``channel_id`` is not null, without computing it."""
+    return F.lower(channel).isin(*CHANNEL_IDS) | has_parameter(url, "channel_id")
+
+
 def interval(duration: str) -> Column:
     """'10 seconds' as an interval column."""
     return F.expr(f"INTERVAL {duration}")

@@ -1,14 +1,14 @@
 """Equi, interval, lookup and multi-way joins.
 
 No broadcast hints: Catalyst and AQE broadcast a side when its size, estimated or measured, is below
-the session's threshold. The joins that end a query (q3, q13, q20 and its variants) leave skewed keys
-to AQE, which splits them; joins followed by work on the same key go through plans.skew.
+the session's threshold. AQE splits skewed keys. Joins that are followed by work on the same key (q4, q6,
+q9) need spark.sql.adaptive.forceOptimizeSkewedJoin for that, which build_session sets: the work on the
+key then gets a shuffle of its own, of rows that were reduced before it.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
 from auctionstream.functions.scalar import integer_avg
-from auctionstream.plans.skew import DEFAULT, Skew, equi_join
 
 Q3_STATES = ("OR", "ID", "CA")
 CATEGORY = 10
@@ -23,20 +23,19 @@ def q3_local_sellers(auction: DataFrame, person: DataFrame) -> DataFrame:
 
 
 def bids_in_auction_time(
-    bids: DataFrame, auctions: DataFrame, auction_id: str, start: str, end: str, skew: Skew = DEFAULT,
-    bid_time: str = "bid_dateTime",
+    bids: DataFrame, auctions: DataFrame, auction_id: str, start: str, end: str, bid_time: str = "bid_dateTime",
 ) -> DataFrame:
     """Every bid with its auction if it falls into [start, end], both ends included."""
     open_time = F.col(bid_time).between(F.col(start), F.col(end))
-    return equi_join(bids, auctions, "auction", auction_id, open_time, right_unique=True, skew=skew)
+    return bids.join(auctions, (F.col("auction") == F.col(auction_id)) & open_time)
 
 
-def q4_category_average(auction: DataFrame, bid: DataFrame, skew: Skew = DEFAULT) -> DataFrame:
+def q4_category_average(auction: DataFrame, bid: DataFrame) -> DataFrame:
     """Average final price of the auctions of a category."""
     a = auction.select("id", "category", F.col("dateTime").alias("__start"), "expires")
     b = bid.select("auction", "price", F.col("dateTime").alias("bid_dateTime"))
     final = (
-        bids_in_auction_time(b, a, "id", "__start", "expires", skew)
+        bids_in_auction_time(b, a, "id", "__start", "expires")
         .groupBy("id", "category")
         .agg(F.max("price").alias("final"))
     )
@@ -97,7 +96,7 @@ def q20_price(bid: DataFrame, auction: DataFrame) -> DataFrame:
     return q20_by_key(bid, auction, "price", ["price"])
 
 
-def q23_three_way(bid: DataFrame, person: DataFrame, auction: DataFrame, skew: Skew = DEFAULT) -> DataFrame:
+def q23_three_way(bid: DataFrame, person: DataFrame, auction: DataFrame) -> DataFrame:
     """Bids with their bidder and all auctions that the bidder sells.
 
     Persons meet auctions first: both are far fewer than bids, and all three share one key.
@@ -112,5 +111,5 @@ def q23_three_way(bid: DataFrame, person: DataFrame, auction: DataFrame, skew: S
         "expires", "seller", "category", F.col("extra").alias("auction_extra"),
     )
     sellers = p.join(a, F.col("person_id") == F.col("seller"))
-    joined = equi_join(b, sellers, "bidder", "seller", skew=skew)
+    joined = b.join(sellers, F.col("bidder") == F.col("seller"))
     return joined.select(*b.columns, *p.columns, *a.columns)

@@ -10,10 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from auctionstream.functions.scalar import interval
-from auctionstream.plans.sequence import CHUNK, with_chunks, with_halo
+from auctionstream.plans.ranges import PART, PLACE, Groups, in_ranges, numbers
+from auctionstream.plans.sequence import CHUNK, with_chunks
 from auctionstream.plans.skew import DEFAULT, Skew, may_be_hot
 from auctionstream.session import stage
 
@@ -34,39 +37,76 @@ def _sequence(bid: DataFrame, keys: list[str], tie: list[str], skew: Skew, min_l
 # ---- a falling run, then a rise ----------------------------------------------------------------
 
 
-def cep0_v_shape(bid: DataFrame, keys: list[str] = KEYS, tie: list[str] = [], skew: Skew = DEFAULT) -> DataFrame:
+def cep0_v_shape(
+    bid: DataFrame, keys: list[str] = KEYS, tie: list[str] = [], partitions: int | None = None
+) -> DataFrame:
     """START DOWN+ UP: at least two falls in a row, then a price above the one before the last fall.
 
     Strictly falling runs do not overlap and the UP row starts the next run, so a match is decided by
-    the UP row and the three rows before it. Its start is where the run began.
+    the UP row and the three rows before it. Its start is where the run began. A null price neither falls
+    nor rises. ``tie`` makes the order total.
+
+    In a range partition all is known but the first three rows of its first key, and where a run began
+    that goes back beyond the partition. The last three rows of the partition before, and the last start of a
+    run in each, settle that.
     """
-    order = ["dateTime", *tie]
-    rows = _sequence(bid, keys, tie, skew)
-    if may_be_hot(bid, skew):
-        rows = with_halo(rows, keys, order, 3)
-    else:
-        rows = rows.withColumn("__own", F.lit(True))
-    in_slice = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    one, two, three = (F.lag("price", i).over(in_slice) for i in (1, 2, 3))
-    rows = rows.withColumns({
-        "__starts": F.coalesce(F.col("price") >= one, F.lit(True)),
-        "__up": (three > two) & (two > one) & (F.col("price") > two),
-        "bottom_tstamp": F.lag("dateTime", 1).over(in_slice),
-    }).where("__own")
-    start = F.max(F.when(F.col("__starts"), F.col("dateTime")))
-    before = in_slice.rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("start_tstamp", start.over(before)).where("__up")
-    if may_be_hot(bid, skew):
-        earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            rows.where(F.col(CHUNK).isNotNull())
-            .groupBy(*keys, F.col(CHUNK).alias("__slice")).agg(start.alias("__start"))
-            .withColumn("__carried", F.max("__start").over(earlier)).drop("__start")
-            .withColumnsRenamed({k: f"__{k}" for k in keys})
-        )
-        same = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(CHUNK) == F.col("__slice")]
-        found = found.join(carried, same, "left").withColumn("start_tstamp", F.coalesce("start_tstamp", "__carried"))
-    return found.select(*keys, "start_tstamp", "bottom_tstamp", F.col("dateTime").alias("end_tstamp"))
+    rows = bid.select(*keys, "dateTime", *[c for c in tie if c not in keys], "price")
+    types = dict(rows.dtypes)
+    time = types["dateTime"]
+
+    def kernel(table: pa.Table, groups: Groups) -> dict:
+        price, known = numbers(table["price"])
+        n, at = len(price), np.arange(len(price))
+        falls = np.zeros(n, bool)
+        falls[1:] = known[1:] & known[:-1] & (price[1:] < price[:-1])
+        starts = ~falls | (groups.place == 0)
+        starts &= ~((groups.place == 0) & groups.begins_before)  # its predecessor is elsewhere
+        up = (groups.place >= 3) & np.roll(falls, 1) & np.roll(falls, 2) & known & (price > np.roll(price, 2))
+        last = np.append(-1, np.maximum.accumulate(np.where(starts, at, -1))[:-1])
+        begun = last >= groups.first
+        final = np.append(groups.group[1:] != groups.group[:-1], True)
+        last_start = np.zeros(n, bool)
+        newest = np.maximum.accumulate(np.where(starts, at, -1))[final & (groups.begins_before | groups.goes_on)]
+        last_start[newest[newest >= 0]] = True
+        last_start &= groups.begins_before | groups.goes_on
+        kinds = {"match": up & begun, "open": up & ~begun, "start": last_start, "end": groups.ends(3)}
+        take = np.concatenate([np.flatnonzero(x) for x in kinds.values()])
+        kind = np.repeat(list(kinds), [int(x.sum()) for x in kinds.values()])
+        times = table["dateTime"]
+        has_start = pa.array((kind == "match"))
+        return {
+            **{k: table[k].take(take) for k in keys}, "dateTime": times.take(take), "price": table["price"].take(take),
+            PLACE: groups.place[take], "__kind": pa.array(kind.astype(object), pa.string()), "__head": groups.heads(3)[take],
+            "start_tstamp": pc.if_else(has_start, times.take(np.maximum(last[take], 0)), None),
+            "bottom_tstamp": times.take(np.maximum(take - 1, 0)),
+        }
+
+    fields = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    found = in_ranges(
+        rows, keys, ["dateTime", *tie], kernel,
+        f"{fields}, dateTime {time}, price bigint, {PLACE} long, __kind string, __head boolean, start_tstamp {time}, bottom_tstamp {time}",
+        "v-shape", partitions,
+    )
+    along = Window.partitionBy(*keys).orderBy(PART, PLACE)
+    one, two, three = (F.lag("price", i).over(along) for i in (1, 2, 3))
+    heads = found.where("__kind = 'end'").withColumns({
+        "__up": F.coalesce((three > two) & (two > one) & (F.col("price") > two), F.lit(False)),
+        "__begins": F.coalesce(F.col("price") >= one, F.lit(True)), "bottom_tstamp": F.lag("dateTime", 1).over(along),
+    }).where("__head")
+    place = [*keys, PART, PLACE, "dateTime", "bottom_tstamp"]
+    begins, seeks = F.lit(True).alias("__begins"), F.lit(False)
+    points = (
+        found.where("__kind = 'start'").select(*place, begins)
+        .union(heads.where("__begins").select(*place, begins))
+        .union(heads.where("__up").select(*place, seeks))
+        .union(found.where("__kind = 'open'").select(*place, seeks))
+    )
+    # The last row of a match begins a run itself: not that one is sought, but the newest before it.
+    earlier = Window.partitionBy(*keys).orderBy(PART, PLACE, "__begins").rowsBetween(Window.unboundedPreceding, -1)
+    newest = F.max(F.when(F.col("__begins"), F.struct(PART, PLACE, "dateTime"))).over(earlier)
+    late = points.withColumn("start_tstamp", newest["dateTime"]).where("NOT __begins")
+    columns = [*keys, "start_tstamp", "bottom_tstamp", F.col("dateTime").alias("end_tstamp")]
+    return found.where("__kind = 'match'").select(*columns).union(late.select(*columns))
 
 
 # ---- groups of sorted rows in Arrow batches -----------------------------------------------------

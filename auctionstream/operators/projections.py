@@ -38,10 +38,10 @@ def q14_calculation(bid: DataFrame) -> DataFrame:
 
 def q21_channel_id(bid: DataFrame) -> DataFrame:
     """Bids whose channel is well known or whose url names a channel id."""
-    return bid.select(
-        "auction", "bidder", "price", "channel",
-        S.channel_id(F.col("channel"), F.col("url")).alias("channel_id"),
-    ).where(F.col("channel_id").isNotNull())
+    channel, url = F.col("channel"), F.col("url")
+    return bid.where(S.has_channel_id(channel, url)).select(
+        "auction", "bidder", "price", "channel", S.channel_id(channel, url).alias("channel_id")
+    )
 
 
 def q22_url_directories(bid: DataFrame) -> DataFrame:

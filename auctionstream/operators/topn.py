@@ -1,10 +1,11 @@
 """First rows per key: top-N, deduplication, winning bids and the moving average of winners."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auctionstream.operators.joins import bids_in_auction_time
-from auctionstream.plans.sequence import CHUNK, with_chunks, with_halo
-from auctionstream.plans.skew import DEFAULT, Skew, may_be_hot
+from auctionstream.plans.ranges import PART, PLACE, Groups, in_ranges, numbers
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
@@ -22,7 +23,9 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
 def q18_last_bid(bid: DataFrame) -> DataFrame:
     """Last bid of every bidder on every auction."""
     columns = ["auction", "bidder", "price", "channel", "url", "dateTime", "extra"]
-    return top_n(bid.select(*columns), ["bidder", "auction"], [F.col("dateTime").desc()], 1)
+    # Of bids at one instant the largest remaining columns count, as for the stream's max_by.
+    last = [F.col(c).desc() for c in ("dateTime", "price", "channel", "url", "extra")]
+    return top_n(bid.select(*columns), ["bidder", "auction"], last, 1)
 
 
 def q19_top_bids(bid: DataFrame, n: int = 10) -> DataFrame:
@@ -32,7 +35,7 @@ def q19_top_bids(bid: DataFrame, n: int = 10) -> DataFrame:
     return top_n(bid.select(*columns), ["auction"], order, n, rank="rank_number")
 
 
-def q9_winning_bids(auction: DataFrame, bid: DataFrame, skew: Skew = DEFAULT) -> DataFrame:
+def q9_winning_bids(auction: DataFrame, bid: DataFrame) -> DataFrame:
     """The highest, then earliest, bid of every auction while it was open, with all auction columns.
 
     The winner is found on the narrow columns of the auction; the wide ones join afterwards, in the
@@ -43,7 +46,7 @@ def q9_winning_bids(auction: DataFrame, bid: DataFrame, skew: Skew = DEFAULT) ->
     bids = bid.select(
         "auction", "bidder", "price", F.col("dateTime").alias("bid_dateTime"), F.col("extra").alias("bid_extra")
     )
-    offers = bids_in_auction_time(bids, narrow, "__id", "__start", "__end", skew)
+    offers = bids_in_auction_time(bids, narrow, "__id", "__start", "__end")
     best = [F.col("price").desc(), F.col("bid_dateTime")]
     winners = top_n(offers, ["__id"], best, 1)
     same = [F.col(c) == F.col(n) for c, n in version.items()]
@@ -52,35 +55,53 @@ def q9_winning_bids(auction: DataFrame, bid: DataFrame, skew: Skew = DEFAULT) ->
     return top_n(wide, ["id"], best, 1).select(*auction.columns, *bids.columns)
 
 
-def winners_per_auction(auction: DataFrame, bid: DataFrame, skew: Skew = DEFAULT) -> DataFrame:
+def winners_per_auction(auction: DataFrame, bid: DataFrame) -> DataFrame:
     sellers = auction.select("id", "seller", F.col("dateTime").alias("__start"), "expires")
     bids = bid.select("auction", "price", F.col("dateTime").alias("bid_dateTime"))
-    offers = bids_in_auction_time(bids, sellers, "id", "__start", "expires", skew)
+    offers = bids_in_auction_time(bids, sellers, "id", "__start", "expires")
     offers = offers.select("id", "seller", "price", F.col("bid_dateTime").alias("dateTime"))
     return top_n(offers, ["id", "seller"], [F.col("price").desc(), F.col("dateTime")], 1)
 
 
 def moving_average(
-    df: DataFrame, key: str, order: list[str], value: str, before: int, alias: str, skew: Skew = DEFAULT
+    df: DataFrame, key: str, order: list[str], value: str, before: int, alias: str, partitions: int | None = None
 ) -> DataFrame:
-    """Integer average over the current and the ``before`` preceding rows of the key.
+    """Integer average, cut towards zero, over the current and the ``before`` preceding rows of the key.
 
-    The first order column is a time; the sequence of a hot key is cut into time slices by it.
+    ``order`` must be total. Nulls don't count; over nulls alone the average is null. The rows of a hot key
+    are averaged in as many range partitions as they fill; only the first ``before`` rows of a partition
+    wait for the last ones of the partitions before it. Writes below the shared folder.
     """
-    if not may_be_hot(df, skew):
-        frame = Window.partitionBy(key).orderBy(*order).rowsBetween(-before, 0)
-        return df.withColumn(alias, _avg_over(value, frame))
-    rows = with_halo(with_chunks(df, [key], order[0], skew), [key], order, before)
-    frame = Window.partitionBy(key, CHUNK).orderBy(*order).rowsBetween(-before, 0)
-    return rows.withColumn(alias, _avg_over(value, frame)).where("__own").drop("__own", CHUNK)
+    columns, types = df.columns, dict(df.dtypes)
+
+    def kernel(table: pa.Table, groups: Groups) -> dict:
+        values, known = numbers(table[value])
+        since = np.maximum(groups.first, np.arange(len(values)) - before)
+        total, count = (np.append(0, np.cumsum(x)) for x in (values, known.astype(np.int64)))
+        here = np.arange(1, len(values) + 1)
+        sums, counts = total[here] - total[since], count[here] - count[since]
+        cut = np.sign(sums) * (np.abs(sums) // np.maximum(counts, 1))
+        done = ~groups.heads(before)
+        return {
+            **{c: table[c] for c in columns}, PLACE: groups.place, "__done": done, "__end": groups.ends(before),
+            alias: pa.array(cut, pa.int64(), mask=~done | (counts == 0)),
+        }
+
+    fields = ", ".join(f"`{c}` {types[c]}" for c in columns)
+    found = in_ranges(
+        df, [key], order, kernel, f"{fields}, {PLACE} long, __done boolean, __end boolean, `{alias}` long", "moving-average", partitions
+    )
+    frame = Window.partitionBy(key).orderBy(PART, PLACE).rowsBetween(-before, 0)
+    heads = found.where("__end").withColumn(alias, _avg_over(value, frame)).where("NOT __done")
+    return found.where("__done").union(heads).select(*columns, alias)
 
 
 def _avg_over(value: str, frame) -> Column:
-    return F.call_function("div", F.sum(value).over(frame), F.count(value).over(frame))
+    return F.call_function("div", F.sum(value).over(frame), F.nullif(F.count(value).over(frame), F.lit(0)))
 
 
-def q6_seller_average(auction: DataFrame, bid: DataFrame, before: int = 10, skew: Skew = DEFAULT) -> DataFrame:
+def q6_seller_average(auction: DataFrame, bid: DataFrame, before: int = 10) -> DataFrame:
     """Moving average of a seller's winning prices in order of bid time: the row and 10 before it."""
-    winners = winners_per_auction(auction, bid, skew)
-    averages = moving_average(winners, "seller", ["dateTime", "id"], "price", before, "avg_price", skew)
+    winners = winners_per_auction(auction, bid)
+    averages = moving_average(winners, "seller", ["dateTime", "id"], "price", before, "avg_price")
     return averages.select(F.col("seller").cast("string").alias("seller"), "avg_price")

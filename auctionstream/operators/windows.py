@@ -3,6 +3,8 @@
 The grouping functions at the end also serve the streams.
 """
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,18 +38,22 @@ def tumble_max(bid: DataFrame, size: str = "10 seconds") -> DataFrame:
 def hop_start_counts(bid: DataFrame, size: str, slide: str) -> DataFrame:
     """Bids per auction and start of the hopping window.
 
-    The windows of a bid are exploded from the slice it is in. Unlike the hop of ``window`` this leaves
-    no filter above an Expand, so two uses of the counts have equal plans and share one shuffle.
+    Bids are counted per pane first, the longest span that every window holds wholly or not at all; the
+    few counts, not the bids, are then repeated for each window of their pane.
     """
     length, step = pd.Timedelta(size), pd.Timedelta(slide)
-    slices = bid.where(F.col("dateTime").isNotNull()).select(
-        "auction", "dateTime", tumble(slide)["start"].alias("__slice")
+    pane = pd.Timedelta(math.gcd(length.value, step.value))
+    per_pane = (
+        bid.where(F.col("dateTime").isNotNull())
+        .groupBy("auction", tumble(f"{pane.value // 1000} microseconds")["start"].alias("__pane"))
+        .agg(F.count("*").alias("__n"))
     )
-    starts = [F.col("__slice") - interval(slide) * k for k in range(-(-length // step))]
-    rows = slices.withColumn("start", F.explode(F.array(*starts)))
+    first = tumble(slide, "__pane")["start"]
+    starts = F.array(*[first - interval(slide) * k for k in range(-(-length // step))])
+    rows = per_pane.select("auction", "__pane", "__n", F.explode(starts).alias("start"))
     if length % step:
-        rows = rows.where(F.col("dateTime") < F.col("start") + interval(size))
-    return rows.groupBy("auction", "start").agg(F.count("*").alias("num"))
+        rows = rows.where(F.col("__pane") < F.col("start") + interval(size))
+    return rows.groupBy("auction", "start").agg(F.sum("__n").alias("num"))
 
 
 def q5_hot_items(bid: DataFrame, size: str = "10 seconds", slide: str = "2 seconds") -> DataFrame:
@@ -66,21 +72,23 @@ def q5_hot_items(bid: DataFrame, size: str = "10 seconds", slide: str = "2 secon
 def q7_highest_bid(bid: DataFrame, size: str = "10 seconds") -> DataFrame:
     """The bids that reach the maximum of a tumbling window, whose both ends count.
 
-    A bid belongs to the window that contains it and, at a boundary, also to the one that ends there.
-    The window end is thus part of the join key, so equal prices of different windows never meet.
+    A bid belongs to the window that contains it. One at a boundary also counts for the window that ends
+    there, if it equals that window's maximum, which it does not raise. The rank keeps the highest bids of
+    each window, and all those at its end, before the shuffle; then the two meet.
     """
-    most = tumble_max(bid, size).select("maxprice", F.col("window.end").alias("__max_end"))
-    own = tumble(size)
+    window = F.struct(F.col("__w.end").alias("end"), F.lit(True).alias("own"))
+    before = F.struct(F.col("__w.start").alias("end"), F.lit(False).alias("own"))
     at_boundary = F.col("dateTime") == F.col("__w.start")
-    ends = F.when(at_boundary, F.array(F.col("__w.start"), F.col("__w.end"))).otherwise(F.array(F.col("__w.end")))
-    bids = (
-        bid.select("auction", "price", "bidder", "dateTime", "extra")
-        .withColumn("__w", own)
-        .withColumn("__end", F.explode(ends))
-        .drop("__w")
+    rows = (
+        bid.where(F.col("price").isNotNull()).select("auction", "price", "bidder", "dateTime", "extra")
+        .withColumn("__w", tumble(size))
+        .withColumn("__of", F.explode(F.when(at_boundary, F.array(window, before)).otherwise(F.array(window))))
+        .select("*", F.col("__of.end").alias("__end"), F.col("__of.own").alias("__own"))
     )
-    on = (F.col("__end") == F.col("__max_end")) & (F.col("price") == F.col("maxprice"))
-    return bids.join(most, on).select("auction", "price", "bidder", "dateTime", "extra")
+    highest = Window.partitionBy("__end", "__own").orderBy(F.when(F.col("__own"), F.col("price")).desc())
+    best = rows.withColumn("__rank", F.rank().over(highest)).where("__rank = 1")
+    maximum = F.max(F.when(F.col("__own"), F.col("price"))).over(Window.partitionBy("__end"))
+    return best.withColumn("__max", maximum).where("price = __max").select("auction", "price", "bidder", "dateTime", "extra")
 
 
 def q8_new_sellers(person: DataFrame, auction: DataFrame, size: str = "10 seconds") -> DataFrame:

@@ -127,7 +127,8 @@ FROM bid WHERE {EURO} > 1000000 AND {EURO} < 50000000"""),
         "q17": _with("bid", f"""SELECT auction, strftime(dateTime, '%Y-%m-%d') AS day, {STATISTICS}
 FROM bid GROUP BY auction, day"""),
         "q18": _with("bid", """SELECT auction, bidder, price, channel, url, dateTime, extra FROM (
-  SELECT *, row_number() OVER (PARTITION BY bidder, auction ORDER BY dateTime DESC) AS rn FROM bid) WHERE rn = 1"""),
+  SELECT *, row_number() OVER (PARTITION BY bidder, auction
+    ORDER BY dateTime DESC, price DESC, channel DESC, url DESC, extra DESC) AS rn FROM bid) WHERE rn = 1"""),
         "q19": _with("bid", """SELECT auction, bidder, price, channel, url, dateTime, extra, rank_number FROM (
   SELECT *, row_number() OVER (PARTITION BY auction ORDER BY price DESC, dateTime) AS rank_number FROM bid)
 WHERE rank_number <= 10"""),

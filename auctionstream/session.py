@@ -17,6 +17,8 @@ def build_session(master: str = "local[8]", app: str = "auctionstream", shuffle_
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # A join before work on the same key may be split too, at the price of one more shuffle behind it.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.driver.memory", "8g")
         # The event generator's stages compile to methods above HotSpot's default limit.

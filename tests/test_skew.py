@@ -1,13 +1,13 @@
-"""Results do not change when keys are split."""
+"""Results do not change when hot keys are split over tasks."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from auctionstream.operators import joins, topn
-from auctionstream.plans.skew import Skew, equi_join, hot_keys, may_be_hot
 from auctionstream.sources import adapter
-
-SPLIT = Skew(rows_per_task=7, small_bytes=0)
+from auctionstream.sources.sinks import discard
 
 
 def rows(df):
@@ -26,44 +26,57 @@ def hot_bids(bid):
     return hot.unionByName(hot.where("id < 30"))
 
 
-def test_size_gate(inputs):
-    assert not may_be_hot(inputs["bid"], Skew())
-    assert may_be_hot(inputs["bid"], SPLIT)
-
-
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(1000).select((F.col("id") % 100).alias("k"))
-    assert hot_keys(df, ["k"], Skew(rows_per_task=1, max_hot_keys=99)).count() == 0
-    assert hot_keys(df, ["k"], Skew(rows_per_task=1, max_hot_keys=100)).count() == 100
-
-
-def test_both_sides_salted(spark):
-    left = spark.range(200).select((F.col("id") % 5 % 3).alias("a"), F.col("id").alias("x"))
-    right = spark.range(90).select((F.col("id") % 4 % 3).alias("b"), F.col("id").alias("y"))
-    plain = rows(left.join(right, F.col("a") == F.col("b")))
-    for unique in (True, False):
-        assert rows(equi_join(left, right, "a", "b", right_unique=unique, skew=SPLIT)) == plain
+SPLITTING = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+}
 
 
 @pytest.mark.parametrize("name", ["q4", "q6", "q9", "q23"])
-def test_split_equals_whole(inputs, name):
-    person, auction, bid = inputs["person"], inputs["auction"], hot_bids(inputs["bid"])
+def test_skewed_joins_are_split_and_keep_their_rows(spark, inputs, name):
+    person, auction, bid = inputs["person"], inputs["auction"], hot_bids(inputs["bid"]).repartition(8)
     run = {
-        "q4": lambda s: joins.q4_category_average(auction, bid, skew=s),
-        "q6": lambda s: topn.q6_seller_average(auction.withColumn("seller", F.col("seller") % 3), bid, skew=s),
-        "q9": lambda s: topn.q9_winning_bids(auction, bid, skew=s),
-        "q23": lambda s: joins.q23_three_way(bid, person, auction, skew=s),
+        "q4": lambda: joins.q4_category_average(auction, bid),
+        "q6": lambda: topn.winners_per_auction(auction, bid),
+        "q9": lambda: topn.q9_winning_bids(auction, bid),
+        "q23": lambda: joins.q23_three_way(bid, person, auction),
     }[name]
-    assert rows(run(SPLIT)) == rows(run(Skew()))
-
-
-@pytest.mark.parametrize("per_task", [3, 7, 50])
-def test_moving_average_over_chunks(spark, per_task):
-    df = spark.range(400).select(
-        (F.col("id") % 7 % 3).alias("k"),
-        F.timestamp_seconds(F.col("id") * F.col("id") % 1009).alias("t"),
-        "id", (F.col("id") * 37 % 101).alias("v"),
-    )
-    whole = topn.moving_average(df, "k", ["t", "id"], "v", 10, "m", Skew())
-    split = topn.moving_average(df, "k", ["t", "id"], "v", 10, "m", Skew(rows_per_task=per_task, small_bytes=0))
-    assert rows(split.select(*whole.columns)) == rows(whole)
+    whole = rows(run())
+    try:
+        for k, v in SPLITTING.items():
+            spark.conf.set(k, v)
+        split = run()
+        assert rows(split) == whole
+        assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in SPLITTING:
+            spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_moving_average_over_ranges(spark, partitions):
+    random.seed(4)
+    values = [(i % 7 % 3 if i % 11 else None, i * i % 1009, i, random.choice([None, -7, 3, 2**53 + 1, i])) for i in range(400)]
+    df = spark.createDataFrame(values, "k long, t long, id long, v long")
+    expected = []
+    for key in {r[0] for r in values}:
+        own = sorted((r for r in values if r[0] == key), key=lambda r: (r[1], r[2]))
+        for i, r in enumerate(own):
+            known = [x[3] for x in own[max(0, i - 10) : i + 1] if x[3] is not None]
+            total = sum(known)
+            expected.append((*r, (abs(total) // len(known)) * (1 if total >= 0 else -1) if known else None))
+    found = topn.moving_average(df, "k", ["t", "id"], "v", 10, "m", partitions)
+    assert rows(found) == sorted(expected, key=str)
+
+
+def test_bursts_fill_several_ranges(spark):
+    """A key with nearly all rows in an instant is cut by rows, not by time."""
+    df = spark.range(10_000).select(F.lit(1).cast("long").alias("k"), (F.col("id") < 9_990).cast("long").alias("t"), "id", F.col("id").alias("v"))
+    from auctionstream.plans.ranges import PART, in_ranges
+
+    cut = in_ranges(df, ["k"], ["t", "id"], lambda table, groups: {"n": [table.num_rows]}, "n long", "sizes", 10)
+    sizes = [r.n for r in cut.collect()]
+    assert len(sizes) > 5 and max(sizes) < 3_000
+    assert cut.select(PART).distinct().count() == len(sizes)
+    discard(topn.moving_average(df, "k", ["t", "id"], "v", 10, "m", 10))
