@@ -64,7 +64,7 @@ def _sample(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int)
     return [(r.toxic, r.text.encode()) for r in found.collect()]
 
 
-def _telling(bags: list[tuple[int, list[set[bytes]]]]) -> list[bytes]:
+def _telling(bags: list[tuple[int, list[tuple[bytes, ...]]]]) -> list[bytes]:
     """Features found in toxic documents more often than chance explains, the most telling first."""
     n = Counter(label for label, _ in bags)
     counts = {x: Counter(f for label, bag in bags if label == x for f in set().union(*bag)) for x in (0, 1)}
@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = S
     sample = _sample(docs, labels, usable, per_label)
     known = labels.where(F.col("toxic").isin(0, 1)).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     share = ((known.toxic or 0) + 1) / (known.n + 2)
-    bags = [(label, _sentences(text)) for label, text in sample]
+    one: dict[bytes, bytes] = {}  # one object per feature: the sample repeats most
+    bags = [(label, [tuple(one.setdefault(f, f) for f in s) for s in _sentences(text)]) for label, text in sample]
     chosen = _telling(bags)[:MOST_FEATURES]
     place = {f: i for i, f in enumerate(chosen)}
     if len({label for label, _ in bags}) < 2 or not place:
