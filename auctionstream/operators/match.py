@@ -12,8 +12,10 @@ A key is one sequence and so one task's work; the named queries of operators.pat
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 PAST_LAST_ROW, TO_NEXT_ROW = "past last row", "to next row"
 
@@ -29,9 +31,10 @@ class Mapped:
 
     def give_back(self, variable: str) -> None:
         row = self._rows[variable].pop()
-        for (name, column), (count, total) in list(self._sums.items()):
+        for (name, column), (count, known, total) in list(self._sums.items()):
             if name == variable and count > len(self._rows[variable]):
-                self._sums[name, column] = (count - 1, total - row[self._place[column]])
+                value = row[self._place[column]]
+                self._sums[name, column] = (count - 1, known - (value is not None), total - (value or 0))
 
     def count(self, variable: str) -> int:
         return len(self._rows.get(variable, ()))
@@ -45,14 +48,22 @@ class Mapped:
         return rows[-1 - back][self._place[column]] if len(rows) > back else None
 
     def avg(self, variable: str, column: str):
-        """Integer average, cut towards zero."""
-        rows = self._rows.get(variable)
-        if not rows:
-            return None
-        count, total = self._sums.get((variable, column), (0, 0))
-        total += sum(r[self._place[column]] for r in rows[count:])
-        self._sums[variable, column] = (len(rows), total)
-        return int(total / len(rows)) if abs(total) < 2**53 else (abs(total) // len(rows)) * (1 if total > 0 else -1)
+        """Integer average of the values that are not null, cut towards zero; null if there is none."""
+        rows = self._rows.get(variable, [])
+        count, known, total = self._sums.get((variable, column), (0, 0, 0))
+        values = [v for r in rows[count:] if (v := r[self._place[column]]) is not None]
+        known, total = known + len(values), total + sum(values)
+        self._sums[variable, column] = (len(rows), known, total)
+        return (abs(total) // known) * (1 if total > 0 else -1) if known else None
+
+
+def below(a, b) -> bool:
+    """Whether a < b; a comparison with null does not hold."""
+    return a is not None and b is not None and a < b
+
+
+def minus(a, b):
+    return None if a is None or b is None else a - b
 
 
 @dataclass(frozen=True)
@@ -148,11 +159,18 @@ def match_rows(df: DataFrame, partition_by: list[str], order_by: list[str], patt
     place, time = {c: i for i, c in enumerate(columns)}, order_by[0]
     key_places = [place[k] for k in partition_by]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.types)]
+        return pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for part in parts:
             out = []
-            for row in part[columns].itertuples(index=False, name=None):
+            # Arrow keeps nulls and large integers as they are.
+            for row in zip(*[part.column(c).to_pylist() for c in columns]):
                 row_key = tuple(row[i] for i in key_places)
                 if row_key != key:
                     out += [(*key, *m) for m in find_matches(rows, place, time, pattern, True)[0]] if key else []
@@ -163,13 +181,13 @@ def match_rows(df: DataFrame, partition_by: list[str], order_by: list[str], patt
                 matches, start = find_matches(rows, place, time, pattern, False)
                 out += [(*key, *m) for m in matches]
                 rows = rows[start:]
-            yield pd.DataFrame(out, columns=[*partition_by, *pattern.measures])
+            yield table(out)
         if key:
             out = [(*key, *m) for m in find_matches(rows, place, time, pattern, True)[0]]
-            yield pd.DataFrame(out, columns=[*partition_by, *pattern.measures])
+            yield table(out)
 
     placed = df.repartition(*partition_by).sortWithinPartitions(*partition_by, *order_by)
-    return placed.mapInPandas(run, schema)
+    return placed.mapInArrow(run, schema)
 
 
 # ---- the four patterns over rows with a time in microseconds ------------------------------------
@@ -178,11 +196,11 @@ def match_rows(df: DataFrame, partition_by: list[str], order_by: list[str], patt
 def v_shape(time: str = "micros") -> Pattern:
     def down(m: Mapped) -> bool:
         before = m.last("DOWN", "price", 1)
-        return m.last("DOWN", "price") < (m.last("START", "price") if before is None else before)
+        return below(m.last("DOWN", "price"), m.last("START", "price") if m.count("DOWN") == 1 else before)
 
     def up(m: Mapped) -> bool:
         before = m.last("DOWN", "price", 1)
-        return before is not None and m.last("UP", "price") > before
+        return m.count("DOWN") > 1 and below(before, m.last("UP", "price"))
 
     return Pattern(
         steps=(("START", ""), ("DOWN", "+"), ("UP", "")),
@@ -199,7 +217,7 @@ def v_shape(time: str = "micros") -> Pattern:
 def low_average(limit: int = 10_000, skip: str = PAST_LAST_ROW, time: str = "micros") -> Pattern:
     return Pattern(
         steps=(("A", "+"), ("B", "")),
-        define={"A": lambda m: m.avg("A", "price") < limit},
+        define={"A": lambda m: below(m.avg("A", "price"), limit)},
         measures={
             "start_tstamp": ("bigint", lambda m: m.first("A", time)),
             "end_tstamp": ("bigint", lambda m: m.last("A", time)),
@@ -213,8 +231,8 @@ def drop_within(drop: int = 50, within_micros: int = 5_000_000, time: str = "mic
     return Pattern(
         steps=(("A", ""), ("B", "*"), ("C", "")),
         define={
-            "B": lambda m: m.last("B", "price") > m.last("A", "price") - drop,
-            "C": lambda m: m.last("C", "price") < m.last("A", "price") - drop,
+            "B": lambda m: below(minus(m.last("A", "price"), drop), m.last("B", "price")),
+            "C": lambda m: below(m.last("C", "price"), minus(m.last("A", "price"), drop)),
         },
         measures={
             "drop_time": ("bigint", lambda m: m.last("C", time)),

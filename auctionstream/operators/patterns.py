@@ -24,11 +24,17 @@ KEYS = ["auction", "bidder"]
 LIMIT, DROP, WITHIN = 10_000, 50, "5 seconds"
 # Positions of rows along a key: slice number times this, plus the row's place in its slice.
 SLICE_SPAN = 1 << 40
+#: Whether the price is missing.
+NONE = "__none"
 
 
 def _sequence(bid: DataFrame, keys: list[str], tie: list[str], skew: Skew, min_length: str | None = None) -> DataFrame:
     """Key, order and price columns with ``__chunk``: null, or the slice of a hot key."""
-    rows = bid.select(*keys, "dateTime", *[c for c in tie if c not in keys], "price")
+    rows = bid.select(
+        *keys, "dateTime", *[c for c in tie if c not in keys],
+        # Two columns without nulls: pandas would turn a nullable integer into a float.
+        F.coalesce("price", F.lit(0)).alias("price"), F.col("price").isNull().alias(NONE),
+    )
     if not may_be_hot(bid, skew):
         return rows.withColumn(CHUNK, F.lit(None).cast("int"))
     return with_chunks(rows, keys, "dateTime", skew, min_length)
@@ -153,7 +159,8 @@ def _group_bounds(part: pd.DataFrame, group: list[str]) -> np.ndarray:
     change[0] = True
     for c in group:
         values = part[c].to_numpy(dtype="float64" if c == CHUNK else None, na_value=-1) if c == CHUNK else part[c].to_numpy()
-        change[1:] |= values[1:] != values[:-1]
+        missing = pd.isna(values)
+        change[1:] |= (values[1:] != values[:-1]) & ~(missing[1:] & missing[:-1])
     return np.append(np.flatnonzero(change), len(part))
 
 
@@ -196,6 +203,11 @@ def next_at_or_below(value: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     return np.array(found, dtype="int64")
 
 
+def divided(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Integer quotient, cut towards zero."""
+    return np.sign(total) * (np.abs(total) // np.maximum(count, 1))
+
+
 # ---- a run of low average, then any row ---------------------------------------------------------
 
 
@@ -205,7 +217,8 @@ def cep2_low_average_overlapping(
     """A+ B, skip to next row: from every row, the longest run whose average stays below the limit.
 
     With S the running sum of price minus limit, a run from row i ends before the first later row j
-    with S(j) >= S(i-1): the next greater element of S.
+    with S(j) >= S(i-1): the next greater element of S. A missing price begins no run, and within one it
+    counts neither for the sum nor for the number of prices.
     """
     return _low_average(bid, keys, tie, limit, skew).select(*keys, "start_tstamp", "end_tstamp", "avg_price")
 
@@ -247,11 +260,14 @@ def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, sk
     run_fields = RUN_FIELDS.format(time=types["dateTime"])
 
     def kernel(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        over = part["price"].to_numpy("int64") - limit
+        known = ~part[NONE].to_numpy(bool)
+        over = np.where(known, part["price"].to_numpy("int64") - limit, 0)
         times = part["dateTime"].to_numpy()
         first = np.repeat(bounds[:-1], np.diff(bounds))
         total = np.cumsum(over)
         sums = total - (total - over)[first]  # running sum within the slice
+        seen = np.cumsum(known) - known
+        seen = seen - seen[first]  # prices before the row within the slice
         before = sums - over
         ends = np.full(len(part), -1, dtype="int64")
         for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -261,8 +277,8 @@ def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, sk
         starts = over < 0
         done = np.flatnonzero(starts & (ends >= 0))
         until = ends[done]
-        count = until - done
-        average = (sums[until - 1] - before[done] + limit * count) // np.maximum(count, 1)
+        count = seen[until] - seen[done]
+        average = divided(sums[until - 1] - before[done] + limit * count, count)
         base = part[CHUNK].to_numpy(dtype="float64", na_value=0).astype("int64") * SLICE_SPAN
         out = part.loc[done, [*keys, CHUNK]].assign(
             start_tstamp=times[done], end_tstamp=times[until - 1], avg_price=average,
@@ -271,31 +287,31 @@ def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, sk
         if part[CHUNK].isna().all():
             return out
         place = np.arange(len(part)) - first
-        frames = [out.assign(__kind="run", __sum=0, __place=0)]
+        frames = [out.assign(__kind="run", __sum=0, __place=0, __known=0)]
         # Runs that the slice leaves open: their sum before the start is the level to reach.
-        frames.append(_marks(part, np.flatnonzero(starts & (ends < 0)), "open", before, place, times))
+        frames.append(_marks(part, np.flatnonzero(starts & (ends < 0)), "open", before, place, times, seen))
         # Rows that exceed all sums of the slice before them: only they can end a run from outside.
         at = np.concatenate([
             lo + np.flatnonzero(np.append(True, np.diff(np.maximum.accumulate(sums[lo:hi])) > 0))
             for lo, hi in zip(bounds[:-1], bounds[1:])
         ])
         previous = np.where(at > first[at], times[np.maximum(at - 1, 0)], np.datetime64("NaT"))
-        frames.append(_marks(part, at, "record", sums, place, times).assign(end_tstamp=previous, avg_price=over[at]))
+        frames.append(_marks(part, at, "record", sums, place, times, seen).assign(end_tstamp=previous, avg_price=over[at]))
         peaks = np.array([sums[lo:hi].max() for lo, hi in zip(bounds[:-1], bounds[1:])])
-        frames.append(_marks(part, bounds[1:] - 1, "slice", sums, place, times).assign(avg_price=peaks))
+        frames.append(_marks(part, bounds[1:] - 1, "slice", sums, place, times, seen + known).assign(avg_price=peaks))
         return pd.concat([f for f in frames if len(f)])
 
-    def _marks(part, at, kind, sums, place, times):
+    def _marks(part, at, kind, sums, place, times, known):
         return part.loc[at, [*keys, CHUNK]].assign(
             start_tstamp=times[at], end_tstamp=times[at], avg_price=0, __from=0, __to=0,
-            __kind=kind, __sum=sums[at], __place=place[at],
+            __kind=kind, __sum=sums[at], __place=place[at], __known=known[at],
         )
 
     fields = f"{key_fields}, {run_fields}"
     if not may_be_hot(bid, skew):
         return _by_slice(rows, keys, order, kernel, fields)
     cold = _by_slice(rows.where(F.col(CHUNK).isNull()), keys, order, kernel, fields)
-    marked = f"{fields}, __kind string, __sum bigint, __place bigint"
+    marked = f"{fields}, __kind string, __sum bigint, __place bigint, __known bigint"
     hot = stage(
         _by_slice(rows.where(F.col(CHUNK).isNotNull()), keys, order, kernel, marked), "low-average", "__kind"
     )
@@ -317,7 +333,7 @@ def _runs_across_slices(found: DataFrame, keys: list[str], key_fields: str, run_
     offsets = slices.select(
         *keys, F.col(CHUNK).alias("__slice"),
         F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"),
-        F.coalesce(F.sum(F.col("__place") + 1).over(earlier), F.lit(0)).alias("__rows"),
+        F.coalesce(F.sum("__known").over(earlier), F.lit(0)).alias("__known_before"),
         F.max("start_tstamp").over(earlier).alias("__last_time"),
         F.col("avg_price").alias("__peak"),
     ).withColumnsRenamed(named)
@@ -326,7 +342,7 @@ def _runs_across_slices(found: DataFrame, keys: list[str], key_fields: str, run_
     def globally(kind: str) -> DataFrame:
         rows = found.where(F.col("__kind") == kind).join(offsets, at_slice)
         return rows.withColumns({
-            "__level": F.col("__sum") + F.col("__base"), "__nr": F.col("__place") + F.col("__rows"),
+            "__level": F.col("__sum") + F.col("__base"), "__nr": F.col("__known") + F.col("__known_before"),
         })
 
     opened = globally("open").select(*keys, CHUNK, "start_tstamp", "__level", "__nr", "__place")
@@ -367,7 +383,7 @@ def _runs_across_slices(found: DataFrame, keys: list[str], key_fields: str, run_
         count = end["__row"] - runs["__nr"]
         total = end["__reached"] - end["__over"] - runs["__level"] + limit * count
         return runs[[*keys, CHUNK]].assign(
-            start_tstamp=runs["start_tstamp"], end_tstamp=end["__prev_time"], avg_price=total // count,
+            start_tstamp=runs["start_tstamp"], end_tstamp=end["__prev_time"], avg_price=divided(total.to_numpy("int64"), count.to_numpy("int64")),
             __from=runs[CHUNK].astype("int64") * SLICE_SPAN + runs["__place"],
             __to=runs["__target"].astype("int64") * SLICE_SPAN + end["__at"],
         )
@@ -398,14 +414,16 @@ def cep3_drop(
     fields = f"{key_fields}, drop_time {types['dateTime']}, drop_diff bigint, __from bigint, __to bigint"
 
     def candidates(part: pd.DataFrame, bounds: np.ndarray):
-        price, times = part["price"].to_numpy("int64"), part["dateTime"].to_numpy()
+        none, times = part[NONE].to_numpy(bool), part["dateTime"].to_numpy()
+        # A missing price ends every attempt, and is the end of no match.
+        price = np.where(none, np.iinfo("int64").min + drop, part["price"].to_numpy("int64"))
         ends = np.full(len(part), -1, dtype="int64")
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             if hi - lo > 1:
                 local = next_at_or_below(price[lo:hi], price[lo:hi] - drop)
                 ends[lo:hi] = np.where(local >= 0, local + lo, -1)
         to = np.maximum(ends, 0)
-        good = (ends >= 0) & (price[to] < price - drop) & (times[to] - times < span)
+        good = (ends >= 0) & ~none & ~none[to] & (price[to] < price - drop) & (times[to] - times < span)
         return np.where(good & part["__own"].to_numpy(), ends, -1), price, times
 
     def kernel(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:

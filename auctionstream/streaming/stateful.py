@@ -36,9 +36,13 @@ def _sorter(columns: list[str], order: Order):
     return run
 
 
-def _rows(part: pd.DataFrame, columns: list[str]) -> list[tuple]:
-    """Rows as plain Python values, which the state takes."""
-    return list(zip(*[part[c].tolist() for c in columns]))
+def _rows(part: pd.DataFrame, columns: list[str], state: StructType) -> list[tuple]:
+    """Rows as plain Python values, which the state takes. pandas has integers with nulls as floats."""
+    def values(name: str) -> list:
+        plain = part[name].astype(object).where(part[name].notna(), None).tolist()
+        return [None if v is None else int(v) for v in plain] if state[name].dataType == LongType() else plain
+
+    return list(zip(*[values(c) for c in columns]))
 
 
 class TopN(StatefulProcessor):
@@ -56,7 +60,7 @@ class TopN(StatefulProcessor):
         before = [tuple(r) for r in self.rows.get()]
         after = before
         for part in rows:
-            after = self.sort(after + _rows(part, self.columns))[: self.n]
+            after = self.sort(after + _rows(part, self.columns, self.state))[: self.n]
         if before != after:
             self.rows.put(after)
             yield from self._emit(key, before, after)
@@ -89,7 +93,10 @@ def top_n(
     def prune(parts):
         names, ascending = [c for c, _ in total], [up for _, up in total]
         for part in parts:
-            yield part.sort_values(names, ascending=ascending, kind="stable").groupby(keys, sort=False, dropna=False).head(n)
+            # As in the state: nulls first where a column ascends, last where it descends.
+            for name, up in reversed(list(zip(names, ascending))):
+                part = part.sort_values(name, ascending=up, kind="stable", na_position="first" if up else "last")
+            yield part.groupby(keys, sort=False, dropna=False).head(n)
 
     rows = rows.mapInPandas(prune, rows.schema)
     state = StructType([rows.schema[c] for c in columns])
@@ -117,7 +124,7 @@ class WinnerAtClose(StatefulProcessor):
         known = self.best.exists()
         best = [tuple(self.best.get())] if known else []
         for part in rows:
-            best = self.sort(best + _rows(part, self.columns))[:1]
+            best = self.sort(best + _rows(part, self.columns, self.state))[:1]
         self.best.update(best[0])
         if not known:
             self.handle.registerTimer(-(-best[0][self.columns.index(self.end)] // 1000))
@@ -165,7 +172,7 @@ class Matcher(StatefulProcessor):
         self.rows = handle.getListState("rows", self.state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [r for part in rows for r in _rows(part, self.columns)]
+        fresh = [r for part in rows for r in _rows(part, self.columns, self.state)]
         yield from self._match(key, fresh, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

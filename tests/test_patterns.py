@@ -116,3 +116,24 @@ def test_integer_average_and_times(spark):
 def test_drop_must_be_within_five_seconds(spark):
     assert patterns.cep3_drop(bids(spark, [100, 40], millis=4_999)).count() == 1
     assert patterns.cep3_drop(bids(spark, [100, 40], millis=5_000)).count() == 0
+
+
+@pytest.mark.parametrize("name", PATTERNS)
+@pytest.mark.parametrize("prices", [
+    [5_000, None, 9_000, 30_000, 20], [None, 5_000, None, None, 20_000], [-1, -2, 50_000, -7, None], [None] * 4,
+    [2**53 + 3, 2**53 + 1, 2**53, 2**53 + 2, None, 5, 4, 3, 6], [100, 60, None, 40, 30], [-100, -160, -170, -90, 99_999],
+    [9_000, None, 9_001, None, None, 10_500, 12_000, 8_000, None],
+])
+def test_nulls_signs_and_large_prices(spark, name, prices):
+    """Operator, split or not, and general matcher agree."""
+    operator, pattern = PATTERNS[name]
+    df = bids(spark, prices)
+    expected = rows_of(general(df, pattern))
+    split = {"partitions": 3} if name == "cep0" else {"skew": Skew(rows_per_task=2, small_bytes=0)}
+    assert rows_of(operator(df, tie=["id"])) == expected
+    assert rows_of(operator(df, tie=["id"], **split)) == expected
+
+
+def test_averages_are_cut_towards_zero(spark):
+    assert patterns.cep1_low_average(bids(spark, [-1, -2, 50_000])).first().avg_price == -1
+    assert patterns.cep1_low_average(bids(spark, [7, None, 50_000])).first().avg_price == 7
