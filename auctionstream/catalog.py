@@ -182,9 +182,14 @@ def snk_multi(spark: SparkSession, folder: str) -> DataFrame:
 # ---- streams ----------------------------------------------------------------------------------
 
 
-def _stream(spark, folder, entity, delay=WATERMARK):
+def _plain_stream(spark, folder, entity):
+    # State on disk below the executors, not on their heaps; streams read the setting when they start.
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return tables.with_watermark(adapter.stream_of(spark, folder, entity), delay)
+    return adapter.stream_of(spark, folder, entity)
+
+
+def _stream(spark, folder, entity, delay=WATERMARK):
+    return tables.with_watermark(_plain_stream(spark, folder, entity), delay)
 
 
 def on_stream(entities: str, operator, **options):
@@ -200,7 +205,7 @@ def on_plain_stream(entities: str, operator, **options):
     """The operator over streams without watermark: nothing is ever late, state is unbounded."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return run_append(operator(*[adapter.stream_of(spark, folder, e) for e in entities.split()], **options))
+        return run_append(operator(*[_plain_stream(spark, folder, e) for e in entities.split()], **options))
 
     return run
 

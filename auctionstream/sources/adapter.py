@@ -6,6 +6,8 @@ one raw table (or stream) to one entity, so batch and streaming share the column
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from auctionstream.streaming.run import replayed
+
 STATES = ("AZ", "CA", "ID", "OR", "WA", "WY")
 EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 ENTITY_TABLE = {"person": "customer", "auction": "orders", "bid": "events"}
@@ -88,20 +90,10 @@ def bid(spark: SparkSession, folder: str) -> DataFrame:
     return bid_from(table(spark, folder, "events"))
 
 
-def stream_of(spark: SparkSession, folder: str, entity: str, max_files: int = 1000) -> DataFrame:
-    """The same view as a stream. Event times become TIMESTAMP, which watermarks need."""
-    name = ENTITY_TABLE[entity]
-    # A pattern, as a stream takes no path of a single file.
-    raw = (
-        spark.readStream.schema(TABLE_SCHEMA[name])
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(f"{folder}/{name}.parque[t]")
-    )
-    if entity == "person":
-        rows = person_from(raw, table(spark, folder, "nation"))
-    else:
-        rows = {"auction": auction_from, "bid": bid_from}[entity](raw)
-    return with_event_time(rows)
+def stream_of(spark: SparkSession, folder: str, entity: str) -> DataFrame:
+    """The same view as a stream of several micro-batches. Event times become TIMESTAMP, which watermarks need."""
+    views = {"person": person, "auction": auction, "bid": bid}
+    return replayed(with_event_time(views[entity](spark, folder)))
 
 
 def with_event_time(rows: DataFrame) -> DataFrame:

@@ -87,9 +87,11 @@ def write_many_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        for path, part in targets.items():
-            part(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-        batch.unpersist()
+        try:
+            for path, part in targets.items():
+                part(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

@@ -52,3 +52,23 @@ def plain_times(df: DataFrame) -> DataFrame:
 
 def stream_files(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
+def replayed(rows: DataFrame, time: str = "dateTime", parts: int = 4, files: int = 4) -> DataFrame:
+    """The rows of a table as a stream that takes them in several micro-batches, in order of time.
+
+    They are written to the shared folder part by part, each a span of time with about as many rows. Rows
+    without a time come first.
+    """
+    spark, path = rows.sparkSession, work_folder(rows.sparkSession, "replayed")
+    micros = F.unix_micros(time)
+    shares = [i / parts for i in range(1, parts)]
+    bounds = rows.select(micros.alias("t")).approxQuantile("t", shares, 0.01)
+    lows, highs = [None, *bounds], [*bounds, None]
+    for low, high in zip(lows, highs):
+        after = F.lit(True) if low is None else micros > low
+        upto = F.lit(True) if high is None else micros <= high
+        if low is None:
+            upto = upto | F.col(time).isNull()
+        rows.where(after & upto).repartition(files).write.mode("append").parquet(path)
+    return stream_files(spark, path, rows.schema, files)
