@@ -319,6 +319,15 @@ def cep(operator, **options):
     return run
 
 
+def match_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The general matcher with the pattern of cep0."""
+    bids = adapter.with_event_time(adapter.bid(spark, folder))
+    rows = bids.select("bidder", F.unix_micros("dateTime").alias("micros"), "id", "price")
+    found = match.match_rows(rows, ["bidder"], ["micros", "id"], match.v_shape())
+    times = [c for c in found.columns if c.endswith("tstamp")]
+    return plain_times(found.withColumns({c: F.timestamp_micros(c) for c in times}))
+
+
 def st_cep(pattern: match.Pattern):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         bids = _stream(spark, folder, "bid").select("bidder", "dateTime", "id", "price")
@@ -465,6 +474,7 @@ def queries() -> dict:
         "cep1": cep(patterns.cep1_low_average),
         "cep2": cep(patterns.cep2_low_average_overlapping),
         "cep3": cep(patterns.cep3_drop, within="1 day"),
+        "match_rows": match_rows,
         "st_cep0": st_cep(match.v_shape("dateTime")),
         "st_cep1": st_cep(match.low_average(time="dateTime")),
         "st_cep2": st_cep(match.low_average(skip=match.TO_NEXT_ROW, time="dateTime")),

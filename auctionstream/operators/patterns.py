@@ -1,9 +1,10 @@
 """The four row-pattern queries, each reduced to something Spark can spread.
 
-Rows of one key (auction and bidder) in order of time. No query gathers a hot key: its sequence is cut
-into time slices (plans.sequence), which different tasks take, and what crosses a cut is settled from
-few rows per slice. Ordinary keys go through in one pass. Slice results that several steps need are
-written once to the shared folder; so cep1, cep2 and cep3 run jobs when called on big inputs.
+Rows of one key (auction and bidder) in order of time. No query gathers a hot key. cep0 works on range
+partitions (plans.ranges). cep1, cep2 and cep3 cut a key with more than ``Skew.rows_per_task`` rows into time
+slices (plans.sequence), which different tasks take, and settle what crosses a cut from few rows per
+slice; other keys go through in one pass. All of them run jobs when called: cep0 writes its partitions,
+the others count the rows of the keys, and write the slices of hot ones, to the shared folder.
 """
 
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from auctionstream.functions.scalar import interval
 from auctionstream.plans.ranges import PART, PLACE, Groups, in_ranges, numbers
 from auctionstream.plans.sequence import CHUNK, with_chunks
-from auctionstream.plans.skew import DEFAULT, Skew, may_be_hot
+from auctionstream.plans.skew import DEFAULT, Skew, hot_keys
 from auctionstream.session import stage
 
 KEYS = ["auction", "bidder"]
@@ -28,16 +29,21 @@ SLICE_SPAN = 1 << 40
 NONE = "__none"
 
 
-def _sequence(bid: DataFrame, keys: list[str], tie: list[str], skew: Skew, min_length: str | None = None) -> DataFrame:
-    """Key, order and price columns with ``__chunk``: null, or the slice of a hot key."""
+def _sequence(
+    bid: DataFrame, keys: list[str], tie: list[str], skew: Skew, min_length: str | None = None
+) -> tuple[DataFrame, bool]:
+    """Key, order and price columns with ``__chunk``: null, or the slice of a hot key; and if there is one.
+
+    The keys' rows are counted for that, with map-side partial counts over the key columns alone.
+    """
     rows = bid.select(
         *keys, "dateTime", *[c for c in tie if c not in keys],
         # Two columns without nulls: pandas would turn a nullable integer into a float.
         F.coalesce("price", F.lit(0)).alias("price"), F.col("price").isNull().alias(NONE),
     )
-    if not may_be_hot(bid, skew):
-        return rows.withColumn(CHUNK, F.lit(None).cast("int"))
-    return with_chunks(rows, keys, "dateTime", skew, min_length)
+    if hot_keys(rows, keys, skew).isEmpty():
+        return rows.withColumn(CHUNK, F.lit(None).cast("int")), False
+    return with_chunks(rows, keys, "dateTime", skew, min_length), True
 
 
 # ---- a falling run, then a rise ----------------------------------------------------------------
@@ -220,7 +226,7 @@ def cep2_low_average_overlapping(
     with S(j) >= S(i-1): the next greater element of S. A missing price begins no run, and within one it
     counts neither for the sum nor for the number of prices.
     """
-    return _low_average(bid, keys, tie, limit, skew).select(*keys, "start_tstamp", "end_tstamp", "avg_price")
+    return _low_average(bid, keys, tie, limit, skew)[0].select(*keys, "start_tstamp", "end_tstamp", "avg_price")
 
 
 def cep1_low_average(
@@ -231,10 +237,10 @@ def cep1_low_average(
     The runs of cep2 are nested or apart, never crossing, so the ones found from left to right are the
     outermost: those that start after every earlier run has ended.
     """
-    runs = _low_average(bid, keys, tie, limit, skew)
+    runs, split = _low_average(bid, keys, tie, limit, skew)
     in_slice = Window.partitionBy(*keys, CHUNK).orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("__covered", F.coalesce(F.max("__to").over(in_slice), F.lit(-1)))
-    if may_be_hot(bid, skew):
+    if split:
         earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
         carried = (
             runs.where(F.col(CHUNK).isNotNull())
@@ -251,10 +257,10 @@ def cep1_low_average(
 RUN_FIELDS = "start_tstamp {time}, end_tstamp {time}, avg_price bigint, __from bigint, __to bigint"
 
 
-def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, skew: Skew) -> DataFrame:
-    """All runs with the positions of their first row and of the row that ends them."""
+def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, skew: Skew) -> tuple[DataFrame, bool]:
+    """All runs with the positions of their first row and of the row that ends them; if a key was split."""
     order = ["dateTime", *tie]
-    rows = _sequence(bid, keys, tie, skew)
+    rows, split = _sequence(bid, keys, tie, skew)
     types = dict(rows.dtypes)
     key_fields = ", ".join(f"{c} {types[c]}" for c in [*keys, CHUNK])
     run_fields = RUN_FIELDS.format(time=types["dateTime"])
@@ -308,15 +314,15 @@ def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, sk
         )
 
     fields = f"{key_fields}, {run_fields}"
-    if not may_be_hot(bid, skew):
-        return _by_slice(rows, keys, order, kernel, fields)
+    if not split:
+        return _by_slice(rows, keys, order, kernel, fields), False
     cold = _by_slice(rows.where(F.col(CHUNK).isNull()), keys, order, kernel, fields)
     marked = f"{fields}, __kind string, __sum bigint, __place bigint, __known bigint"
     hot = stage(
         _by_slice(rows.where(F.col(CHUNK).isNotNull()), keys, order, kernel, marked), "low-average", "__kind"
     )
     closed = hot.where(F.col("__kind") == "run").select(*cold.columns)
-    return cold.unionByName(closed).unionByName(_runs_across_slices(hot, keys, key_fields, run_fields, limit))
+    return cold.unionByName(closed).unionByName(_runs_across_slices(hot, keys, key_fields, run_fields, limit)), True
 
 
 def _runs_across_slices(found: DataFrame, keys: list[str], key_fields: str, run_fields: str, limit: int) -> DataFrame:
@@ -346,7 +352,7 @@ def _runs_across_slices(found: DataFrame, keys: list[str], key_fields: str, run_
         })
 
     opened = globally("open").select(*keys, CHUNK, "start_tstamp", "__level", "__nr", "__place")
-    # Every slice sees the peaks of its key as one array, as long as a key has slices (Skew.max_pieces).
+    # Every slice sees the peaks of its key as one array.
     peak = F.struct("__slice", (F.col("__peak") + F.col("__base")).alias("__peak"))
     peaks = offsets.groupBy(*named.values()).agg(F.sort_array(F.collect_list(peak)).alias("__peaks"))
     sources = opened.select(*keys, CHUNK).distinct()
@@ -407,7 +413,8 @@ def cep3_drop(
     and chaining these answers per key gives the entries.
     """
     order = ["dateTime", *tie]
-    rows = _sequence(bid, keys, tie, skew, within).withColumn("__own", F.lit(True))
+    rows, split = _sequence(bid, keys, tie, skew, within)
+    rows = rows.withColumn("__own", F.lit(True))
     types = dict(rows.dtypes)
     span = pd.Timedelta(within).to_timedelta64()
     key_fields = ", ".join(f"{c} {types[c]}" for c in [*keys, CHUNK])
@@ -444,7 +451,7 @@ def cep3_drop(
             drop_time=times[to], drop_diff=price[at] - price[to], __from=at - first[at], __to=to - first[at],
         )
 
-    if not may_be_hot(bid, skew):
+    if not split:
         return _by_slice(rows, keys, order, kernel, fields).select(*keys, "drop_time", "drop_diff")
     cold = _by_slice(rows.where(F.col(CHUNK).isNull()), keys, order, kernel, fields)
     slices = rows.where(F.col(CHUNK).isNotNull())

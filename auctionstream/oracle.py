@@ -3,6 +3,8 @@
 Every statement is self-contained: it inlines the person, auction and bid views it reads.
 """
 
+from auctionstream.sources import events
+
 PERSON = """person AS (SELECT c_custkey AS id, c_name AS name,
     lower(c_mktsegment) || CAST(c_custkey AS VARCHAR) || '@example.com' AS emailAddress,
     lpad(CAST(c_custkey AS VARCHAR), 16, '0') AS creditCard, n_name AS city,
@@ -16,7 +18,9 @@ AUCTION = """auction AS (SELECT o_orderkey AS id, o_orderpriority AS itemName, o
     TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 720 + 240 AS INT)) AS expires,
     o_custkey AS seller, 10 + o_orderkey % 5 AS category, o_orderstatus AS extra
   FROM orders)"""
-BID = """bid AS (SELECT event_id AS id, event_id % 500 AS auction, user_id AS bidder,
+BID = """bid AS (SELECT event_id AS id,
+    CASE WHEN event_id % 4 = 0 THEN event_id % 7 ELSE event_id * 7919 % (SELECT max(o_orderkey) + 1 FROM orders) END AS auction,
+    user_id AS bidder,
     CAST(floor(value * value * 100) AS BIGINT) AS price, event_type AS channel,
     'https://www.example.com/' || event_type || '/u' || CAST(user_id AS VARCHAR) || '/e'
       || CAST(event_id % 7 AS VARCHAR) || '/item.htm?query=1'
@@ -185,9 +189,9 @@ def _text(draws: list[str], limit: int, separator: str = " ") -> str:
     return f"trim(substr({pieces}, 1, 3 + {draws[0]} % {limit - 3}))"
 
 
-def _pick(values: str, draw: str) -> str:
-    items = ", ".join(f"'{v}'" for v in values.split(","))
-    return f"([{items}])[{draw} % {len(values.split(','))} + 1]"
+def _pick(values: list[str], draw: str) -> str:
+    items = ", ".join(f"'{v}'" for v in values)
+    return f"([{items}])[{draw} % {len(values)} + 1]"
 
 
 def _price(draw: str) -> str:
@@ -227,11 +231,11 @@ def _generated() -> dict[str, str]:
     person = (
         f"drawn AS (SELECT *, {_draws('id', range(1, 15))} FROM ids WHERE kind = 0)",
         f"""made AS (SELECT *, 1000 + last_person AS person_id,
-    {_pick('Peter,Paul,Luke,John,Saul,Vicky,Kate,Julie,Sarah,Deiter,Walter', 'd1')} || ' ' ||
-      {_pick('Shultz,Abrams,Spencer,White,Bartels,Walton,Smith,Jones,Noris', 'd2')} AS name,
+    {_pick(events.FIRST_NAMES, 'd1')} || ' ' ||
+      {_pick(events.LAST_NAMES, 'd2')} AS name,
     {text['mail']} || '@' || {text['host']} || '.com' AS emailAddress, {card} AS creditCard,
-    {_pick('Phoenix,Los Angeles,San Francisco,Boise,Portland,Bend,Redmond,Seattle,Kent,Cheyenne', 'd11')} AS city,
-    {_pick('AZ,CA,ID,OR,WA,WY', 'd12')} AS state FROM drawn)""",
+    {_pick(events.CITIES, 'd11')} AS city,
+    {_pick(events.STATES, 'd12')} AS state FROM drawn)""",
         """sized AS (SELECT *, 192 - length(name) - length(emailAddress) - length(creditCard) - length(city)
     - length(state) AS rest FROM made)""",
         f"""person AS (SELECT person_id AS id, name, emailAddress, creditCard, city, state, dateTime,
@@ -260,7 +264,7 @@ def _generated() -> dict[str, str]:
       ELSE {oldest} + d2 % (last_auction - {oldest} + 11) END AS auction,
     2000 + CASE WHEN d3 % 4 > 0 THEN last_person - last_person % 100 + 1 ELSE {_any_person('d4')} END AS bidder,
     {_price('d5')} AS price,
-    CASE WHEN nr < 10000 THEN 'channel-' || nr ELSE {_pick('Google,Facebook,Baidu,Apple', 'nr')} END AS channel,
+    CASE WHEN nr < 10000 THEN 'channel-' || nr ELSE {_pick(events.HOT_CHANNELS, 'nr')} END AS channel,
     'https://www.example.com/' || {dirs} || '/item.htm?query=1' ||
       CASE WHEN nr < 10000 AND c56 % 10 > 0 THEN '&channel_id=' || c57 ELSE '' END AS url,
     dateTime, {_extra(100, 'd9', 'd10')} AS extra FROM made)""",
@@ -421,6 +425,7 @@ def patterns() -> dict[str, str]:
     AND NOT EXISTS (SELECT 1 FROM picked q WHERE q.bidder = o.bidder AND q.i < o.i AND o.i <= q.j)), 1000000000)"""
         body = f"SELECT p.bidder, p.drop_time, p.drop_diff FROM picked p {undecided if stream else ''}"
         out[f"{prefix}cep3"] = _with("bid", body, (rows, DROPS, GOOD_DROPS, CHAIN), True)
+    out["match_rows"] = out["cep0"]
     return out
 
 

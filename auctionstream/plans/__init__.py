@@ -1 +1 @@
-"""Reusable plan shapes: splitting hot keys and cutting long sequences."""
+"""Reusable plan shapes: range partitions, hot keys and cuts of long sequences."""

@@ -1,6 +1,6 @@
 """Cutting the long time-ordered sequence of a hot key into chunks that different tasks can take."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from auctionstream.functions.scalar import interval
 from auctionstream.plans.skew import Skew, hot_keys
@@ -27,26 +27,7 @@ def with_chunks(
         length = F.greatest(length, shortest)
     chunk = F.floor((micros - F.col("__from")) / length).cast("int")
     return (
-        df.join(F.broadcast(hot), on, "left")
+        df.join(hot, on, "left")
         .withColumn(CHUNK, chunk)
         .drop("__from", "__to", "__n", "__pieces", *[f"__hot_{k}" for k in keys])
     )
-
-
-def with_halo(chunked: DataFrame, keys: list[str], order: list[str], before: int) -> DataFrame:
-    """Copy into every chunk the ``before`` rows of its key that precede it; ``__own`` tells them apart.
-
-    Only the last ``before`` rows of a chunk can precede a later one by that much, so the pass over
-    whole keys sees at most that many rows per chunk.
-    """
-    tail_order = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
-    tails = (
-        chunked.where(F.col(CHUNK).isNotNull())
-        .withColumn("__rn", F.row_number().over(tail_order))
-        .where(F.col("__rn") <= before)
-        .drop("__rn")
-    )
-    following = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, before)
-    targets = F.array_except(F.collect_set(CHUNK).over(following), F.array(CHUNK))
-    halo = tails.withColumn("__to", targets).withColumn(CHUNK, F.explode("__to")).drop("__to")
-    return chunked.withColumn("__own", F.lit(True)).unionByName(halo.withColumn("__own", F.lit(False)))

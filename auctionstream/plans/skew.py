@@ -1,103 +1,25 @@
-"""Joins that survive a key holding a large share of all rows.
-
-AQE splits a skewed partition of a join whose output is not needed in the partitioning of its keys.
-Where a join is followed by an aggregate or window on the same key that rule does not apply, so the
-hot keys are salted here. Hot keys are counted with map-side partial aggregates over the key columns
-alone. There are never more than ``max_hot_keys`` of them, which bounds what is broadcast.
-"""
+"""Keys that hold more rows than one task should take."""
 
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALT = ("__salt_left", "__salt_right")
-
 
 @dataclass(frozen=True)
 class Skew:
-    """When to split. ``small_bytes``: inputs estimated below it fit one task and are left alone."""
+    """A key with at least ``rows_per_task`` rows is cut into pieces of about so many."""
 
     rows_per_task: int = 1_000_000
-    max_hot_keys: int = 100_000
-    max_pieces: int = 20_000
-    small_bytes: int = 64 << 20
 
 
 DEFAULT = Skew()
 
 
-def may_be_hot(df: DataFrame, skew: Skew) -> bool:
-    """Whether the tables below leave room for a hot key, by Catalyst's size estimates. Reads no data."""
-    if df.isStreaming:
-        return False
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    except AttributeError:  # a remote session does not show its plans
-        return True
-    return sum(sizes) >= skew.small_bytes
-
-
 def hot_keys(df: DataFrame, keys: list[str], skew: Skew, *extra: Column) -> DataFrame:
     """Keys with at least ``rows_per_task`` rows, with their row count ``__n`` and number of ``__pieces``.
 
-    A key must also hold 1/max_hot_keys of all rows, so the result has at most max_hot_keys rows.
+    Counted with map-side partial aggregates over the key columns alone.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"), *extra)
-    total = counts.agg(F.sum("__n")).scalar()
-    pieces = F.least(F.ceil(F.col("__n") / skew.rows_per_task), F.lit(skew.max_pieces))
-    return counts.where(
-        (F.col("__n") >= skew.rows_per_task) & (F.col("__n") * skew.max_hot_keys >= total)
-    ).withColumn("__pieces", pieces.cast("int"))
-
-
-def _salts(df: DataFrame, hot: DataFrame, key: str, own: str, other: DataFrame | None, far: str) -> DataFrame:
-    """Give every row one salt of its own side and a copy per salt of the other side."""
-    # The partition id spreads identical rows; unlike a random number it is the same on a retry.
-    spread = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.coalesce("__pieces", F.lit(1)))
-    out = (
-        df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-        .withColumn(own, spread.cast("int"))
-        .drop("__hot", "__pieces")
-    )
-    if other is None:
-        return out.withColumn(far, F.lit(0))
-    copies = F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1)
-    return (
-        out.join(F.broadcast(other), F.col(key) == F.col("__hot"), "left")
-        .withColumn(far, F.explode(copies))
-        .drop("__hot", "__pieces")
-    )
-
-
-def equi_join(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-    residual: Column | None = None, right_unique: bool = False, skew: Skew = DEFAULT,
-) -> DataFrame:
-    """Inner join on one key plus an optional residual predicate; hot keys of big inputs are salted.
-
-    Column names of the two sides must differ. ``right_unique`` says that keys hardly repeat on the
-    right, which saves counting them.
-    """
-    on = F.col(left_key) == F.col(right_key)
-    if residual is not None:
-        on = on & residual
-    if not may_be_hot(left, skew) and (right_unique or not may_be_hot(right, skew)):
-        return left.join(right, on)
-
-    def hot(df, key):
-        return hot_keys(df.select(F.col(key).alias("__hot")), ["__hot"], skew).select("__hot", "__pieces")
-
-    hot_left = hot(left, left_key)
-    hot_right = None if right_unique else hot(right, right_key)
-    salted_left = _salts(left, hot_left, left_key, SALT[0], hot_right, SALT[1])
-    if hot_right is None:
-        copies = F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))
-        salted_right = (
-            right.join(F.broadcast(hot_left), F.col(right_key) == F.col("__hot"), "left")
-            .withColumn("__r0", copies).withColumn("__r1", F.lit(0)).drop("__hot", "__pieces")
-        )
-    else:
-        salted_right = _salts(right, hot_right, right_key, "__r1", hot_left, "__r0")
-    same_piece = (F.col(SALT[0]) == F.col("__r0")) & (F.col(SALT[1]) == F.col("__r1"))
-    return salted_left.join(salted_right, on & same_piece).drop(*SALT, "__r0", "__r1")
+    pieces = F.ceil(F.col("__n") / skew.rows_per_task).cast("int")
+    return counts.where(F.col("__n") >= skew.rows_per_task).withColumn("__pieces", pieces)

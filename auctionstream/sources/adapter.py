@@ -55,7 +55,8 @@ def auction_from(orders: DataFrame) -> DataFrame:
     )
 
 
-def bid_from(events: DataFrame) -> DataFrame:
+def bid_from(events: DataFrame, auctions: int) -> DataFrame:
+    """Bids on all of ``auctions`` ids; a fourth of them on seven hot ones."""
     user, event = F.col("user_id").cast("string"), F.col("event_id")
     url = F.concat(
         F.lit("https://www.example.com/"), "event_type", F.lit("/u"), user, F.lit("/e"),
@@ -64,7 +65,7 @@ def bid_from(events: DataFrame) -> DataFrame:
     )
     return events.select(
         event.alias("id"),
-        (event % 500).alias("auction"),
+        F.when(event % 4 == 0, event % 7).otherwise(event * 7919 % auctions).alias("auction"),
         F.col("user_id").alias("bidder"),
         F.floor(F.col("value") * F.col("value") * 100).cast("bigint").alias("price"),
         F.col("event_type").alias("channel"),
@@ -87,7 +88,8 @@ def auction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bid(spark: SparkSession, folder: str) -> DataFrame:
-    return bid_from(table(spark, folder, "events"))
+    last = table(spark, folder, "orders").agg(F.max("o_orderkey")).first()[0]
+    return bid_from(table(spark, folder, "events"), last + 1)
 
 
 def stream_of(spark: SparkSession, folder: str, entity: str) -> DataFrame:

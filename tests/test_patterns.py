@@ -60,7 +60,7 @@ def test_whole_and_split_equal_general(spark, name, seed):
     assert expected
     assert rows_of(operator(df, tie=["id"])) == expected
     for per_task in (5, 29):
-        split = {"partitions": 600 // per_task} if name == "cep0" else {"skew": Skew(rows_per_task=per_task, small_bytes=0)}
+        split = {"partitions": 600 // per_task} if name == "cep0" else {"skew": Skew(rows_per_task=per_task)}
         assert rows_of(operator(df, tie=["id"], **split)) == expected
 
 
@@ -85,7 +85,7 @@ def test_long_low_runs_cross_many_slices(spark):
         operator, pattern = PATTERNS[name]
         expected = rows_of(general(df, pattern))
         assert expected
-        assert rows_of(operator(df, tie=["id"], skew=Skew(rows_per_task=10, small_bytes=0))) == expected
+        assert rows_of(operator(df, tie=["id"], skew=Skew(rows_per_task=10))) == expected
 
 
 @pytest.mark.parametrize("name, prices, matches", [
@@ -129,7 +129,7 @@ def test_nulls_signs_and_large_prices(spark, name, prices):
     operator, pattern = PATTERNS[name]
     df = bids(spark, prices)
     expected = rows_of(general(df, pattern))
-    split = {"partitions": 3} if name == "cep0" else {"skew": Skew(rows_per_task=2, small_bytes=0)}
+    split = {"partitions": 3} if name == "cep0" else {"skew": Skew(rows_per_task=2)}
     assert rows_of(operator(df, tie=["id"])) == expected
     assert rows_of(operator(df, tie=["id"], **split)) == expected
 
