@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from auctionstream.llm.common import SPACE, WORD, let, unsigned
 from auctionstream.llm.running import ROWS_PER_BUCKET, buckets_for, running_total
+from auctionstream.session import stage
 
 BLOCK_WORDS = 64
 SHARDS = 64
@@ -125,12 +126,13 @@ def slots(targets: DataFrame, block_words: int, shards: int, seed: int, most: in
     )
 
 
-def packed(rows: DataFrame, seed: int, n_rows: int, rows_per_bucket: int) -> DataFrame:
+def packed(rows: DataFrame, narrow: DataFrame, seed: int, rows_per_bucket: int) -> DataFrame:
     """Add ``__start``: the words of the source before the document, in a seeded pseudorandom order."""
+    n_rows = narrow.count()
     share = unsigned(F.col("__random")) / F.lit(float(2**53))
     bucket = F.floor(share * buckets_for(n_rows, rows_per_bucket))
-    mixed = rows.withColumn("__random", F.xxhash64(F.lit(seed), "doc_id"))
-    return running_total(mixed, "__group", bucket, ["__random", "size", "__text"], F.col("size"), "__start")
+    mixed, narrow = (df.withColumn("__random", F.xxhash64(F.lit(seed), "doc_id")) for df in (rows, narrow))
+    return running_total(mixed, "__group", bucket, ["__random", "size", "__text"], F.col("size"), "__start", narrow)
 
 
 def mix(
@@ -151,14 +153,15 @@ def mix(
 
     Null sources form a source of their own, last in order. Null and empty texts have size 0 and are not
     taken. Identical rows have places of their own. An empty table gives none. Reruns agree. Names
-    starting with ``__`` are reserved.
+    starting with ``__`` are reserved. Runs jobs when called: the sizes are written below the shared folder,
+    so that texts are counted once, and once more if they are kept.
     """
     rows = with_group(docs).select(
         "doc_id", "source", "__group", *keep, n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("__text")
     )
-    placed = packed(rows, seed, docs.count(), rows_per_bucket)
-    sized = with_group(docs).select("__group", n_words(F.col("text")).alias("size"))
-    targets = source_targets(sized, weights, share, most)
+    narrow = stage(rows.drop(*keep), "sizes")
+    placed = packed(rows if keep else narrow, narrow, seed, rows_per_bucket)
+    targets = source_targets(narrow, weights, share, most)
     block = F.explode(F.sequence(
         F.floor(F.col("__start") / block_words), F.floor((F.col("__start") + F.col("size") - 1) / block_words)
     ))
