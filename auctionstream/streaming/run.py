@@ -1,11 +1,9 @@
 """Running a stream over what is available now and reading its result back as a table."""
 
-import copy
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auctionstream.session import work_folder
-from auctionstream.sources.sinks import read_upserts, write_batches
+from auctionstream.sources.sinks import read_upserts, write_batches, write_upserts
 
 NOW = {"availableNow": True}
 
@@ -32,8 +30,8 @@ def run_update(stream: DataFrame, keys: list[str], folder: str | None = None) ->
     """Updated rows of every micro-batch; the newest row per key is the result."""
     spark = stream.sparkSession
     folder = folder or work_folder(spark, "update")
-    finish(write_batches(stream, f"{folder}/rows", f"{folder}/checkpoint", mode="update", **NOW))
-    return plain_times(read_upserts(spark, f"{folder}/rows", copy.deepcopy(stream.schema), keys))
+    finish(write_upserts(stream, f"{folder}/rows", f"{folder}/checkpoint", keys, **NOW))
+    return plain_times(read_upserts(spark, f"{folder}/rows", stream.schema, keys))
 
 
 def run_batches(stream: DataFrame, per_batch, schema, folder: str | None = None) -> DataFrame:
