@@ -5,6 +5,7 @@ from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from auctionstream.operators.topn import top_n
 
@@ -29,29 +30,72 @@ def write_log(log: DataFrame, path: str) -> None:
     commit_partitions(log.sparkSession, path)
 
 
-def write_log_stream(log: DataFrame, path: str, checkpoint: str, **trigger):
-    """The same log from a stream, exactly once. Call commit_partitions as the watermark advances."""
-    return (
+def write_log_stream(
+    log: DataFrame, path: str, checkpoint: str, delay: datetime.timedelta = datetime.timedelta(minutes=1), **trigger
+):
+    """The same log from a watermarked stream, exactly once.
+
+    While it runs, a partition is committed once the watermark has passed its minute by ``delay``. Rows that
+    come later still go to their partition, as files after its success file.
+    """
+    committer = LogCommitter(log.sparkSession, path, delay)
+    log.sparkSession.streams.addListener(committer)
+    query = (
         log.writeStream.format("csv").options(**CSV_TIMES).partitionBy("dt", "hm")
         .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 minute"})).start()
     )
+    committer.query = str(query.id)
+    return query
+
+
+class LogCommitter(StreamingQueryListener):
+    """Commits the partitions of a log as the watermark of the query that writes it advances."""
+
+    def __init__(self, spark: SparkSession, path: str, delay: datetime.timedelta):
+        self.spark, self.path, self.delay = spark, path, delay
+        self.query, self.reached = None, None
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if self.query not in (None, str(progress.id)) or "watermark" not in progress.eventTime:
+            return
+        watermark = datetime.datetime.strptime(progress.eventTime["watermark"][:19], "%Y-%m-%dT%H:%M:%S")
+        if watermark.year > 1970 and (self.reached is None or watermark > self.reached):
+            # Without a time reached, as after a restart, all days are looked at once.
+            commit_partitions(self.spark, self.path, watermark, self.delay, self.reached)
+            self.reached = watermark
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) == self.query:
+            self.spark.streams.removeListener(self)
 
 
 def commit_partitions(
     spark: SparkSession, path: str, watermark: datetime.datetime | None = None,
-    delay: datetime.timedelta = datetime.timedelta(minutes=1),
+    delay: datetime.timedelta = datetime.timedelta(minutes=1), since: datetime.datetime | None = None,
 ) -> list[str]:
     """Write a success file into the partitions whose time the watermark has passed by the delay.
 
-    Without a watermark the input is complete and all partitions are committed. Handles names only:
-    one entry per partition directory, no rows.
+    Without a watermark the input is complete and all partitions are committed. With ``since``, the watermark
+    of the last call, only the days between the two are listed. Handles names only: one entry per partition
+    directory, no rows.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = ["*"]
+    if watermark and since:
+        first = (since - delay).date()
+        days = [str(first + datetime.timedelta(days=n)) for n in range((watermark.date() - first).days + 1)]
     done = []
-    for status in fs.globStatus(hadoop.Path(root, "dt=*/hm=*")) or []:
+    for status in [x for day in days for x in fs.globStatus(hadoop.Path(root, f"dt={day}/hm=*")) or []]:
         folder = status.getPath()
         day, minute = (unquote(p.getName().split("=", 1)[1]) for p in (folder.getParent(), folder))
         start = datetime.datetime.strptime(f"{day} {minute}", "%Y-%m-%d %H:%M")

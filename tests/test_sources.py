@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auctionstream import schemas
+from auctionstream.functions import scalar
 from auctionstream.operators import joins, projections
 from auctionstream.session import work_folder
 from auctionstream.sources import events, sinks, tables, topics
@@ -176,3 +177,30 @@ def test_two_sources_one_stream_result(spark):
     stream = stream_files(spark, f"{base}/numbers", numbers.schema)
     assert rows(run_append(events.typed_events(stream, "bid"))) == rows(
         events.typed_events(numbers, "bid").withColumn("dateTime", F.col("dateTime").cast("timestamp_ntz")))
+
+
+def test_log_is_committed_while_the_stream_runs(spark):
+    import time
+
+    base = work_folder(spark, "log-watermark")
+    begin = datetime.datetime(2024, 1, 1, 23, 50)
+    minutes = [[0, 1, 2], [5, 6], [1, 14], [20]]  # the third file brings a late row
+    for part in minutes:
+        rows_ = [(begin + datetime.timedelta(minutes=m), m) for m in part]
+        spark.createDataFrame(rows_, "dateTime timestamp, id long").coalesce(1).write.mode("append").parquet(f"{base}/rows")
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = stream_files(spark, f"{base}/rows", "dateTime timestamp, id long").withWatermark("dateTime", "1 minute")
+    log = stream.select("id", scalar.day_of(F.col("dateTime")).alias("dt"), scalar.minute_of(F.col("dateTime")).alias("hm"))
+    finish(sinks.write_log_stream(log, f"{base}/log", f"{base}/checkpoint", **NOW))
+
+    def committed():
+        return len(glob.glob(f"{base}/log/dt=*/hm=*/_SUCCESS"))
+
+    deadline = time.time() + 20
+    while committed() < 5 and time.time() < deadline:
+        time.sleep(0.2)
+    # The watermark reached 00:03 or later: minutes 50, 51, 52, 55 and 56 are done, the last is not.
+    assert 5 <= committed() <= 6
+    assert not glob.glob(f"{base}/log/dt=2024-01-02/hm=00%3A10/_SUCCESS")
+    assert spark.read.schema("id long, dt string, hm string").csv(f"{base}/log").count() == 8
+    assert len(sinks.commit_partitions(spark, f"{base}/log")) >= 1
