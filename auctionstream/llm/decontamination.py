@@ -106,8 +106,8 @@ def contaminated(
     empty table on either side gives no row.
     """
     items = item_windows(benchmark)
-    if items.count() <= most_broadcast:
-        items = F.broadcast(items)
+    # Beyond the bound the hint keeps Catalyst, which doesn't know how many windows a text has, from a broadcast.
+    items = F.broadcast(items) if items.count() <= most_broadcast else items.hint("merge")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), id_key(F.col("doc_id"), F.col("text")).alias("doc_key"),
         F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"))).alias("w"),

@@ -175,7 +175,8 @@ def mix(
         .select("__of", "__block", "start", "first", (F.col("end") - 1).alias("last"))
     )
     drawn = slots(targets, block_words, shards, seed, most)
-    taken = drawn.join(pieces, (F.col("group") == F.col("__of")) & (F.col("block") == F.col("__block"))).select(
+    # The slots are made in tasks from a few rows per source, so Catalyst takes them for small: no broadcast.
+    taken = drawn.hint("merge").join(pieces, (F.col("group") == F.col("__of")) & (F.col("block") == F.col("__block"))).select(
         "group", "shard", "slot", "round", "start", "first", "last"
     )
     table = placed.join(targets, F.col("__group") == F.col("__of")).select(
