@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, largest_key: int = LAR
     )
     shared = stage(cut.join(keys, F.col("v") == F.col("key")).drop("key", "again"), "shared-segments")
     first = F.min(F.struct("doc_id", "th", "start", "len", "mixed")).alias("f")
-    different = shared.groupBy("v", "digest").agg(F.count("*").alias("n"), first)
+    different = stage(shared.groupBy("v", "digest").agg(F.count("*").alias("n"), first), "different-segments")
     whole = different.where("n > 1").select(F.col("v").alias("key"), F.col("digest").alias("same"))
     full = shared.join(whole, (F.col("v") == F.col("key")) & (F.col("digest") == F.col("same"))).select(
         "doc_id", "th", F.col("start").alias("begin"), (F.col("start") + F.col("len")).alias("end")
