@@ -15,6 +15,8 @@ BLOCK_WORDS = 64
 SHARDS = 64
 #: Slots that one row of the draws stands for at most, so that hot sources are dealt out.
 SLOTS_PER_ROW = 16_384
+#: Tasks that write slots out at most; below, one per bucket of documents.
+MOST_TASKS = 10_000
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
@@ -107,8 +109,11 @@ def _blocks_of(frames: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFra
         yield frame.assign(block=block.astype(np.int64), round=round_.astype(np.int64))[["group", "shard", "slot", "round", "block"]]
 
 
-def slots(targets: DataFrame, block_words: int, shards: int, seed: int, most: int = MOST) -> DataFrame:
-    """The mix: one row per slot of an output shard, with the source's block that fills it."""
+def slots(targets: DataFrame, block_words: int, shards: int, seed: int, most: int = MOST, tasks: int = 1) -> DataFrame:
+    """The mix: one row per slot of an output shard, with the source's block that fills it.
+
+    Ranges of slots are few bytes, so the number of tasks that write them out is given, not left to AQE.
+    """
     n_blocks = F.ceil(F.col("source_size") / block_words)
     wanted = F.round(F.col("target") / F.col("source_size") * n_blocks)
     plan = targets.where("source_size > 0").select(
@@ -118,7 +123,7 @@ def slots(targets: DataFrame, block_words: int, shards: int, seed: int, most: in
     ranges = plan.mapInPandas(
         lambda frames: _draws(frames, shards, seed), "group string, n_blocks long, shard int, first long, last long"
     )
-    each = ranges.repartition("group", "shard", "first").select(
+    each = ranges.repartition(tasks, "group", "shard", "first").select(
         "group", "n_blocks", "shard", F.explode(F.sequence("first", "last")).alias("slot")
     )
     return each.mapInPandas(
@@ -126,11 +131,10 @@ def slots(targets: DataFrame, block_words: int, shards: int, seed: int, most: in
     )
 
 
-def packed(rows: DataFrame, narrow: DataFrame, seed: int, rows_per_bucket: int) -> DataFrame:
+def packed(rows: DataFrame, narrow: DataFrame, seed: int, buckets: int) -> DataFrame:
     """Add ``__start``: the words of the source before the document, in a seeded pseudorandom order."""
-    n_rows = narrow.count()
     share = unsigned(F.col("__random")) / F.lit(float(2**53))
-    bucket = F.floor(share * buckets_for(n_rows, rows_per_bucket))
+    bucket = F.floor(share * buckets)
     mixed, narrow = (df.withColumn("__random", F.xxhash64(F.lit(seed), "doc_id")) for df in (rows, narrow))
     return running_total(mixed, "__group", bucket, ["__random", "size", "__text"], F.col("size"), "__start", narrow)
 
@@ -160,7 +164,8 @@ def mix(
         "doc_id", "source", "__group", *keep, n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("__text")
     )
     narrow = stage(rows.drop(*keep), "sizes")
-    placed = packed(rows if keep else narrow, narrow, seed, rows_per_bucket)
+    buckets = buckets_for(narrow.count(), rows_per_bucket)
+    placed = packed(rows if keep else narrow, narrow, seed, buckets)
     targets = source_targets(narrow, weights, share, most)
     block = F.explode(F.sequence(
         F.floor(F.col("__start") / block_words), F.floor((F.col("__start") + F.col("size") - 1) / block_words)
@@ -174,7 +179,7 @@ def mix(
         )
         .select("__of", "__block", "start", "first", (F.col("end") - 1).alias("last"))
     )
-    drawn = slots(targets, block_words, shards, seed, most)
+    drawn = slots(targets, block_words, shards, seed, most, min(buckets, MOST_TASKS))
     # The slots are made in tasks from a few rows per source, so Catalyst takes them for small: no broadcast.
     taken = drawn.hint("merge").join(pieces, (F.col("group") == F.col("__of")) & (F.col("block") == F.col("__block"))).select(
         "group", "shard", "slot", "round", "start", "first", "last"
