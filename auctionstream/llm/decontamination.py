@@ -24,12 +24,35 @@ UNITS = (
 )
 
 
+# Words that write a number, and words that are no names though a sentence may begin with them.
+UNITS_IN_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+TENS_IN_WORDS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+NUMBER_WORDS = (
+    *UNITS_IN_WORDS, *TENS_IN_WORDS, "zero", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen",
+    "eighteen", "nineteen", "hundred", "thousand", "million", "billion",
+)
+NO_NAMES = (
+    "a", "after", "all", "an", "and", "are", "as", "at", "before", "but", "by", "calculate", "can", "do", "does", "each", "every", "find",
+    "for", "from", "has", "have", "he", "her", "his", "how", "i", "if", "in", "is", "it", "its", "many", "much", "not", "of", "on", "or",
+    "she", "so", "some", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "was", "we", "were", "what",
+    "when", "where", "which", "who", "why", "with", "you", "your",
+)
+#: Marks a word of an item that stands for a name only where the document has the same word with a capital.
+SAME = "="
+
 #: What stands between words.
 GAP = f"[^\\p{{L}}\\p{{N}}\\p{{M}}{NAME}{NUMBER}{UNIT}]+"
 #: Sorts after all marks and before all letters and digits.
 MARKS_END = "\x04"
 
 
+LETTER = "[\\p{L}\\p{N}\\p{M}]"
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return f"(?:{'|'.join(sorted(words, key=len, reverse=True))})(?!{LETTER})"
+
+
 def _with_numbers(text: Column) -> Column:
     """Numbers as single words, with a mark before each and before a unit after it."""
     steps = (
@@ -43,17 +66,37 @@ def _with_numbers(text: Column) -> Column:
     return text
 
 
+def _with_number_words(text: Column) -> Column:
+    """The same for numbers in words; twenty-five is one word."""
+    joined = F.regexp_replace(text, f"(?i)(?<!{LETTER})({'|'.join(TENS_IN_WORDS)})-(?={_any(UNITS_IN_WORDS)})", "$1")
+    both = tuple(t + u for t in TENS_IN_WORDS for u in UNITS_IN_WORDS)
+    marked = F.regexp_replace(joined, f"(?i)(?<!{LETTER})(?={_any(NUMBER_WORDS + both)})", NUMBER)
+    return F.regexp_replace(marked, f"({NUMBER}\\p{{L}}+[ -])(?=(?:{'|'.join(UNITS)})(?!{LETTER}))", f"$1{UNIT}")
+
+
+#: A letter that begins a word with a capital, unless the word is a number or never a name.
+CAPITAL = f"(?<![\\p{{L}}\\p{{N}}\\p{{M}}{NAME}{NUMBER}{UNIT}])(?=\\p{{Lu}})(?!(?i:{_any(NO_NAMES)}))"
+
+
 def marked_words(text: Column) -> Column:
-    """The words of a text, lower-cased, without punctuation; a mark stands before each number, each unit
-    after a number and each capitalised word within a sentence. Texts without a digit skip the numbers."""
+    """The words of a text, lower-cased, without punctuation; a mark stands before each number, in digits or
+    words, each unit after a number and each capitalised word, wherever it stands, but for NO_NAMES."""
     own_marks = f"[{NAME}{NUMBER}{UNIT}]"
     given = F.coalesce(text, F.lit(""))
     plain = F.when(given.rlike(own_marks), F.regexp_replace(given, own_marks, " ")).otherwise(given)
     numbered = let(plain, lambda t: F.when(t.rlike("\\d"), _with_numbers(t)).otherwise(t))
-    named = F.regexp_replace(numbered, "(?<=[\\p{L}\\p{N},;] )(?=\\p{Lu})", NAME)
+    named = F.regexp_replace(_with_number_words(numbered), CAPITAL, NAME)
     return F.array_remove(F.split(F.lower(named), GAP), "")
 
 
+def _hash(words: list[Column]) -> Column:
+    return F.xxhash64(*words)
+
+
+def _template(word: Column) -> Column:
+    return F.when(word < MARKS_END, F.substring(word, 1, 1)).otherwise(word)
+
+
 def windows(text: Column) -> Column:
     """An array of (h, i, slots): the hash of every five template words, where, and the marked words in them.
 
@@ -63,12 +106,12 @@ def windows(text: Column) -> Column:
     def hashed(template: Column, slots) -> Column:
         starts = F.slice(template, 1, F.greatest(F.size(template) - (WINDOW - 1), F.lit(0)))
         return F.transform(starts, lambda w, i: F.struct(
-            F.xxhash64(w, *[F.get(template, i + k) for k in range(1, WINDOW)]).alias("h"), i.cast("int").alias("i"),
+            _hash([w, *[F.get(template, i + k) for k in range(1, WINDOW)]]).alias("h"), i.cast("int").alias("i"),
             slots(i).alias("slots"),
         ))
 
     def with_marks(words: Column) -> Column:
-        template = F.transform(words, lambda w: F.when(w < MARKS_END, F.substring(w, 1, 1)).otherwise(w))
+        template = F.transform(words, _template)
         found = let(template, lambda t: hashed(t, lambda i: F.filter(F.slice(words, i + 1, WINDOW), lambda w: w < MARKS_END)))
         return F.filter(found, lambda x: F.size(x["slots"]) <= WINDOW - LEAST_LITERALS)
 
@@ -78,13 +121,49 @@ def windows(text: Column) -> Column:
     ).otherwise(hashed(words, lambda i: none)))
 
 
+def _forms(words: Column) -> Column:
+    """The forms of an item's window that documents may have: each name as a name or in lower case, and at most
+    one word in lower case with a capital, since a sentence may begin there. An array of (h, slots, turned)."""
+    at = [F.get(words, F.lit(k)) for k in range(WINDOW)]
+    is_name = lambda w: w.startswith(NAME)
+    may_begin = lambda w: (w >= MARKS_END) & ~w.isin(*NO_NAMES) & ~w.rlike("^\\p{N}")
+
+    def form(turns: Column) -> Column:
+        changed = [
+            F.when(turns.bitwiseAND(F.lit(1 << k)) == 0, w).when(is_name(w), F.substring(w, 2, 1_000_000))
+            .otherwise(F.concat(F.lit(NAME + SAME), w)) for k, w in enumerate(at)
+        ]
+        slots = F.filter(F.array(*changed), lambda w: w < MARKS_END)
+        return F.struct(_hash([_template(w) for w in changed]).alias("h"), slots.alias("slots"), turns.alias("turned"))
+
+    def allowed(turns: Column) -> Column:
+        turned = [turns.bitwiseAND(F.lit(1 << k)) != 0 for k in range(WINDOW)]
+        fits = [~t | is_name(w) | may_begin(w) for t, w in zip(turned, at)]
+        begun = sum(((t & ~is_name(w)).cast("int") for t, w in zip(turned, at)), F.lit(0))
+        every = fits[0]
+        for x in fits[1:]:
+            every &= x
+        return every & (begun <= 1)
+
+    masks = F.filter(F.array(*[F.lit(x) for x in range(1 << WINDOW)]), allowed)
+    return F.filter(F.transform(masks, form), lambda x: F.size(x["slots"]) <= WINDOW - LEAST_LITERALS)
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Per item and window: item_id, h, j (first place), item_slots, n_windows (different ones of the item)."""
-    rows = benchmark.select("item_id", F.explode(windows(F.col("text"))).alias("w"))
-    first = rows.groupBy("item_id", F.col("w.h").alias("h")).agg(F.min(F.struct("w.i", "w.slots")).alias("f"))
+    """Per item and form of a window: item_id, h, j (first place), item_slots, n_windows (different ones of the item,
+    not counting their other forms)."""
+    words = benchmark.select("item_id", marked_words(F.col("text")).alias("words"))
+    starts = F.filter(F.transform("words", lambda w, i: i), lambda i: i <= F.size("words") - WINDOW)
+    rows = words.select("item_id", "words", F.explode(starts).alias("j")).select("item_id", "j", F.slice("words", F.col("j") + 1, WINDOW).alias("own"))
+    marks = F.filter("own", lambda w: w < MARKS_END)
+    plain = _hash([_template(F.get("own", F.lit(k))) for k in range(WINDOW)])
+    first = rows.where(F.size(marks) <= WINDOW - LEAST_LITERALS).groupBy("item_id", plain.alias("plain")).agg(F.min(F.struct("j", "own")).alias("f"))
     totals = first.groupBy("item_id").agg(F.count("*").alias("n_windows")).withColumnRenamed("item_id", "of")
-    return first.join(totals, F.col("item_id").eqNullSafe(F.col("of"))).select(
-        "item_id", "h", F.col("f.i").alias("j"), F.col("f.slots").alias("item_slots"), "n_windows"
+    forms = first.select("item_id", "f.j", F.explode(_forms(F.col("f.own"))).alias("w"))
+    # Of equal forms of several windows that counts which is no changed one.
+    one = forms.groupBy("item_id", F.col("w.h").alias("h")).agg(F.min(F.struct((F.col("w.turned") != 0).alias("c"), "j", "w.slots")).alias("f"))
+    return one.join(totals, F.col("item_id").eqNullSafe(F.col("of"))).select(
+        "item_id", "h", F.col("f.j").cast("int").alias("j"), F.col("f.slots").alias("item_slots"), "n_windows"
     )
 
 
@@ -96,7 +175,9 @@ def contaminated(
     n_matched, coverage and kind ('same', or 'other values' for a re-parameterised item).
 
     Windows of both sides are joined by their hash. Matches of one item in one place (equal difference of
-    positions) are consistent if equal slot values of the item stand against equal values of the document.
+    positions) are consistent if equal slot values of the item stand against equal values of the document, and
+    words of the item that are no names against themselves. Names are found wherever they stand, also
+    where a sentence begins; see ``_forms`` for other spellings of a window.
     Consistent places count: an item is found if they cover ``least_coverage`` of its different windows, or
     one place has ``least_run`` of them.
 
@@ -122,11 +203,14 @@ def contaminated(
     distinct = F.array_distinct(F.flatten(F.collect_list("pairs")))
     places = hits.groupBy(*document, "place").agg(F.collect_set("j").alias("js"), distinct.alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
-    consistent = places.where(F.size("pairs") == F.size(values))
+    same_word = lambda p: p["a"].startswith(NAME + SAME)
+    differ = lambda p: F.when(same_word(p), F.concat(F.lit(NAME), F.substring(p["a"], 3, 1_000_000)) != p["b"]).otherwise(p["a"] != p["b"])
+    broken = F.exists("pairs", lambda p: same_word(p) & differ(p))
+    consistent = places.where((F.size("pairs") == F.size(values)) & ~broken)
     found = consistent.groupBy(*document).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("long").alias("n_matched"),
         F.max(F.size("js")).alias("run"),
-        F.max(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("other"),
+        F.max(F.exists("pairs", differ)).alias("other"),
     )
     coverage = F.col("n_matched") / F.col("n_windows")
     return (
