@@ -52,10 +52,15 @@ def _sentences(text: bytes) -> list[set[bytes]]:
     return [f for m in SENTENCE.finditer(text) if (f := features(m[0]))]
 
 
+def _known(labels: DataFrame, usable: Column) -> DataFrame:
+    """doc_id and toxic: the labels that may be used, one per id."""
+    known = labels.where(F.col("toxic").isin(0, 1) & usable & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int) -> list[tuple[int, bytes]]:
     """Up to ``per_label`` labelled texts of either label: those whose ids have the smallest hashes."""
-    known = labels.where(F.col("toxic").isin(0, 1) & usable & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = _known(labels, usable)
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("toxic") == x).orderBy(order, "doc_id").limit(per_label) for x in (0, 1)]
     few = F.broadcast(chosen[0].union(chosen[1]))  # 2 * per_label rows at most
@@ -115,10 +120,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = S
     The sample has at most ``per_label`` documents of each label. Only features that go with its toxic
     documents beyond chance get a weight. Labels other than 0 and 1 and null texts are left out; of repeated
     labels the larger counts. Without any label, or with only one kind, every document scores the share of toxic
-    labels with Laplace's correction.
+    labels with Laplace's correction. Labels that are not usable, or of no document, change nothing.
     """
     sample = _sample(docs, labels, usable, per_label)
-    known = labels.where(F.col("toxic").isin(0, 1)).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    found = _known(labels, usable).join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi")
+    known = found.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     share = ((known.toxic or 0) + 1) / (known.n + 2)
     one: dict[bytes, bytes] = {}  # one object per feature: the sample repeats most
     bags = [(label, [tuple(one.setdefault(f, f) for f in s) for s in _sentences(text)]) for label, text in sample]
