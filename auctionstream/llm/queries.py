@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auctionstream.llm import decontamination, licenses, mixing, quality, repeats, sharding, simhash, token_counts, token_files, toxicity
+from auctionstream.llm import decontamination, licenses, mixing, pii, quality, repeats, sharding, simhash, token_counts, token_files, toxicity
 from auctionstream.llm.common import documents
 from auctionstream.session import work_folder
 
@@ -63,6 +63,13 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(documents(spark, folder))
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.scan(documents(spark, folder))
+    counts = [F.size(pii.base(F.col("spans"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    digest = F.sha2(pii.listed(pii.base(F.col("spans"))), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
