@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from auctionstream.llm import decontamination, licenses, mixing, pii, quality, repeats, sharding, simhash, token_counts, token_files, toxicity, whitening
+from auctionstream.llm import conversation_repair, decontamination, licenses, mixing, pii, quality, repeats, sharding, simhash, token_counts, token_files, toxicity, whitening
 from auctionstream.llm.common import documents
 from auctionstream.session import work_folder
 
@@ -70,6 +70,11 @@ def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, pii.listed(F.col("spans")).alias("spans"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversation_repair.damaged(spark.read.parquet(f"{folder}/conversations.parquet"))
+    return conversation_repair.digest(conversation_repair.repair(rows))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
