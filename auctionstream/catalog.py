@@ -10,8 +10,8 @@ from auctionstream.session import ROCKSDB, work_folder
 from auctionstream.sources import adapter, events, sinks, tables, topics
 from auctionstream.streaming import aggregates as stream_aggregates
 from auctionstream.streaming import joins as stream_joins
-from auctionstream.streaming import stateful, windows as stream_windows
-from auctionstream.streaming.run import NOW, finish, plain_times, run_append, run_batches, run_update, stream_files
+from auctionstream.streaming import stateful, updating, windows as stream_windows
+from auctionstream.streaming.run import NOW, finish, plain_times, run_append, run_update, run_updating, stream_files
 
 # The driver's events are minutes apart, so its windows are longer than the defaults.
 TUMBLE, DAY, SIZE, SLIDE, GAP = "1 hour", "1 day", "1 hour", "15 minutes", "6 hours"
@@ -228,11 +228,9 @@ def st_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st_report(by_channel: bool):
-    keys = ["day", "kind", "who"] + (["channel"] if by_channel else [])
-
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        per_who = stream_aggregates.bid_report(_stream(spark, folder, "bid"), by_channel)
-        return stream_aggregates.report_of(run_update(per_who, keys), by_channel)
+        base = work_folder(spark, "report")
+        return run_updating(_stream(spark, folder, "bid"), updating.BidReport(spark, base, by_channel), base)
 
     return run
 
@@ -247,10 +245,9 @@ def st_ijoin(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st_join_agg(spark: SparkSession, folder: str) -> DataFrame:
-    maxima = run_batches(
-        _offers(spark, folder, max_open="10 days", salts=2), stream_joins.category_maxima, stream_joins.MAXIMA_SCHEMA
-    )
-    return stream_joins.category_average(maxima)
+    base = work_folder(spark, "category-average")
+    offers = _offers(spark, folder, max_open="10 days", salts=2)
+    return run_updating(offers, updating.CategoryAverage(spark, base), base)
 
 
 def st_final(spark: SparkSession, folder: str) -> DataFrame:
@@ -259,9 +256,9 @@ def st_final(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st_topn(spark: SparkSession, folder: str) -> DataFrame:
-    bids = _stream(spark, folder, "bid").drop("id")
-    top = stateful.top_n(bids, ["auction"], [("price", False), ("dateTime", True)], 10)
-    return run_update(top, ["auction", "rank_number"])
+    bids, base = _stream(spark, folder, "bid").drop("id"), work_folder(spark, "top")
+    top = updating.TopRows(spark, base, bids.schema, ["auction"], [("price", False), ("dateTime", True)], 10)
+    return run_updating(bids, top, base)
 
 
 def st_unique(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,8 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from auctionstream.operators.topn import top_n
+from auctionstream import schemas
+from auctionstream.sources import keyed
 
 CSV_TIMES = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSS"}
 BATCH = "batch_id"
@@ -153,61 +154,31 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-#: Micro-batches after which the changes are merged into one row per key.
-MERGE_EVERY = 8
-
-
 def write_upserts(
-    stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update", every: int = MERGE_EVERY, **trigger
+    stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update", order: list[str] = [],
+    deleted: str | None = None, buckets: int = 8, **trigger
 ):
-    """A keyed table of a stream: the newest row per key.
+    """A keyed table of a stream (sources.keyed): the newest row per key, without the keys whose newest row is a deletion.
 
-    Each micro-batch writes its rows as a change. Every ``every`` batches the changes and the last merged
-    table become a new one with one row per key, and what it replaces is removed; so storage and reading
-    depend on the number of keys, not on that of batches. A batch that is run again replaces its own files.
+    ``order`` says which of two rows is newer; without it, or among equals, the one of the later micro-batch. Storage and
+    reading depend on the number of keys, not on that of batches.
     """
-    spark = stream.sparkSession
+    table = _upserts(stream.sparkSession, path, stream.schema, keys, buckets, deleted)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in _numbers(spark, f"{path}/merged/upto=*"):
-            return  # merged before the stream stopped
-        batch.write.mode("overwrite").parquet(_change(path, batch_id))
-        if batch_id % every == every - 1:
-            read_upserts(spark, path, batch.schema, keys).write.mode("overwrite").parquet(_merged(path, batch_id))
-            for old in [_change(path, n) for n in range(batch_id - every + 1, batch_id + 1)] + [_merged(path, batch_id - every)]:
-                _delete(spark, old)
+        keyed.upsert(table, batch_id, batch, order, deleted)
 
     writer = stream.writeStream.foreachBatch(write).outputMode(mode)
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _change(path: str, batch_id: int) -> str:
-    return f"{path}/changes/{BATCH}={batch_id}"
-
-
-def _merged(path: str, batch_id: int) -> str:
-    return f"{path}/merged/upto={batch_id}"
-
-
-def _numbers(spark: SparkSession, pattern: str) -> list[int]:
-    """The numbers of the folders of a pattern that were written to the end. Names only."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    done = hadoop.Path(f"{pattern}/_SUCCESS")
-    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or []
-    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def read_upserts(
+    spark: SparkSession, path: str, schema, keys: list[str], buckets: int = 8, deleted: str | None = None, version: int | None = None
+) -> DataFrame:
+    """The rows of the table, as of a micro-batch if one is named. The schema is the stream's."""
+    return keyed.current(_upserts(spark, path, schema, keys, buckets, deleted), version)
 
 
-def read_upserts(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
-    """The newest row of every key: of the last merged table and the changes since."""
-    merged = _numbers(spark, f"{path}/merged/upto=*")[-1:]
-    rows = spark.createDataFrame([], schema).withColumn(BATCH, F.lit(0).cast("long"))
-    parts = [(_merged(path, n), n) for n in merged]
-    parts += [(_change(path, n), n) for n in _numbers(spark, f"{path}/changes/{BATCH}=*") if not merged or n > merged[0]]
-    for folder, n in parts:
-        rows = rows.union(spark.read.schema(schema).parquet(folder).withColumn(BATCH, F.lit(n).cast("long")))
-    return top_n(rows, keys, [F.col(BATCH).desc()], 1).drop(BATCH)
+def _upserts(spark: SparkSession, path: str, schema, keys: list[str], buckets: int, deleted: str | None):
+    columns = schemas.StructType([f for f in schema if f.name != deleted])
+    return keyed.upsert_table(spark, path, columns, keys, buckets=buckets)

@@ -3,10 +3,9 @@
 The day window carries the watermark, so the state of a day goes when the day is over.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from auctionstream.functions.scalar import minute_number, minute_text, price_bands
-from auctionstream.operators.aggregates import REPORT_COLUMNS, auction_statistics, band_counts
+from auctionstream.operators.aggregates import auction_statistics
 
 DAY = "1 day"
 
@@ -22,41 +21,6 @@ def auction_report(bid: DataFrame) -> DataFrame:
     return _day_window(grouped.agg(*auction_statistics(F.col("price"))))
 
 
-def bid_report(bid: DataFrame, by_channel: bool = False) -> DataFrame:
-    """q15 and q16, exact. Streams allow no distinct aggregates, so this takes two steps.
-
-    The first, keyed by day and bidder or auction, holds counts per band and lives in the state store;
-    its size is the number of distinct bidders and auctions of the open days, spread over all tasks.
-    ``report_of`` sums its newest rows, which is a small batch query.
-    """
-    keys = ["channel"] if by_channel else []
-    who = F.explode(F.array(
-        F.struct(F.lit("bidders").alias("kind"), F.col("bidder").alias("who")),
-        F.struct(F.lit("auctions").alias("kind"), F.col("auction").alias("who")),
-    ))
-    minute = F.max(minute_number(F.col("dateTime"))).alias("minute")
-    rows = bid.select(*keys, "dateTime", "price", who.alias("w")).groupBy(
-        *keys, F.window("dateTime", DAY).alias("window"), "w.kind", "w.who"
-    )
-    return _day_window(rows.agg(minute, *band_counts(F.col("price"))))
-
-
-def report_of(per_who: DataFrame, by_channel: bool = False) -> DataFrame:
-    keys = ["channel", "day"] if by_channel else ["day"]
-    columns = ("total", *price_bands(F.lit(0)))
-    is_bidder = F.col("kind") == "bidders"
-
-    def distinct(name: str, kind: str) -> Column:
-        seen = (F.col("kind") == kind) & F.col("who").isNotNull() & (F.col(f"{name}_bids") > 0)
-        return F.count_if(seen).alias(f"{name}_{kind}")
-
-    bids = [F.sum(F.when(is_bidder, F.col(f"{c}_bids"))).alias(f"{c}_bids") for c in columns]
-    counts = [distinct(c, kind) for kind in ("bidders", "auctions") for c in columns]
-    minute = [minute_text(F.max("minute")).alias("minute")] if by_channel else []
-    report = per_who.groupBy(*keys).agg(*minute, *bids, *counts)
-    return report.select(*keys, *(["minute"] if by_channel else []), *REPORT_COLUMNS)
-
-
 def last_bids(bid: DataFrame) -> DataFrame:
     """q18: the last bid of every bidder on every auction so far."""
     columns = ["price", "channel", "url", "dateTime", "extra"]

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auctionstream.session import work_folder
-from auctionstream.sources.sinks import read_upserts, write_batches, write_upserts
+from auctionstream.sources.sinks import read_upserts, write_upserts
 
 NOW = {"availableNow": True}
 
@@ -34,12 +34,11 @@ def run_update(stream: DataFrame, keys: list[str], folder: str | None = None) ->
     return plain_times(read_upserts(spark, f"{folder}/rows", stream.schema, keys))
 
 
-def run_batches(stream: DataFrame, per_batch, schema, folder: str | None = None) -> DataFrame:
-    """Append rows reduced per micro-batch, for results that a batch query merges afterwards."""
-    spark = stream.sparkSession
-    folder = folder or work_folder(spark, "batches")
-    finish(write_batches(stream, f"{folder}/rows", f"{folder}/checkpoint", per_batch=per_batch, **NOW))
-    return spark.read.schema(schema).parquet(f"{folder}/rows")
+def run_updating(stream: DataFrame, result, folder: str) -> DataFrame:
+    """An updating result (streaming.updating) after all micro-batches. Any output mode that lets rows pass once does."""
+    writer = stream.writeStream.foreachBatch(result.apply).outputMode("append")
+    finish(writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(**NOW).start())
+    return plain_times(result.read())
 
 
 def plain_times(df: DataFrame) -> DataFrame:

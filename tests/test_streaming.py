@@ -68,16 +68,6 @@ def test_changelog_replays_to_the_result(spark, bids):
     assert state.where("n NOT IN (0, 1)").count() == 0
 
 
-@pytest.mark.parametrize("by_channel", [False, True])
-def test_reports_in_many_batches(spark, bids, by_channel):
-    from auctionstream.operators.aggregates import q15_daily_report, q16_channel_report
-
-    keys = ["day", "kind", "who"] + (["channel"] if by_channel else [])
-    out = aggregates.report_of(run_update(aggregates.bid_report(stream(spark, bids), by_channel), keys), by_channel)
-    batch = (q16_channel_report if by_channel else q15_daily_report)(bids[1])
-    assert rows(out) == rows(batch)
-
-
 def test_patterns_in_many_batches(spark, bids):
     """Each batch releases rows to the matcher; nothing is lost or matched twice."""
     pattern = match.v_shape("dateTime")
@@ -155,22 +145,3 @@ def test_repeats_within_the_delay_are_dropped(spark, bids):
     live = stream_files(spark, bids[0], bids[1].schema)
     twice = tables.with_watermark(live.unionByName(live), "1 day")
     assert rows(run_append(aggregates.unique_rows(twice, ["id"]))) == rows(plain_times(bids[1]))
-
-
-def test_upserts_keep_one_row_per_key(spark, tmp_path):
-    """Twenty micro-batches: the same rows as a batch query, and never more changes than are merged at once."""
-    from auctionstream.sources import sinks
-
-    for n in range(20):
-        spark.range(30).select(
-            (F.col("id") % 10).alias("k"), (F.col("id") * 7 % 13 + n).alias("v")
-        ).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
-    schema = spark.read.parquet(str(tmp_path / "rows")).schema
-    stream = stream_files(spark, str(tmp_path / "rows"), schema).groupBy("k").agg(F.max("v").alias("v"), F.count("*").alias("n"))
-    table = str(tmp_path / "table")
-    sinks.write_upserts(stream, table, str(tmp_path / "check"), ["k"], availableNow=True).awaitTermination()
-    found = sinks.read_upserts(spark, table, stream.schema, ["k"])
-    expected = spark.read.parquet(str(tmp_path / "rows")).groupBy("k").agg(F.max("v").alias("v"), F.count("*").alias("n"))
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
-    assert len(list((tmp_path / "table" / "changes").iterdir())) <= sinks.MERGE_EVERY
-    assert len(list((tmp_path / "table" / "merged").iterdir())) == 1
