@@ -1,7 +1,10 @@
 """Session settings and the shared work folder."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,14 @@ def build_session(master: str = "local[8]", app: str = "auctionstream", shuffle_
     return spark
 
 
+@cache
+def _own_base() -> str:
+    """A folder of this process, removed when it ends."""
+    base = tempfile.mkdtemp(prefix="auctionstream-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder of the cluster (``spark.checkpoint.dir``).
 
@@ -39,8 +50,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="auctionstream-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
