@@ -1,7 +1,7 @@
 """License texts in documents: winnowed fingerprints pick candidates, banded alignment measures them."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,42 +16,110 @@ BAND = 4
 LEAST_COVERAGE = 0.8
 WORD = re.compile(r"\w+")
 
-# Opening or typical passages of public licenses.
+# Texts of public licenses, whole where they are short, else the notices that name them.
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+    "is furnished to do so, subject to the following conditions:"
+)
+_MIT_CONDITION = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_MIT_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+    "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met:"
+)
+_BSD_TWO = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission."
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT '
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+    "that the above copyright notice and this permission notice appear in all copies."
+)
+_GNU_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the "
+    "Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+)
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
-        "the License. You may obtain a copy of the License at",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+        'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
+        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at",
     ),
     "GPL-3.0": (
-        "licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-        "version.",
+        "licensed under the GNU General Public License, version 3", _GNU_NOTICE.format(name="General Public License", version=3),
+    ),
+    "GPL-2.0": (
+        "licensed under the GNU General Public License, version 2", _GNU_NOTICE.format(name="General Public License", version=2),
+    ),
+    "LGPL-3.0": (
+        "licensed under the GNU Lesser General Public License, version 3",
+        _GNU_NOTICE.format(name="Lesser General Public License", version=3),
+    ),
+    "LGPL-2.1": (
+        "licensed under the GNU Lesser General Public License, version 2.1",
+        _GNU_NOTICE.format(name="Lesser General Public License", version=2.1),
+    ),
+    "AGPL-3.0": (
+        "licensed under the GNU Affero General Public License, version 3",
+        _GNU_NOTICE.format(name="Affero General Public License", version=3),
     ),
-    "GPL-2.0": ("licensed under the GNU General Public License, version 2",),
-    "LGPL-3.0": ("licensed under the GNU Lesser General Public License, version 3",),
     "MIT": (
-        "Released under the MIT License",
-        "Licensed under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction',
+        "Released under the MIT License", "Licensed under the MIT License", _MIT_GRANT, _MIT_WARRANTY,
+        " ".join((_MIT_GRANT, _MIT_CONDITION, _MIT_WARRANTY)),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        'files (the "Software"), to deal in the Software without restriction',
     ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met",
+    "BSD": (_BSD_GRANT, _BSD_WARRANTY),
+    "BSD-2-Clause": (f"{_BSD_GRANT} {_BSD_TWO}", f"{_BSD_GRANT} {_BSD_TWO} {_BSD_WARRANTY}"),
+    "BSD-3-Clause": (f"{_BSD_GRANT} {_BSD_TWO} {_BSD_THIRD}", f"{_BSD_GRANT} {_BSD_TWO} {_BSD_THIRD} {_BSD_WARRANTY}"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", _ISC_GRANT),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "CC-BY-NC-4.0": (
+        "Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0",),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
     "CC0-1.0": ("dedicated to the public domain under CC0 1.0 Universal",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means.",
+    ),
     "all rights reserved": ("All rights reserved",),
 }
+#: Words that tell licenses apart, beside numbers of versions. A passage has those of its license, and no other of these.
+TELLING = ("nc", "sa", "nd", "noncommercial", "sharealike", "lesser", "affero", "neither", "gnu", "apache", "mozilla", "mit")
 
 
 @dataclass
@@ -63,6 +131,11 @@ class Index:
     vocabulary: dict[str, int] = field(default_factory=dict)
     postings: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     prints: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    #: Grams of templates too short for a fingerprint of their own; every gram of a document is looked up among these.
+    short: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    #: Per template: how often it has each telling word or number.
+    telling: list[dict[int, int]] = field(default_factory=list)
+    telling_ids: frozenset[int] = frozenset()
 
 
 def _grams(ids: np.ndarray) -> np.ndarray:
@@ -74,34 +147,50 @@ def _grams(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def winnowed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def winnowed(ids: np.ndarray, grams: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints and their places: the smallest hash of every WINNOW grams in a row, the last of equals.
 
-    Two texts that share WINNOW + GRAM - 1 words in a row share a fingerprint.
+    Two texts that share WINNOW + GRAM - 1 words in a row share a fingerprint; fewer words have none.
     """
-    grams = _grams(ids)
-    if len(grams) <= WINNOW:
-        places = np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))]) if len(grams) else np.zeros(0, np.int64)
-        return grams[places], places
+    grams = _grams(ids) if grams is None else grams
+    if len(grams) < WINNOW:
+        return grams[:0], np.zeros(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(grams, WINNOW)
     places = np.unique(np.arange(len(views)) + WINNOW - 1 - np.argmin(views[:, ::-1], axis=1))
     return grams[places], places
 
 
 def build_index(templates: dict[str, tuple[str, ...]]) -> Index:
-    index = Index()
+    """Templates have GRAM words at least."""
+    index, short = Index(), set()
     for name, texts in templates.items():
         for text in texts:
-            ids = [index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in WORD.findall(text.lower())]
-            prints, places = winnowed(np.array(ids, np.uint64))
-            for h, place in zip(prints.tolist(), places.tolist()):
+            words = WORD.findall(text.lower())
+            if len(words) < GRAM:
+                raise ValueError(f"a template of {name} has fewer than {GRAM} words")
+            ids = [index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in words]
+            grams = _grams(np.array(ids, np.uint64))
+            places = winnowed(np.array(ids, np.uint64), grams)[1]
+            if len(ids) < WINNOW + GRAM - 1:
+                places = np.arange(len(grams))
+                short |= set(grams.tolist())
+            for h, place in zip(grams[places].tolist(), places.tolist()):
                 index.postings[h].append((len(index.names), place))
             index.names.append(name)
             index.words.append(ids)
-    index.prints = np.array(sorted(index.postings), np.uint64)
+            index.telling.append(Counter(i for w, i in zip(words, ids) if w in TELLING or w.isdigit()))
+    index.prints = np.array(sorted(set(index.postings) - short), np.uint64)
+    index.short = np.array(sorted(short), np.uint64)
+    index.telling_ids = frozenset(index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in TELLING)
     return index
 
 
+def _tells(ids: list[int], wanted: dict[int, int], telling: frozenset[int]) -> bool:
+    """Whether a passage has the telling words of a template, and no telling word beside them."""
+    found = Counter(ids)
+    return all(found[i] >= n for i, n in wanted.items()) and all(found[i] <= wanted.get(i, 0) for i in telling)
+
+
 def align(template: list[int], ids: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """The most template words in order found in the document near a diagonal: matches, first and last place.
 
@@ -127,7 +216,7 @@ def align(template: list[int], ids: list[int], diagonal: int, band: int = BAND)
 def find(text: str, index: Index, least_coverage: float) -> list[tuple[str, int, int, float, int]]:
     """License passages of a text: name, begin, end (characters), coverage, matched words.
 
-    Of passages that lie within another the one with more matched words stays.
+    Of passages that overlap the one with most matched words stays, of equals the better covered one.
     """
     spans, lowered = [], text.lower()
     if len(lowered) != len(text):  # a letter that becomes two would shift the places
@@ -135,31 +224,30 @@ def find(text: str, index: Index, least_coverage: float) -> list[tuple[str, int,
     known = index.vocabulary
     words = WORD.findall(lowered)
     ids = np.array([known.get(w, 0) for w in words], np.uint64)
-    prints, places = winnowed(ids)
-    hit = np.isin(prints, index.prints)
-    if not hit.any():
+    grams = _grams(ids)
+    prints, places = winnowed(ids, grams)
+    places = np.union1d(places[np.isin(prints, index.prints)], np.flatnonzero(np.isin(grams, index.short)))
+    if not len(places):
         return []
     bands = {}
-    for h, place in zip(prints[hit].tolist(), places[hit].tolist()):
+    for h, place in zip(grams[places].tolist(), places.tolist()):
         for template, at in index.postings[h]:
             bands.setdefault((template, (place - at) // BAND), place - at)
-    numbers, matches = ids.tolist(), []
+    numbers, matches = ids.tolist(), set()
     for (template, _), diagonal in bands.items():
         n, first, last = align(index.words[template], numbers, diagonal)
-        if n >= least_coverage * len(index.words[template]):
-            matches.append((n, first, last, template))
+        if n >= least_coverage * len(index.words[template]) and _tells(numbers[first : last + 1], index.telling[template], index.telling_ids):
+            matches.add((n, first, last, template))
     if not matches:
         return []
     spans = [m.span() for m in WORD.finditer(lowered)]
     kept: list[tuple[int, int, int, int]] = []
-    reach = -1
-    # By first place, longer ones first: what ends before an earlier one does lies within it.
-    for n, first, last, template in sorted(set(matches), key=lambda m: (m[1], -m[0], -m[2], m[3])):
-        if last > reach:
+    # The passage with most matched words first, of equals the better covered; what overlaps it belongs to it.
+    for n, first, last, template in sorted(matches, key=lambda m: (-m[0], -m[0] / len(index.words[m[3]]), m[1], m[3])):
+        if all(last < f or first > l for _, f, l, _ in kept):
             kept.append((n, first, last, template))
-            reach = last
     return [
-        (index.names[t], spans[first][0], spans[last][1], n / len(index.words[t]), n) for n, first, last, t in kept
+        (index.names[t], spans[first][0], spans[last][1], n / len(index.words[t]), n) for n, first, last, t in sorted(kept, key=lambda m: m[1])
     ]
 
 
@@ -181,9 +269,9 @@ def scan(
 ) -> DataFrame:
     """One row per license passage: doc_id, license, begin, end (characters of the text), coverage, n_words.
 
-    A passage needs a fingerprint in common with a template, that is four of its words in a row (all, if
-    the template has less), and ``least_coverage`` of the template's words in order within a band of BAND
-    words. Null and empty texts have none. Repeated rows are scanned each. The index of the templates, a
+    A passage needs a fingerprint in common with a template, that is four of its words in a row (all three, if it has no
+    more), ``least_coverage`` of the template's words in order within a band of BAND words, and the template's telling words
+    and numbers with no other telling word among them. Null and empty texts have none. Repeated rows are scanned each. The index of the templates, a
     parameter, travels with the tasks; no shuffle.
     """
     index = build_index(templates or TEMPLATES)
