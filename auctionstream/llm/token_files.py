@@ -13,12 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 BLOCK_IDS = 65_536
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
+#: Bytes of text that are tokenised at once.
+AT_ONCE = 8_000_000
 BLOCKS = """part int, block int, part_start long, bits int, doc_ids array<long>, offsets array<int>, n_ids int,
  payload binary"""
 
@@ -65,40 +68,90 @@ def tokenizer(path: str):
     return found
 
 
+#: A word of plain letters, digits and marks, without what the tokenizer treats apart (apostrophes) or composes.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+#: Its pieces: the tokenizer splits it into runs of letters, single digits, and runs of marks.
+PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+@lru_cache(1)
+def shown_bytes() -> list[str]:
+    """The character by which a byte-level model knows each byte: its own if it is printed, else the next one from 256 on."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printed else chr(next(spare)) for b in range(256)]
+
+
 class WordIds(dict):
     """Ids of words as little-endian 32-bit numbers, asked of the library once per word.
 
     The tokenizer must split at white space and drop it, as its normaliser and pre-tokeniser show; then
-    the ids of a text are those of its words, one after the other.
+    the ids of a text are those of its words, one after the other. Plain words are split further, and the model is
+    asked for their pieces, which far more words share.
     """
 
     def __init__(self, library):
         super().__init__()
         self.library = library
         self.special = [t.content for t in library.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}
+        self.table = shown_bytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            shown = piece if piece.isascii() else "".join([self.table[b] for b in piece.encode()])
+            found = self.pieces[piece] = np.array([t.id for t in self.library.model.tokenize(shown)], "<u4").tobytes()
+        return found
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if word[-1] in ".," and word[:-1].isalpha() and word.isascii():
-            found = self[word[:-1]] + self[word[-1]]  # letters and a mark are split in any case
-        elif word.isascii() and word.isalpha():  # the normaliser only lowers it, and nothing splits it
-            found = np.array([t.id for t in self.library.model.tokenize(word.lower())], "<u4").tobytes()
-        else:
+        pieces = PIECES.findall(word.lower()) if PLAIN.fullmatch(word) else None
+        if pieces is None:
             found = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            found = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
         self[word] = found
         return found
 
-    def of(self, text: str) -> np.ndarray:
-        if any(x in text for x in self.special):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return np.array(ids, np.uint32)
-        # str.split also cuts at the four separators, which the tokenizer keeps.
-        words = re.split(r"[ \t-\r]+", text.strip(" \t\n\r\x0b\x0c")) if SEPARATORS.search(text) else text.split()
-        return np.frombuffer(b"".join([self[w] for w in words if w]), "<u4")
-
+    def of_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has.
+
+        Arrow splits the texts at white space and numbers their different words; Python sees each different word once.
+        """
+        strange = {
+            i: np.array(self.library.encode(t.as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+            for special in self.special for i in pc.indices_nonzero(pc.match_substring(texts, special)).to_pylist() for t in [texts[i]]
+        }
+        if strange:
+            blank = np.zeros(len(texts), bool)
+            blank[list(strange)] = True
+            texts = pc.if_else(pa.array(blank), "", texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        per_text = np.diff(split.offsets.to_numpy())
+        words = coded.indices.to_numpy()
+        found = [self[w] if w else b"" for w in coded.dictionary.to_pylist()]  # white space at an end leaves an empty word
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        taken = sizes[words] if len(words) else np.zeros(0, np.int64)
+        behind = np.cumsum(taken)
+        first = (np.cumsum(sizes) - sizes)[words] if len(words) else taken
+        flat = ids[np.repeat(first - (behind - taken), taken) + np.arange(behind[-1] if len(behind) else 0)]
+        edges = np.concatenate([[0], behind])[np.concatenate([[0], np.cumsum(per_text)])]
+        counts = np.diff(edges)
+        if strange:
+            parts = [flat[a:b] for a, b in zip(edges, edges[1:])]
+            for i, found_ids in strange.items():
+                parts[i] = np.frombuffer(found_ids, "<u4")
+            flat, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        return flat, counts
 
-SEPARATORS = re.compile("[\x1c-\x1f]")
+    def of(self, text: str) -> np.ndarray:
+        return self.of_many(pa.array([text], pa.large_string()))[0].astype(np.uint32)
 
 
 @lru_cache(2)
@@ -106,10 +159,24 @@ def word_ids(path: str) -> WordIds:
     return WordIds(tokenizer(path))
 
 
+def text_portions(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of portions of at most ``limit`` bytes, or of one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    begin = total = 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > limit:
+            yield begin, i - begin
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes) - begin
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bits: int) -> Iterator[pa.RecordBatch]:
     library, part = word_ids(path), TaskContext.get().partitionId()
     block = start = 0
     ids, doc_ids, offsets, n_ids = [], [], [], 0
+    end_ids = np.array([end_id], np.uint32)
 
     def flushed() -> pa.RecordBatch:
         nonlocal block, start, ids, doc_ids, offsets, n_ids
@@ -121,14 +188,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bits: int
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            own = np.append(library.of(text or ""), np.uint32(end_id))
-            if n_ids and n_ids + len(own) > BLOCK_IDS:
-                yield flushed()
-            doc_ids.append(doc_id)
-            offsets.append(n_ids)
-            ids.append(own)
-            n_ids += len(own)
+        for at, n_rows in text_portions(batch.column("text"), AT_ONCE):
+            texts = pc.fill_null(batch.column("text").slice(at, n_rows).cast(pa.large_string()), "")
+            found, counts = library.of_many(texts)
+            edges = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            for doc_id, begin, end in zip(batch.column("doc_id").slice(at, n_rows).to_pylist(), edges, edges[1:]):
+                n_own = end - begin + 1
+                if n_ids and n_ids + n_own > BLOCK_IDS:
+                    yield flushed()
+                doc_ids.append(doc_id)
+                offsets.append(n_ids)
+                ids += [found[begin:end], end_ids]
+                n_ids += n_own
     if doc_ids:
         yield flushed()
 
