@@ -1,49 +1,22 @@
 """The four row-pattern queries, each reduced to something Spark can spread.
 
-Rows of one key (auction and bidder) in order of time. No query gathers a hot key. cep0 works on range
-partitions (plans.ranges). cep1, cep2 and cep3 cut a key with more than ``Skew.rows_per_task`` rows into time
-slices (plans.sequence), which different tasks take, and settle what crosses a cut from few rows per
-slice; other keys go through in one pass. All of them run jobs when called: cep0 writes its partitions,
-the others count the rows of the keys, and write the slices of hot ones, to the shared folder.
+Rows of one key (auction and bidder) in order of time. No query gathers a hot key: all work on range partitions
+(plans.ranges), at every size alike, and settle what crosses their ends from few rows of each. They run jobs when
+called and write their partitions to the shared folder.
 """
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from auctionstream.functions.scalar import interval
+from auctionstream.plans.nearest import across, last_of_ends, next_at_or_below, records, same_keys
 from auctionstream.plans.ranges import PART, PLACE, Groups, in_ranges, numbers
-from auctionstream.plans.sequence import CHUNK, with_chunks
-from auctionstream.plans.skew import DEFAULT, Skew, hot_keys
-from auctionstream.session import stage
+from auctionstream.plans.skipping import chosen, position
 
 KEYS = ["auction", "bidder"]
 LIMIT, DROP, WITHIN = 10_000, 50, "5 seconds"
-# Positions of rows along a key: slice number times this, plus the row's place in its slice.
-SLICE_SPAN = 1 << 40
-#: Whether the price is missing.
-NONE = "__none"
-
-
-def _sequence(
-    bid: DataFrame, keys: list[str], tie: list[str], skew: Skew, min_length: str | None = None
-) -> tuple[DataFrame, bool]:
-    """Key, order and price columns with ``__chunk``: null, or the slice of a hot key; and if there is one.
-
-    The keys' rows are counted for that, with map-side partial counts over the key columns alone.
-    """
-    rows = bid.select(
-        *keys, "dateTime", *[c for c in tie if c not in keys],
-        # Two columns without nulls: pandas would turn a nullable integer into a float.
-        F.coalesce("price", F.lit(0)).alias("price"), F.col("price").isNull().alias(NONE),
-    )
-    if hot_keys(rows, keys, skew).isEmpty():
-        return rows.withColumn(CHUNK, F.lit(None).cast("int")), False
-    return with_chunks(rows, keys, "dateTime", skew, min_length), True
 
 
 # ---- a falling run, then a rise ----------------------------------------------------------------
@@ -121,94 +94,6 @@ def cep0_v_shape(
     return found.where("__kind = 'match'").select(*columns).union(late.select(*columns))
 
 
-# ---- groups of sorted rows in Arrow batches -----------------------------------------------------
-
-
-def _by_slice(df: DataFrame, keys: list[str], order: list[str], kernel: Callable, schema: str) -> DataFrame:
-    """Run the kernel over every (key, slice), its rows in order.
-
-    Tasks get many small groups per batch, so there is no call per group into Spark; at most one slice
-    is held in memory at a time.
-    """
-    group = [*keys, CHUNK]
-    placed = df.repartition(*group).sortWithinPartitions(*group, *order)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for part in parts:
-            if not len(part):
-                continue
-            bounds = _group_bounds(part, group)
-            if held and _same_group(held[-1], part, group):
-                head = part.iloc[: bounds[1]]
-                held.append(head)
-                if len(bounds) == 2:  # still the same slice
-                    continue
-                rest = part.iloc[bounds[1]:]
-            else:
-                rest = part
-            if held:
-                yield from _run(kernel, pd.concat(held), group)
-            cut = _group_bounds(rest, group)[-2]
-            if cut:
-                yield from _run(kernel, rest.iloc[:cut], group)
-            held = [rest.iloc[cut:]]
-        if held:
-            yield from _run(kernel, pd.concat(held), group)
-
-    return placed.mapInPandas(run, schema)
-
-
-def _group_bounds(part: pd.DataFrame, group: list[str]) -> np.ndarray:
-    """Where groups of equal key start, and the length."""
-    change = np.zeros(len(part), dtype=bool)
-    change[0] = True
-    for c in group:
-        values = part[c].to_numpy(dtype="float64" if c == CHUNK else None, na_value=-1) if c == CHUNK else part[c].to_numpy()
-        missing = pd.isna(values)
-        change[1:] |= (values[1:] != values[:-1]) & ~(missing[1:] & missing[:-1])
-    return np.append(np.flatnonzero(change), len(part))
-
-
-def _same_group(left: pd.DataFrame, right: pd.DataFrame, group: list[str]) -> bool:
-    a, b = left[group].iloc[-1], right[group].iloc[0]
-    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
-
-
-def _cogroup(left: DataFrame, right: DataFrame, by: list[str], fn: Callable, schema: str) -> DataFrame:
-    """Both sides come from the same rows, so the right keys get names of their own (``__r_…``)."""
-    renamed = right.select(*[F.col(c).alias(f"__r_{c}" if c in by else c) for c in right.columns])
-    right_by = [f"__r_{c}" for c in by]
-    return left.groupBy(*by).cogroup(renamed.groupBy(*right_by)).applyInPandas(fn, schema)
-
-
-def _run(kernel: Callable, rows: pd.DataFrame, group: list[str]) -> Iterator[pd.DataFrame]:
-    out = kernel(rows.reset_index(drop=True), _group_bounds(rows, group))
-    if len(out):
-        yield out
-
-
-def next_at_or_below(value: np.ndarray, threshold: np.ndarray) -> np.ndarray:
-    """For every row the first later row whose value is at or below the row's threshold, or -1.
-
-    From the right, with a stack of the rows that are below everything before them.
-    """
-    from bisect import bisect_right
-
-    values, thresholds = value.tolist(), threshold.tolist()
-    found, lows, places = [-1] * len(values), [], []
-    for i in range(len(values) - 1, -1, -1):
-        at = bisect_right(lows, thresholds[i]) - 1
-        if at >= 0:
-            found[i] = places[at]
-        while lows and lows[-1] >= values[i]:
-            lows.pop()
-            places.pop()
-        lows.append(values[i])
-        places.append(i)
-    return np.array(found, dtype="int64")
-
-
 def divided(total: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Integer quotient, cut towards zero."""
     return np.sign(total) * (np.abs(total) // np.maximum(count, 1))
@@ -218,7 +103,7 @@ def divided(total: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def cep2_low_average_overlapping(
-    bid: DataFrame, keys: list[str] = KEYS, tie: list[str] = [], limit: int = LIMIT, skew: Skew = DEFAULT
+    bid: DataFrame, keys: list[str] = KEYS, tie: list[str] = [], limit: int = LIMIT, partitions: int | None = None
 ) -> DataFrame:
     """A+ B, skip to next row: from every row, the longest run whose average stays below the limit.
 
@@ -226,296 +111,180 @@ def cep2_low_average_overlapping(
     with S(j) >= S(i-1): the next greater element of S. A missing price begins no run, and within one it
     counts neither for the sum nor for the number of prices.
     """
-    return _low_average(bid, keys, tie, limit, skew)[0].select(*keys, "start_tstamp", "end_tstamp", "avg_price")
+    return _low_average(bid, keys, tie, limit, partitions).select(*keys, "start_tstamp", "end_tstamp", "avg_price")
 
 
 def cep1_low_average(
-    bid: DataFrame, keys: list[str] = KEYS, tie: list[str] = [], limit: int = LIMIT, skew: Skew = DEFAULT
+    bid: DataFrame, keys: list[str] = KEYS, tie: list[str] = [], limit: int = LIMIT, partitions: int | None = None
 ) -> DataFrame:
     """A+ B, skip past last row.
 
     The runs of cep2 are nested or apart, never crossing, so the ones found from left to right are the
     outermost: those that start after every earlier run has ended.
     """
-    runs, split = _low_average(bid, keys, tie, limit, skew)
-    in_slice = Window.partitionBy(*keys, CHUNK).orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("__covered", F.coalesce(F.max("__to").over(in_slice), F.lit(-1)))
-    if split:
-        earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            runs.where(F.col(CHUNK).isNotNull())
-            .groupBy(*keys, F.col(CHUNK).alias("__slice")).agg(F.max("__to").alias("__last"))
-            .withColumn("__carried", F.max("__last").over(earlier)).drop("__last")
-            .withColumnsRenamed({k: f"__{k}" for k in keys})
-        )
-        same = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(CHUNK) == F.col("__slice")]
-        runs = runs.join(carried, same, "left").withColumn("__covered", F.greatest("__covered", "__carried"))
-    outermost = runs.where(F.col("__from") > F.col("__covered"))
+    runs = _low_average(bid, keys, tie, limit, partitions)
+    inside = Window.partitionBy(*keys, PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__covered", F.max("__to").over(inside))
+    # Of keys that go over several partitions: where the runs of the earlier ones end. A row per partition at most.
+    earlier = Window.partitionBy(*keys).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    reach = runs.groupBy(*keys, F.col(PART).alias("__of")).agg(F.max("__to").alias("__last"))
+    carried = reach.withColumn("__carried", F.max("__last").over(earlier)).where("__carried IS NOT NULL").drop("__last")
+    named = carried.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    both = runs.join(named, [*same, F.col(PART) == F.col("__of")], "left")
+    outermost = both.where(F.col("__from") > F.coalesce(F.greatest("__covered", "__carried"), F.lit(-1)))
     return outermost.select(*keys, "start_tstamp", "end_tstamp", "avg_price")
 
 
-RUN_FIELDS = "start_tstamp {time}, end_tstamp {time}, avg_price bigint, __from bigint, __to bigint"
-
+def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, partitions: int | None) -> DataFrame:
+    """All runs with ``__part`` and ``__place`` of their first row, and the positions of it and of the row that ends them.
 
-def _low_average(bid: DataFrame, keys: list[str], tie: list[str], limit: int, skew: Skew) -> tuple[DataFrame, bool]:
-    """All runs with the positions of their first row and of the row that ends them; if a key was split."""
-    order = ["dateTime", *tie]
-    rows, split = _sequence(bid, keys, tie, skew)
+    Within a range partition sums start at 0 for every key; the sums of earlier partitions are added where a run crosses
+    an end (plans.nearest).
+    """
+    rows = bid.select(*keys, "dateTime", *[c for c in tie if c not in keys], "price")
     types = dict(rows.dtypes)
-    key_fields = ", ".join(f"{c} {types[c]}" for c in [*keys, CHUNK])
-    run_fields = RUN_FIELDS.format(time=types["dateTime"])
-
-    def kernel(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        known = ~part[NONE].to_numpy(bool)
-        over = np.where(known, part["price"].to_numpy("int64") - limit, 0)
-        times = part["dateTime"].to_numpy()
-        first = np.repeat(bounds[:-1], np.diff(bounds))
+    time = types["dateTime"]
+
+    def kernel(table: pa.Table, groups: Groups) -> dict:
+        price, known = numbers(table["price"])
+        at = np.arange(len(price))
+        over = np.where(known, price - limit, 0)
         total = np.cumsum(over)
-        sums = total - (total - over)[first]  # running sum within the slice
+        sums = total - (total - over)[groups.first]  # of the key, within the partition
         seen = np.cumsum(known) - known
-        seen = seen - seen[first]  # prices before the row within the slice
+        seen = seen - seen[groups.first]
         before = sums - over
-        ends = np.full(len(part), -1, dtype="int64")
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if hi - lo > 1:
-                local = next_at_or_below(-sums[lo:hi], -before[lo:hi])
-                ends[lo:hi] = np.where(local >= 0, local + lo, -1)
+        ends = next_at_or_below(-sums, -before, groups.first)
         starts = over < 0
-        done = np.flatnonzero(starts & (ends >= 0))
-        until = ends[done]
-        count = seen[until] - seen[done]
-        average = divided(sums[until - 1] - before[done] + limit * count, count)
-        base = part[CHUNK].to_numpy(dtype="float64", na_value=0).astype("int64") * SLICE_SPAN
-        out = part.loc[done, [*keys, CHUNK]].assign(
-            start_tstamp=times[done], end_tstamp=times[until - 1], avg_price=average,
-            __from=base[done] + done - first[done], __to=base[until] + until - first[until],
-        )
-        if part[CHUNK].isna().all():
-            return out
-        place = np.arange(len(part)) - first
-        frames = [out.assign(__kind="run", __sum=0, __place=0, __known=0)]
-        # Runs that the slice leaves open: their sum before the start is the level to reach.
-        frames.append(_marks(part, np.flatnonzero(starts & (ends < 0)), "open", before, place, times, seen))
-        # Rows that exceed all sums of the slice before them: only they can end a run from outside.
-        at = np.concatenate([
-            lo + np.flatnonzero(np.append(True, np.diff(np.maximum.accumulate(sums[lo:hi])) > 0))
-            for lo, hi in zip(bounds[:-1], bounds[1:])
-        ])
-        previous = np.where(at > first[at], times[np.maximum(at - 1, 0)], np.datetime64("NaT"))
-        frames.append(_marks(part, at, "record", sums, place, times, seen).assign(end_tstamp=previous, avg_price=over[at]))
-        peaks = np.array([sums[lo:hi].max() for lo, hi in zip(bounds[:-1], bounds[1:])])
-        frames.append(_marks(part, bounds[1:] - 1, "slice", sums, place, times, seen + known).assign(avg_price=peaks))
-        return pd.concat([f for f in frames if len(f)])
-
-    def _marks(part, at, kind, sums, place, times, known):
-        return part.loc[at, [*keys, CHUNK]].assign(
-            start_tstamp=times[at], end_tstamp=times[at], avg_price=0, __from=0, __to=0,
-            __kind=kind, __sum=sums[at], __place=place[at], __known=known[at],
-        )
-
-    fields = f"{key_fields}, {run_fields}"
-    if not split:
-        return _by_slice(rows, keys, order, kernel, fields), False
-    cold = _by_slice(rows.where(F.col(CHUNK).isNull()), keys, order, kernel, fields)
-    marked = f"{fields}, __kind string, __sum bigint, __place bigint, __known bigint"
-    hot = stage(
-        _by_slice(rows.where(F.col(CHUNK).isNotNull()), keys, order, kernel, marked), "low-average", "__kind"
-    )
-    closed = hot.where(F.col("__kind") == "run").select(*cold.columns)
-    return cold.unionByName(closed).unionByName(_runs_across_slices(hot, keys, key_fields, run_fields, limit)), True
-
-
-def _runs_across_slices(found: DataFrame, keys: list[str], key_fields: str, run_fields: str, limit: int) -> DataFrame:
-    """Close the open runs of hot keys in later slices.
+        lows = np.minimum.reduceat(-sums, np.flatnonzero(groups.place == 0))[groups.group]
+        kinds = {
+            "run": starts & (ends >= 0), "open": starts & (ends < 0) & groups.goes_on,
+            "record": records(-sums, groups), "sum": last_of_ends(groups),
+        }
+        take = np.concatenate([np.flatnonzero(x) for x in kinds.values()])
+        kind = np.repeat(list(kinds), [int(x.sum()) for x in kinds.values()])
+        until = np.where(kind == "run", ends[take], 0)
+        count = np.maximum(seen[until] - seen[take], 1)
+        average = np.where(kind == "run", divided(sums[until - 1] - before[take] + limit * count, count), 0)
+        times = table["dateTime"]
+        # A record's time is that of the row before it; it may be in an earlier partition.
+        shown = np.where(kind == "record", take - 1, take)
+        shows = pa.array((kind != "record") | (groups.place[take] > 0))
+        return {
+            **{k: table[k].take(take) for k in keys}, PLACE: groups.place[take], "__kind": pa.array(kind.astype(object), pa.string()),
+            "start_tstamp": pc.if_else(shows, times.take(np.maximum(shown, 0)), None),
+            "end_tstamp": pc.if_else(pa.array(kind == "run"), times.take(np.maximum(until - 1, 0)), None),
+            "avg_price": average, "__to": groups.place[until], "__low": lows[take], "__over": over[take],
+            "__sum": np.where(kind == "open", before[take], sums[take]), "__known": np.where(kind == "sum", (seen + known)[take], seen[take]),
+        }
 
-    First the slice: the first later one whose peak reaches the level. Then the row: the first record of
-    that slice at or above the level. Arcs from a start to its end never cross, so there are at most
-    twice as many (source, target) pairs as slices, and repeating a slice's records per pair is cheap.
-    """
-    named = {k: f"__{k}" for k in keys}
-    same = [F.col(k) == F.col(n) for k, n in named.items()]
-    slices = found.where(F.col("__kind") == "slice")
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(
-        *keys, F.col(CHUNK).alias("__slice"),
-        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"),
-        F.coalesce(F.sum("__known").over(earlier), F.lit(0)).alias("__known_before"),
-        F.max("start_tstamp").over(earlier).alias("__last_time"),
-        F.col("avg_price").alias("__peak"),
-    ).withColumnsRenamed(named)
-    at_slice = [*same, F.col(CHUNK) == F.col("__slice")]
+    fields = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    found = in_ranges(
+        rows, keys, ["dateTime", *tie], kernel,
+        f"{fields}, {PLACE} long, __kind string, start_tstamp {time}, end_tstamp {time}, avg_price bigint, __to long, __low long, "
+        "__over long, __sum long, __known long",
+        "low-average", partitions,
+    )
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = found.where("__kind = 'sum'").select(
+        *keys, PART, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"),
+        F.coalesce(F.sum("__known").over(earlier), F.lit(0)).alias("__before"), F.last("start_tstamp").over(earlier).alias("__last_time"), "__low",
+    )
 
     def globally(kind: str) -> DataFrame:
-        rows = found.where(F.col("__kind") == kind).join(offsets, at_slice)
-        return rows.withColumns({
-            "__level": F.col("__sum") + F.col("__base"), "__nr": F.col("__known") + F.col("__known_before"),
-        })
-
-    opened = globally("open").select(*keys, CHUNK, "start_tstamp", "__level", "__nr", "__place")
-    # Every slice sees the peaks of its key as one array.
-    peak = F.struct("__slice", (F.col("__peak") + F.col("__base")).alias("__peak"))
-    peaks = offsets.groupBy(*named.values()).agg(F.sort_array(F.collect_list(peak)).alias("__peaks"))
-    sources = opened.select(*keys, CHUNK).distinct()
-    peaks_for = sources.join(peaks, same).select(
-        *keys, CHUNK, F.col("__peaks.__slice").alias("__slices"), F.col("__peaks.__peak").alias("__heights")
+        named = offsets.withColumnRenamed(PART, "__of").drop("__low")
+        return same_keys(found.where(F.col("__kind") == kind), named, keys, F.col(PART) == F.col("__of"))
+
+    level, nr = -(F.col("__sum") + F.col("__base")), F.col("__known") + F.col("__before")
+    opens = globally("open").select(*keys, PART, PLACE, "start_tstamp", level.alias("level"), nr.alias("__nr"))
+    ends = globally("record").select(
+        *keys, PART, PLACE, level.alias("value"), F.coalesce("start_tstamp", "__last_time").alias("end_tstamp"),
+        nr.alias("__end_nr"), F.col("__over").alias("__end_over"),
     )
-
-    def to_slice(runs: pd.DataFrame, peaks: pd.DataFrame) -> pd.DataFrame:
-        slices, heights = (np.asarray(peaks[c].iloc[0], dtype="int64") for c in ("__slices", "__heights"))
-        later = slices > runs[CHUNK].iloc[0]
-        slices, reach = slices[later], np.maximum.accumulate(heights[later])
-        at = np.searchsorted(reach, runs["__level"].to_numpy("int64"), side="left")
-        hit = at < len(reach)
-        return runs[hit].assign(__target=slices[at[hit]])
-
-    time = run_fields.split(",")[0].split()[1]
-    open_fields = f"{key_fields}, start_tstamp {time}, __level bigint, __nr bigint, __place bigint"
-    aimed = _cogroup(opened, peaks_for, [*keys, CHUNK], to_slice, f"{open_fields}, __target int")
-    records = globally("record").select(
-        *[F.col(k).alias(n) for k, n in named.items()], F.col(CHUNK).alias("__in"), F.col("__level").alias("__reached"),
-        F.col("__nr").alias("__row"), F.col("__place").alias("__at"),
-        F.coalesce("end_tstamp", "__last_time").alias("__prev_time"), F.col("avg_price").alias("__over"),
+    lows = offsets.select(*keys, PART, (F.col("__low") - F.col("__base")).alias("low"))
+    closed = across(opens, ends, lows, keys, ["end_tstamp", "__end_nr", "__end_over"])
+    count = F.col("__end_nr") - F.col("__nr")
+    total = F.col("level") - F.col("end_value") - F.col("__end_over") + limit * count
+
+    inside = found.where("__kind = 'run'").select(
+        *keys, "start_tstamp", "end_tstamp", "avg_price", PART, PLACE,
+        position(F.col(PART), F.col(PLACE)).alias("__from"), position(F.col(PART), F.col("__to")).alias("__to"),
     )
-    pairs = aimed.select(*keys, CHUNK, "__target").distinct()
-    records_for = pairs.join(records, [*same, F.col("__in") == F.col("__target")]).select(
-        *keys, CHUNK, "__target", "__reached", "__row", "__at", "__prev_time", "__over"
+    over_cuts = closed.select(
+        *keys, "start_tstamp", "end_tstamp", F.call_function("div", total, count).alias("avg_price"), PART, PLACE,
+        position(F.col(PART), F.col(PLACE)).alias("__from"), position(F.col("target"), F.col("end_place")).alias("__to"),
     )
-
-    def to_row(runs: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        ends = ends.sort_values("__at").reset_index(drop=True)
-        end = ends.iloc[np.searchsorted(ends["__reached"].to_numpy("int64"), runs["__level"].to_numpy("int64"), side="left")]
-        end = end.reset_index(drop=True)
-        runs = runs.reset_index(drop=True)
-        count = end["__row"] - runs["__nr"]
-        total = end["__reached"] - end["__over"] - runs["__level"] + limit * count
-        return runs[[*keys, CHUNK]].assign(
-            start_tstamp=runs["start_tstamp"], end_tstamp=end["__prev_time"], avg_price=divided(total.to_numpy("int64"), count.to_numpy("int64")),
-            __from=runs[CHUNK].astype("int64") * SLICE_SPAN + runs["__place"],
-            __to=runs["__target"].astype("int64") * SLICE_SPAN + end["__at"],
-        )
-
-    return _cogroup(aimed, records_for, [*keys, CHUNK, "__target"], to_row, f"{key_fields}, {run_fields}")
+    return inside.unionByName(over_cuts)
 
 
 # ---- a drop within a time -----------------------------------------------------------------------
 
+#: Stands for a missing price: at or below every level, so it ends every attempt.
+MISSING = -(1 << 62)
+
 
 def cep3_drop(
     bid: DataFrame, keys: list[str] = KEYS, tie: list[str] = [], drop: int = DROP, within: str = WITHIN,
-    skew: Skew = DEFAULT,
+    partitions: int | None = None,
 ) -> DataFrame:
     """A B* C within a time, skip past last row: the first price at or below A minus the drop ends the
-    attempt; below, it is a match, and equal, it is none.
+    attempt; below, it is a match, and equal, it is none. A missing price ends every attempt.
 
-    A match is shorter than ``within``, so a slice of a hot key, which is at least that long, needs the
-    rows of only one such span after it to know its candidates. Which candidates count depends on where
-    the last match of the slice before ended; each slice says where it ends for every possible entry,
-    and chaining these answers per key gives the entries.
+    A range partition knows the matches of the keys that lie in it, and chooses among them. Of the keys at its ends it
+    hands on the candidates, and the rows whose attempt is still open; later partitions close those (plans.nearest), and
+    the choice along the partitions is one of links between them (plans.skipping).
     """
-    order = ["dateTime", *tie]
-    rows, split = _sequence(bid, keys, tie, skew, within)
-    rows = rows.withColumn("__own", F.lit(True))
+    rows = bid.select(*keys, "dateTime", *[c for c in tie if c not in keys], "price")
     types = dict(rows.dtypes)
-    span = pd.Timedelta(within).to_timedelta64()
-    key_fields = ", ".join(f"{c} {types[c]}" for c in [*keys, CHUNK])
-    fields = f"{key_fields}, drop_time {types['dateTime']}, drop_diff bigint, __from bigint, __to bigint"
-
-    def candidates(part: pd.DataFrame, bounds: np.ndarray):
-        none, times = part[NONE].to_numpy(bool), part["dateTime"].to_numpy()
-        # A missing price ends every attempt, and is the end of no match.
-        price = np.where(none, np.iinfo("int64").min + drop, part["price"].to_numpy("int64"))
-        ends = np.full(len(part), -1, dtype="int64")
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if hi - lo > 1:
-                local = next_at_or_below(price[lo:hi], price[lo:hi] - drop)
-                ends[lo:hi] = np.where(local >= 0, local + lo, -1)
+    time, span = types["dateTime"], int(pd.Timedelta(within) / pd.Timedelta("1us"))
+
+    def kernel(table: pa.Table, groups: Groups) -> dict:
+        price, known = numbers(table["price"])
+        at, micros = np.arange(len(price)), table["dateTime"].cast(pa.int64()).to_numpy()
+        value = np.where(known, price, MISSING)
+        ends = next_at_or_below(value, np.where(known, price - drop, MISSING - 1), groups.first)
         to = np.maximum(ends, 0)
-        good = (ends >= 0) & ~none & ~none[to] & (price[to] < price - drop) & (times[to] - times < span)
-        return np.where(good & part["__own"].to_numpy(), ends, -1), price, times
-
-    def kernel(part: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        ends, price, times = candidates(part, bounds)
-        first = np.repeat(bounds[:-1], np.diff(bounds))
-        hot = part[CHUNK].notna().to_numpy()
-        found = np.flatnonzero(ends >= 0)
-        keep, free, group = [], 0, -1
-        for i, end, start, is_hot in zip(found.tolist(), ends[found].tolist(), first[found].tolist(), hot[found].tolist()):
-            if start != group:
-                group, free = start, start
-            if is_hot or i >= free:  # candidates of hot slices are chosen later
-                keep.append(i)
-                free = end + 1
-        at = np.array(keep, dtype="int64")
-        to = ends[at]
-        return part.loc[at, [*keys, CHUNK]].assign(
-            drop_time=times[to], drop_diff=price[at] - price[to], __from=at - first[at], __to=to - first[at],
-        )
-
-    if not split:
-        return _by_slice(rows, keys, order, kernel, fields).select(*keys, "drop_time", "drop_diff")
-    cold = _by_slice(rows.where(F.col(CHUNK).isNull()), keys, order, kernel, fields)
-    slices = rows.where(F.col(CHUNK).isNotNull())
-    with_ahead = slices.unionByName(_rows_ahead(slices, keys, within))
-    hot = stage(_by_slice(with_ahead, keys, order, kernel, fields), "drops")
-    sizes = slices.groupBy(*keys, CHUNK).agg(F.count("*").alias("__size"))
-    chosen = _choose(hot, sizes, keys, key_fields, fields)
-    return cold.unionByName(chosen).select(*keys, "drop_time", "drop_diff")
-
-
-def _rows_ahead(rows: DataFrame, keys: list[str], within: str) -> DataFrame:
-    """Rows that lie less than ``within`` behind the last row of an earlier slice, copied into it."""
-    last = rows.groupBy(*keys, CHUNK).agg(F.max("dateTime").alias("__last"))
-    named = {k: f"__{k}" for k in keys} | {CHUNK: "__slice"}
-    same = [F.col(k) == F.col(f"__{k}") for k in keys]
-    # Slices are at least ``within`` long, so only the slice just before can reach a row.
-    near = [F.col(CHUNK) == F.col("__slice") + 1, F.col("dateTime") < F.col("__last") + interval(within)]
-    ahead = rows.join(last.withColumnsRenamed(named), same + near)
-    return ahead.withColumns({CHUNK: F.col("__slice"), "__own": F.lit(False)}).select(*rows.columns)
-
-
-def _choose(hot: DataFrame, sizes: DataFrame, keys: list[str], key_fields: str, fields: str) -> DataFrame:
-    """Left-to-right choice among the candidates of hot keys, slice by slice.
-
-    ``exit`` tables: from row ``__entry`` of the slice on, how many rows of the next slice the last
-    chosen match takes. Equal answers are merged, which leaves few rows per slice.
-    """
-    by = [*keys, CHUNK]
-
-    def exits(candidates: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
-        n = int(size["__size"].iloc[0])
-        head = size[[f"__r_{c}" for c in by]].iloc[0]
-        ordered = candidates.sort_values("__from")
-        starts, ends = ordered["__from"].tolist(), ordered["__to"].tolist()
-        after = np.searchsorted(np.array(starts, dtype="int64"), np.array(ends, dtype="int64") + 1) if starts else []
-        out = [0] * (len(starts) + 1)
-        for i in range(len(starts) - 1, -1, -1):
-            out[i] = max(ends[i] + 1 - n, 0) if ends[i] + 1 >= n else out[after[i]]
-        # Entering after start i-1 and up to start i means choosing i first.
-        table = [(s, o) for i, (s, o) in enumerate(zip([*starts, n], out)) if i == len(starts) or o != out[i + 1]]
-        return pd.DataFrame([(*head, s, o) for s, o in table], columns=[*by, "__upto", "__exit"])
-
-    def entries(table: pd.DataFrame) -> pd.DataFrame:
-        result, carry, previous = [], 0, None
-        for chunk, part in table.sort_values([CHUNK, "__upto"]).groupby(CHUNK, sort=True):
-            if previous is not None and chunk != previous + 1:
-                carry = 0
-            result.append((*part[keys].iloc[0], chunk, carry))
-            upto = part["__upto"].to_numpy()
-            at = np.searchsorted(upto, carry, side="left")
-            # A match never takes all of the next slice: both are measured in ``within``.
-            carry = int(part["__exit"].iloc[at]) if at < len(part) else 0
-            previous = chunk
-        return pd.DataFrame(result, columns=[*by, "__entry"])
-
-    def chosen(candidates: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        ordered, keep = candidates.sort_values("__from"), []
-        free = int(entry["__entry"].iloc[0]) if len(entry) else 0
-        for start, end in zip(ordered["__from"].tolist(), ordered["__to"].tolist()):
-            keep.append(start >= free)
-            if start >= free:
-                free = end + 1
-        return ordered[np.array(keep, dtype=bool)]
-
-    table = _cogroup(hot, sizes, by, exits, f"{key_fields}, __upto bigint, __exit bigint")
-    entry = table.groupBy(*keys).applyInPandas(entries, f"{key_fields}, __entry bigint")
-    return _cogroup(hot, entry, by, chosen, fields)
+        good = known & (ends >= 0) & known[to] & (price[to] < price - drop) & (micros[to] - micros < span)
+        last = micros[np.minimum(at + groups.from_end, len(at) - 1)]
+        elsewhere = groups.begins_before | groups.goes_on
+        lows = np.minimum.reduceat(value, np.flatnonzero(groups.place == 0))[groups.group]
+        match, group, free = np.zeros(len(price), bool), -1, 0
+        inner = np.flatnonzero(good & ~elsewhere)
+        for i, end, own in zip(inner.tolist(), ends[inner].tolist(), groups.group[inner].tolist()):
+            if own != group or i >= free:
+                match[i], group, free = True, own, end + 1
+        kinds = {
+            "match": match, "candidate": good & elsewhere, "open": known & (ends < 0) & groups.goes_on & (last - micros < span),
+            "record": records(value, groups), "sum": last_of_ends(groups),
+        }
+        take = np.concatenate([np.flatnonzero(x) for x in kinds.values()])
+        kind = np.repeat(list(kinds), [int(x.sum()) for x in kinds.values()])
+        ended = (kind == "match") | (kind == "candidate")
+        shown = np.where(ended, to[take], take)
+        return {
+            **{k: table[k].take(take) for k in keys}, PLACE: groups.place[take], "__kind": pa.array(kind.astype(object), pa.string()),
+            "drop_time": table["dateTime"].take(shown), "drop_diff": np.where(ended, price[take] - price[shown], 0),
+            "__to": groups.place[shown], "__value": value[take], "__micros": micros[take], "__low": lows[take],
+        }
+
+    fields = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    found = in_ranges(
+        rows, keys, ["dateTime", *tie], kernel,
+        f"{fields}, {PLACE} long, __kind string, drop_time {time}, drop_diff long, __to long, __value long, __micros long, __low long",
+        "drops", partitions,
+    )
+    of = lambda kind: found.where(F.col("__kind") == kind)
+    opens = of("open").select(*keys, PART, PLACE, (F.col("__value") - drop).alias("level"), F.col("__micros").alias("__begun"))
+    ends = of("record").select(*keys, PART, PLACE, F.col("__value").alias("value"), "drop_time", "__micros")
+    closed = across(opens, ends, of("sum").select(*keys, PART, F.col("__low").alias("low")), keys, ["drop_time", "__micros"])
+    drops = (F.col("end_value") > MISSING) & (F.col("end_value") < F.col("level")) & (F.col("__micros") - F.col("__begun") < span)
+    crossing = closed.where(drops).select(
+        *keys, PART, PLACE, "drop_time", (F.col("level") + drop - F.col("end_value")).alias("drop_diff"),
+        (position(F.col("target"), F.col("end_place")) + 1).alias("behind"),
+    )
+    inside = of("candidate").select(
+        *keys, PART, PLACE, "drop_time", "drop_diff", (position(F.col(PART), F.col("__to")) + 1).alias("behind")
+    )
+    columns = [*keys, "drop_time", "drop_diff"]
+    return of("match").select(*columns).union(chosen(inside.unionByName(crossing), keys).select(*columns))

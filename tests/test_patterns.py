@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from auctionstream.operators import match, patterns
-from auctionstream.plans.skew import Skew
 
 BASE = datetime.datetime(2024, 1, 1)
 PATTERNS = {
@@ -60,8 +59,7 @@ def test_whole_and_split_equal_general(spark, name, seed):
     assert expected
     assert rows_of(operator(df, tie=["id"])) == expected
     for per_task in (5, 29):
-        split = {"partitions": 600 // per_task} if name == "cep0" else {"skew": Skew(rows_per_task=per_task)}
-        assert rows_of(operator(df, tie=["id"], **split)) == expected
+        assert rows_of(operator(df, tie=["id"], partitions=600 // per_task)) == expected
 
 
 @pytest.mark.parametrize("name", PATTERNS)
@@ -85,7 +83,7 @@ def test_long_low_runs_cross_many_slices(spark):
         operator, pattern = PATTERNS[name]
         expected = rows_of(general(df, pattern))
         assert expected
-        assert rows_of(operator(df, tie=["id"], skew=Skew(rows_per_task=10))) == expected
+        assert rows_of(operator(df, tie=["id"], partitions=len(prices) // 10)) == expected
 
 
 @pytest.mark.parametrize("name, prices, matches", [
@@ -129,11 +127,63 @@ def test_nulls_signs_and_large_prices(spark, name, prices):
     operator, pattern = PATTERNS[name]
     df = bids(spark, prices)
     expected = rows_of(general(df, pattern))
-    split = {"partitions": 3} if name == "cep0" else {"skew": Skew(rows_per_task=2)}
-    assert rows_of(operator(df, tie=["id"])) == expected
-    assert rows_of(operator(df, tie=["id"], **split)) == expected
+    assert rows_of(operator(df, tie=["id"], partitions=3)) == expected
 
 
 def test_averages_are_cut_towards_zero(spark):
     assert patterns.cep1_low_average(bids(spark, [-1, -2, 50_000])).first().avg_price == -1
     assert patterns.cep1_low_average(bids(spark, [7, None, 50_000])).first().avg_price == 7
+
+
+def next_lower(values, levels):
+    """Brute force: the first later place at or below the level."""
+    return [next((j for j in range(i + 1, len(values)) if values[j] <= levels[i]), None) for i in range(len(values))]
+
+
+def expected_drops(prices, drop):
+    out, free = [], 0
+    for i, j in enumerate(next_lower(prices, [p - drop for p in prices])):
+        if i >= free and j is not None and prices[j] < prices[i] - drop:
+            out.append((j, prices[i] - prices[j]))
+            free = j + 1
+    return out
+
+
+def expected_runs(prices, limit, overlapping):
+    sums = [0]
+    for p in prices:
+        sums.append(sums[-1] + p - limit)
+    out, free = [], 0
+    for i, p in enumerate(prices):
+        if p < limit and (overlapping or i >= free):
+            j = next((j for j in range(i + 1, len(prices)) if sums[j + 1] >= sums[i]), None)
+            if j is not None:
+                total = sum(prices[i:j])
+                out.append((i, j - 1, abs(total) // (j - i) * (1 if total >= 0 else -1)))
+                free = j + 1
+    return out
+
+
+SHAPES = {
+    "falling": lambda r, n: [3 * (n - i) + r.randint(-40, 40) for i in range(n)],
+    "bursts": lambda r, n: [r.choice([1, 20, 9_000, 9_999, 10_001, 12_000]) + (i // 200 % 3) * 300 for i in range(n)],
+    "one late end": lambda r, n: [9_000 + i % 7 for i in range(n - 2)] + [10**8, 1],
+    "rising": lambda r, n: [i * 11 for i in range(n)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_one_hot_key_over_many_ranges(spark, shape):
+    """All rows of one key, half of them at one instant; every partition gets its share, and the rows are the plain ones."""
+    n, limit, drop = 1_500, 10_000, 50
+    prices = SHAPES[shape](random.Random(7), n)
+    rows = [(None, 1, BASE + datetime.timedelta(milliseconds=max(0, i - n // 2)), i, p) for i, p in enumerate(prices)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    when = [r[2] for r in rows]
+    options = {"tie": ["id"], "partitions": 12}
+    drops = patterns.cep3_drop(df, drop=drop, within="1 hour", **options).collect()
+    assert sorted((r.drop_time, r.drop_diff) for r in drops) == sorted((when[j], d) for j, d in expected_drops(prices, drop))
+    for operator, overlapping in ((patterns.cep1_low_average, False), (patterns.cep2_low_average_overlapping, True)):
+        runs = operator(df, limit=limit, **options).collect()
+        expected = [(when[i], when[j], avg) for i, j, avg in expected_runs(prices, limit, overlapping)]
+        assert sorted((r.start_tstamp, r.end_tstamp, r.avg_price) for r in runs) == sorted(expected)
