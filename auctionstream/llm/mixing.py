@@ -60,19 +60,48 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     )
 
 
+def _drawn(random: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n slots fall on ``good`` places out of good + bad, each place taken once at most."""
+    if good + bad <= 10**9:  # as far as numpy's generator goes
+        return int(random.hypergeometric(good, bad, n)) if n else 0
+    share = good / (good + bad)
+    spread = (n * share * (1 - share) * ((good + bad - n) / (good + bad - 1))) ** 0.5
+    return min(max(round(random.normal(n * share, spread)), n - bad, 0), n, good)
+
+
+def shard_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
+    """How many blocks of each source (columns) each output shard (rows) draws.
+
+    Every shard has the same number of blocks, to one. Its counts are a multinomial draw by the sources' shares, under the
+    condition that all shards together draw each source's slots exactly: so sources are dealt one after the other, each
+    over the places that the earlier ones have left.
+    """
+    random, total = np.random.default_rng(seed), sum(slots)
+    places = [total * (k + 1) // shards - total * k // shards for k in range(shards)]
+    counts = np.zeros((shards, len(slots)), np.int64)
+    for s, left in enumerate(slots):
+        others = sum(places)
+        for k in range(shards):
+            others -= places[k]
+            counts[k, s] = n = _drawn(random, places[k], others, left)
+            places[k] -= n
+            left -= n
+    return counts
+
+
 def _draws(frames: Iterator[pd.DataFrame], shards: int, seed: int) -> Iterator[pd.DataFrame]:
-    """Multinomial counts of each source's slots per output shard, as ranges of slots."""
-    for frame in frames:
-        for group, slots, n_blocks in zip(frame["__of"], frame["slots"], frame["n_blocks"]):
-            random = np.random.default_rng([seed, zlib.crc32(group.encode())])
-            counts = random.multinomial(slots, np.full(shards, 1 / shards))
-            ends = np.cumsum(counts)
-            for shard, (first, end) in enumerate(zip(ends - counts, ends)):
-                cuts = np.arange(first, end, SLOTS_PER_ROW)
-                yield pd.DataFrame({
-                    "group": group, "n_blocks": n_blocks, "shard": np.int32(shard), "first": cuts,
-                    "last": np.minimum(cuts + SLOTS_PER_ROW, end) - 1,
-                })
+    """The blocks that each output shard draws of each source, as ranges of the source's slots. One row per source comes in."""
+    plan = pd.concat(list(frames), ignore_index=True)
+    plan = plan.sort_values("__of", ignore_index=True)
+    counts = shard_counts(plan["slots"].tolist(), shards, seed)
+    for group, n_blocks, own in zip(plan["__of"], plan["n_blocks"], counts.T):
+        ends = np.cumsum(own)
+        for shard, (first, end) in enumerate(zip(ends - own, ends)):
+            cuts = np.arange(first, end, SLOTS_PER_ROW)
+            yield pd.DataFrame({
+                "group": group, "n_blocks": n_blocks, "shard": np.int32(shard), "first": cuts,
+                "last": np.minimum(cuts + SLOTS_PER_ROW, end) - 1,
+            })
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -120,7 +149,8 @@ def slots(targets: DataFrame, block_words: int, shards: int, seed: int, most: in
         "__of", n_blocks.cast("long").alias("n_blocks"),
         F.least(wanted, n_blocks * most).cast("long").alias("slots"),
     )
-    ranges = plan.mapInPandas(
+    # One row per source, as in source_targets: shards are drawn over all sources at once.
+    ranges = plan.coalesce(1).mapInPandas(
         lambda frames: _draws(frames, shards, seed), "group string, n_blocks long, shard int, first long, last long"
     )
     each = ranges.repartition(tasks, "group", "shard", "first").select(
@@ -146,8 +176,8 @@ def mix(
     """Two tables: the documents with their place and target, and the pieces of them that the mix takes.
 
     The words of a source, its documents in a seeded order, are cut into blocks of ``block_words``. A
-    source has as many slots as its target asks for, to the nearest block; each output shard draws its
-    number of them from a multinomial distribution. Slot j takes block P(j) with P a pseudorandom
+    source has as many slots as its target asks for, to the nearest block. All output shards hold equally many
+    blocks; how many of which source each holds is drawn (shard_counts). Slot j takes block P(j) with P a pseudorandom
     permutation of the blocks, another one in each round over them, so no block is taken twice before all
     are taken once, and none more than ``most`` times.
 
@@ -201,6 +231,14 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def shard_blocks(docs: DataFrame, **options) -> DataFrame:
+    """What the output shards hold: shard, group, slot, round, block and the pieces of documents that fill the block,
+    by __start of the document in its source's order."""
+    _, pieces = mix(docs, **options)
+    filled = F.sort_array(F.collect_list(F.struct("start", "first", "last"))).alias("pieces")
+    return pieces.groupBy("shard", "group", "slot", "round").agg(filled)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: per round over its source, a document's words that were taken.
 
