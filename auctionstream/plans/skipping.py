@@ -24,6 +24,21 @@ def position(part, place):
     return part.cast("long") * SPAN + place
 
 
+def _taken(columns: list[str]):
+    """Of the candidates of one partition that lie behind its entry, the ones taken from left to right."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(PLACE)
+        at, free = (rows[PLACE] + int(rows[PART].iloc[0]) * SPAN).tolist(), -1
+        keep = np.zeros(len(rows), bool)
+        for i, (here, behind) in enumerate(zip(at, rows["behind"].tolist())):
+            if here >= free:
+                keep[i], free = True, behind
+        return rows[keep][columns]
+
+    return run
+
+
 def chosen(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """The candidates taken from left to right. Columns: keys, __part, __place, ``behind`` (the position where the choice goes
     on after it, beyond its own) and others."""
@@ -45,6 +60,8 @@ def chosen(candidates: DataFrame, keys: list[str]) -> DataFrame:
     if left.isEmpty():
         return candidates
     own = position(F.col(PART), F.col(PLACE))
+    if left.where(F.col("leaves") % SPAN != 0).isEmpty():  # no match goes over an end: every partition is entered at its head
+        return left.groupBy(*keys, PART).applyInPandas(_taken(columns), fields)
     places = left.select(*keys, own.alias("at"))
     heads = places.groupBy(*keys, F.floor(F.col("at") / SPAN).alias("part")).agg(F.min("at").alias("head"))
 
@@ -84,14 +101,5 @@ def chosen(candidates: DataFrame, keys: list[str]) -> DataFrame:
     # An orbit passes a partition once, so it has one entry there.
     entry = met.select(*keys, F.floor(F.col("at") / SPAN).cast("int").alias("of"), (F.col("at") % SPAN).alias("entry"))
 
-    def taken(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(PLACE)
-        at, free = (rows[PLACE] + int(rows[PART].iloc[0]) * SPAN).tolist(), -1
-        keep = np.zeros(len(rows), bool)
-        for i, (here, behind) in enumerate(zip(at, rows["behind"].tolist())):
-            if here >= free:
-                keep[i], free = True, behind
-        return rows[keep][columns]
-
     entered = same_keys(left, entry, keys, F.col(PART) == F.col("of"), F.col(PLACE) >= F.col("entry")).select(*columns)
-    return entered.groupBy(*keys, PART).applyInPandas(taken, fields)
+    return entered.groupBy(*keys, PART).applyInPandas(_taken(columns), fields)
