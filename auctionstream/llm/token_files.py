@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 BLOCK_IDS = 65_536
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Bytes of text that are tokenised at once.
-AT_ONCE = 8_000_000
+AT_ONCE = 4_000_000
 BLOCKS = """part int, block int, part_start long, bits int, doc_ids array<long>, offsets array<int>, n_ids int,
  payload binary"""
 
