@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auctionstream.llm.common import id_key, let
+from auctionstream.session import stage
 
 WINDOW = 5
 #: Share of an item's windows that makes a document contaminated.
@@ -17,13 +18,12 @@ MOST_BROADCAST = 500_000
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 # Units that a number may carry.
 UNITS = (
-    "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yd", "yards?", "mi", "miles?", "mg", "g", "kg", "lbs?",
-    "oz", "tons?", "ml", "l", "liters?", "litres?", "gallons?", "s", "sec", "seconds?", "min", "minutes?", "h", "hours?", "days?",
-    "weeks?", "months?", "years?", "kmh", "mph", "dollars?", "cents?", "euros?", "pounds?", "percent", "degrees?", "meters?",
-    "metres?", "grams?", "kilograms?", "kilometers?", "kilometres?",
+    "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yd", "yard", "yards", "mi", "mile", "miles", "mg", "g", "kg",
+    "lb", "lbs", "oz", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second",
+    "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
+    "kmh", "mph", "dollar", "dollars", "cent", "cents", "euro", "euros", "pound", "pounds", "percent", "degree", "degrees", "meter",
+    "meters", "metre", "metres", "gram", "grams", "kilogram", "kilograms", "kilometer", "kilometers", "kilometre", "kilometres",
 )
-
-
 # Words that write a number, and words that are no names though a sentence may begin with them.
 UNITS_IN_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 TENS_IN_WORDS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
@@ -40,85 +40,75 @@ NO_NAMES = (
 #: Marks a word of an item that stands for a name only where the document has the same word with a capital.
 SAME = "="
 
-#: What stands between words.
-GAP = f"[^\\p{{L}}\\p{{N}}\\p{{M}}{NAME}{NUMBER}{UNIT}]+"
+#: What stands between words; marks in a text do as well.
+GAP = "[^\\p{L}\\p{N}\\p{M}]+"
 #: Sorts after all marks and before all letters and digits.
 MARKS_END = "\x04"
 
 
-LETTER = "[\\p{L}\\p{N}\\p{M}]"
-
-
-def _any(words: tuple[str, ...]) -> str:
-    return f"(?:{'|'.join(sorted(words, key=len, reverse=True))})(?!{LETTER})"
+def _with_single_numbers(text: Column) -> Column:
+    """Every number one word: no separators inside, no letters behind; twenty-five is one word, too."""
+    digits = F.regexp_replace(F.regexp_replace(text, "(?<=\\d)[.,](?=\\d)", ""), "(\\d)(?=\\p{L})", "$1 ")
+    plain = F.when(text.rlike("[0-9]"), digits).otherwise(text)
+    hyphen = f"(?i)(?<![\\p{{L}}\\p{{N}}\\p{{M}}])({'|'.join(TENS_IN_WORDS)})-(?=(?:{'|'.join(UNITS_IN_WORDS)})(?![\\p{{L}}\\p{{N}}\\p{{M}}]))"
+    # All tens end alike, which is quickly seen.
+    return let(plain, lambda t: F.when(t.contains("ty-") | t.contains("TY-"), F.regexp_replace(t, hyphen, "$1")).otherwise(t))
 
 
-def _with_numbers(text: Column) -> Column:
-    """Numbers as single words, with a mark before each and before a unit after it."""
-    steps = (
-        ("(?<=\\d)[.,](?=\\d)", ""),
-        ("(\\d)(?=\\p{L})", "$1 "),
-        (f"(?<=\\d )(?=(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}]))", UNIT),
-        ("(?<![\\p{L}\\p{N}])(?=\\d)", NUMBER),
-    )
-    for pattern, into in steps:
-        text = F.regexp_replace(text, pattern, into)
-    return text
-
-
-def _with_number_words(text: Column) -> Column:
-    """The same for numbers in words; twenty-five is one word."""
-    joined = F.regexp_replace(text, f"(?i)(?<!{LETTER})({'|'.join(TENS_IN_WORDS)})-(?={_any(UNITS_IN_WORDS)})", "$1")
+def _is_number(word: Column) -> Column:
     both = tuple(t + u for t in TENS_IN_WORDS for u in UNITS_IN_WORDS)
-    marked = F.regexp_replace(joined, f"(?i)(?<!{LETTER})(?={_any(NUMBER_WORDS + both)})", NUMBER)
-    return F.regexp_replace(marked, f"({NUMBER}\\p{{L}}+[ -])(?=(?:{'|'.join(UNITS)})(?!{LETTER}))", f"$1{UNIT}")
-
-
-#: A letter that begins a word with a capital, unless the word is a number or never a name.
-CAPITAL = f"(?<![\\p{{L}}\\p{{N}}\\p{{M}}{NAME}{NUMBER}{UNIT}])(?=\\p{{Lu}})(?!(?i:{_any(NO_NAMES)}))"
+    return ((word >= "0") & (word < ":")) | word.isin(*NUMBER_WORDS, *both)
 
 
 def marked_words(text: Column) -> Column:
     """The words of a text, lower-cased, without punctuation; a mark stands before each number, in digits or
     words, each unit after a number and each capitalised word, wherever it stands, but for NO_NAMES."""
-    own_marks = f"[{NAME}{NUMBER}{UNIT}]"
-    given = F.coalesce(text, F.lit(""))
-    plain = F.when(given.rlike(own_marks), F.regexp_replace(given, own_marks, " ")).otherwise(given)
-    numbered = let(plain, lambda t: F.when(t.rlike("\\d"), _with_numbers(t)).otherwise(t))
-    named = F.regexp_replace(_with_number_words(numbered), CAPITAL, NAME)
-    return F.array_remove(F.split(F.lower(named), GAP), "")
+    given = _with_single_numbers(F.coalesce(text, F.lit("")))
+
+    def marked(words: Column, low: Column) -> Column:
+        def one(word: Column, i: Column) -> Column:
+            own = F.get(low, i)
+            is_name = (word != own) & word.rlike("^\\p{Lu}") & ~own.isin(*NO_NAMES)
+            is_unit = word.isin(*UNITS) & (i > 0) & _is_number(F.get(low, i - 1))
+            return (
+                F.when(_is_number(own), F.concat(F.lit(NUMBER), own)).when(is_unit, F.concat(F.lit(UNIT), own))
+                .when(is_name, F.concat(F.lit(NAME), own)).otherwise(own)
+            )
+
+        return F.transform(words, one)
+
+    split = F.array_remove(F.split(given, GAP), "")
+    return let(split, lambda words: let(F.transform(words, F.lower), lambda low: marked(words, low)))
 
 
 def _hash(words: list[Column]) -> Column:
-    return F.xxhash64(*words)
+    """The hash of a window from the hashes of its words, so that each word of a text is hashed once."""
+    return F.xxhash64(*[F.xxhash64(w) for w in words])
 
 
 def _template(word: Column) -> Column:
     return F.when(word < MARKS_END, F.substring(word, 1, 1)).otherwise(word)
 
 
-def windows(text: Column) -> Column:
-    """An array of (h, i, slots): the hash of every five template words, where, and the marked words in them.
+def _starts(words: Column) -> Column:
+    return F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
 
-    In the template a marked word is its mark alone. Texts of less than five words have no window; windows
-    with too few literal words are left out.
-    """
-    def hashed(template: Column, slots) -> Column:
-        starts = F.slice(template, 1, F.greatest(F.size(template) - (WINDOW - 1), F.lit(0)))
-        return F.transform(starts, lambda w, i: F.struct(
-            _hash([w, *[F.get(template, i + k) for k in range(1, WINDOW)]]).alias("h"), i.cast("int").alias("i"),
-            slots(i).alias("slots"),
-        ))
 
-    def with_marks(words: Column) -> Column:
-        template = F.transform(words, _template)
-        found = let(template, lambda t: hashed(t, lambda i: F.filter(F.slice(words, i + 1, WINDOW), lambda w: w < MARKS_END)))
-        return F.filter(found, lambda x: F.size(x["slots"]) <= WINDOW - LEAST_LITERALS)
+def window_hashes(text: Column) -> Column:
+    """The hash of every five template words of a text, by place. In the template a marked word is its mark alone.
+    Texts of less than five words have none."""
+    of_words = F.transform(marked_words(text), lambda w: F.xxhash64(_template(w)))
+    return let(of_words, lambda hashes: F.transform(
+        _starts(hashes), lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)])
+    ))
+
 
-    none = F.array().cast("array<string>")
-    return let(marked_words(text), lambda words: F.when(
-        F.coalesce(F.array_min(words) < MARKS_END, F.lit(False)), with_marks(words)
-    ).otherwise(hashed(words, lambda i: none)))
+def windows(text: Column) -> Column:
+    """An array of (h, i, slots): the hash of every five template words, where, and the marked words in them."""
+    return let(marked_words(text), lambda words: F.transform(_starts(words), lambda w, i: F.struct(
+        _hash([_template(F.get(words, i + k)) for k in range(WINDOW)]).alias("h"), i.cast("int").alias("i"),
+        F.filter(F.slice(words, i + 1, WINDOW), lambda x: x < MARKS_END).alias("slots"),
+    )))
 
 
 def _forms(words: Column) -> Column:
@@ -167,6 +157,17 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _documents(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), id_key(F.col("doc_id"), F.col("text")).alias("doc_key"),
+        F.xxhash64("text").alias("text_hash"), *more,
+    )
+
+
+def _enough(least_coverage: float, least_run: int) -> Column:
+    return (F.col("n_matched") / F.col("n_windows") >= least_coverage) | (F.col("run") >= least_run)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE, least_run: int = LEAST_RUN,
     most_broadcast: int = MOST_BROADCAST,
@@ -181,25 +182,40 @@ def contaminated(
     Consistent places count: an item is found if they cover ``least_coverage`` of its different windows, or
     one place has ``least_run`` of them.
 
+    Slots only ever take matches away. So documents are first joined by bare hashes, and those in which some
+    item has matches enough without regard to slots are read again with theirs.
+
     Windows of the benchmark are broadcast if they are ``most_broadcast`` at most; otherwise both sides are
     shuffled by hash, and AQE splits windows that very many documents share. Null and short texts match
     nothing, items without windows are never found, equal rows give one result, null ids are kept. An
-    empty table on either side gives no row.
+    empty table on either side gives no row. Runs jobs when called and writes below the shared folder.
     """
-    items = item_windows(benchmark)
+    items = stage(item_windows(benchmark), "benchmark-windows")
     # Beyond the bound the hint keeps Catalyst, which doesn't know how many windows a text has, from a broadcast.
     items = F.broadcast(items) if items.count() <= most_broadcast else items.hint("merge")
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), id_key(F.col("doc_id"), F.col("text")).alias("doc_key"),
-        F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"))).alias("w"),
+    document = ["doc_id", "doc_key", "text_hash", "item_id", "n_windows"]
+    place = (F.col("i") - F.col("j")).alias("place")
+    n_matched = F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("long").alias("n_matched")
+    run = F.max(F.size("js")).alias("run")
+
+    # The hashes are a column of their own before they are exploded: explode, join and count then run as one compiled loop.
+    # From an explode that is not outer Catalyst infers a filter on its array, which would compute the column once more.
+    hashed = _documents(docs, window_hashes(F.col("text")).alias("hashes"))
+    bare = hashed.select("doc_id", "doc_key", "text_hash", F.posexplode_outer("hashes").alias("i", "own")).join(items, F.col("own") == F.col("h"))
+    bare = bare.groupBy(*document, place).agg(F.collect_set("j").alias("js")).groupBy(*document).agg(n_matched, run)
+    candidates = stage(
+        bare.where(_enough(least_coverage, least_run)).select(F.col("doc_key").alias("__k"), F.col("text_hash").alias("__h")).distinct(),
+        "benchmark-candidates",
+    )
+
+    again = _documents(docs, "text").join(candidates, (F.col("doc_key") == F.col("__k")) & (F.col("text_hash") == F.col("__h")), "left_semi")
+    rows = again.select("doc_id", "doc_key", "text_hash", windows(F.col("text")).alias("ws")).select(
+        "doc_id", "doc_key", "text_hash", F.explode_outer("ws").alias("w")
     ).select("doc_id", "doc_key", "text_hash", F.col("w.h").alias("own"), F.col("w.i").alias("i"), F.col("w.slots").alias("slots"))
     pairs = F.transform(
         F.arrays_zip("item_slots", "slots"), lambda p: F.struct(p["item_slots"].alias("a"), p["slots"].alias("b"))
     )
-    hits = rows.join(items, F.col("own") == F.col("h")).select(
-        "doc_id", "doc_key", "text_hash", "item_id", "n_windows", "j", (F.col("i") - F.col("j")).alias("place"), pairs.alias("pairs")
-    )
-    document = ["doc_id", "doc_key", "text_hash", "item_id", "n_windows"]
+    hits = rows.join(items, F.col("own") == F.col("h")).select(*document, "j", place, pairs.alias("pairs"))
     distinct = F.array_distinct(F.flatten(F.collect_list("pairs")))
     places = hits.groupBy(*document, "place").agg(F.collect_set("j").alias("js"), distinct.alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
@@ -207,21 +223,16 @@ def contaminated(
     differ = lambda p: F.when(same_word(p), F.concat(F.lit(NAME), F.substring(p["a"], 3, 1_000_000)) != p["b"]).otherwise(p["a"] != p["b"])
     broken = F.exists("pairs", lambda p: same_word(p) & differ(p))
     consistent = places.where((F.size("pairs") == F.size(values)) & ~broken)
-    found = consistent.groupBy(*document).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("js")))).cast("long").alias("n_matched"),
-        F.max(F.size("js")).alias("run"),
-        F.max(F.exists("pairs", differ)).alias("other"),
-    )
-    coverage = F.col("n_matched") / F.col("n_windows")
-    return (
-        found.withColumn("coverage", coverage)
-        .where((F.col("coverage") >= least_coverage) | (F.col("run") >= least_run))
-        .select(*document, "n_matched", "coverage", F.when(F.col("other"), "other values").otherwise("same").alias("kind"))
+    found = consistent.groupBy(*document).agg(n_matched, run, F.max(F.exists("pairs", differ)).alias("other"))
+    return found.where(_enough(least_coverage, least_run)).select(
+        *document, "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
+        F.when(F.col("other"), "other values").otherwise("same").alias("kind"),
     )
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no benchmark item was found, with all their columns."""
     found = contaminated(docs, benchmark, **options).select(F.col("doc_key").alias("__k"), F.col("text_hash").alias("__h")).distinct()
+    found = stage(found, "benchmark-found")
     key, text = id_key(F.col("doc_id"), F.col("text")), F.xxhash64("text")
     return docs.join(found, (key == F.col("__k")) & (text == F.col("__h")), "left_anti")
