@@ -18,10 +18,11 @@ LENGTH = 400
 ANCHOR = 64
 #: Starts of strings that are looked at together in a long text.
 PIECE = 1_000_000
-#: Bytes gathered for one suffix array, and segments of one shard key before it is split: 6,000 of about
-#: 570 bytes take a task some 300 MB.
+#: Starts of strings in a segment at most; only in periodic text does a run with one key get that long.
+MOST_STARTS = 4_096
+#: Bytes gathered for one suffix array, and bytes of one shard key before it is split: these take a task some 300 MB.
 SHARD_BYTES = 1_000_000
-LARGEST_KEY = 6_000
+LARGEST_KEY = 3_500_000
 
 SEGMENT = "doc_id long, th long, start int, len int, v long, digest long, again boolean"
 SEPARATOR, FIRST_BYTE = 1, 2
@@ -54,13 +55,16 @@ def segments(text: bytes, length: int) -> Iterator[tuple[int, int, int, int, boo
 
     The key of a string is the smallest anchor hash in it, so equal strings have equal keys wherever they
     stand. Yields start, bytes up to the end of the run's last string, key, a hash of these bytes, and whether
-    the text has the key's anchor more than once, as only then the run itself can hold a string twice.
+    the text has the key's anchor more than once, as only then the run itself can hold a string twice. A run
+    of more than MOST_STARTS starts is cut.
     """
     body = np.frombuffer(text, np.uint8)
     for begin in range(0, len(text) - length + 1, PIECE):
         h = _anchor_hashes(body[begin : begin + PIECE + length - 1])
         key = _window_minima(h, length - ANCHOR + 1)
-        starts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        changes = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        in_run = np.arange(len(key)) - np.repeat(changes, np.diff(np.append(changes, len(key))))
+        starts = np.flatnonzero(in_run % MOST_STARTS == 0)
         ends = np.append(starts[1:], len(key)) + length - 1
         values = key[starts]
         small, counts = np.unique(h[h <= values.max()], return_counts=True)
@@ -109,8 +113,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each part, which of its strings of ``length`` bytes also start elsewhere in the parts."""
+def repeated_starts(parts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part, by start: whether the string of ``length`` bytes also starts elsewhere in the parts, and whether
+    it is the first of its equals in the order of suffixes."""
     pieces = []
     for part in parts:
         pieces += [np.frombuffer(part, np.uint8).astype(np.uint16) + FIRST_BYTE, np.array([SEPARATOR], np.uint16)]
@@ -122,7 +127,8 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     twice[before[places]] = True
     out, at = [], 0
     for part in parts:
-        out.append(twice[at : at + len(part) - length + 1])
+        end = at + len(part) - length + 1
+        out.append((twice[at:end], shared[at:end] < length))
         at += len(part) + 1
     return out
 
@@ -136,39 +142,30 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
     """Rows come sorted by key and salt. Whole keys are gathered into a suffix array.
 
     Yields intervals of repeated bytes; for keys that were split over shards also the hash of every
-    different string not yet found twice, as intervals to count elsewhere.
+    different string of a suffix array, as intervals to count elsewhere.
     """
     names = ["doc_id", "th", "begin", "end", "v", "window"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def found(rows: list[dict]) -> pa.RecordBatch:
         out = []
-        for row, twice in zip(rows, repeated_starts([r["bytes"] for r in rows], length)):
+        for row, (twice, first) in zip(rows, repeated_starts([r["bytes"] for r in rows], length)):
             at = row["start"]
             out += [(row["doc_id"], row["th"], at + b, at + e + length - 1, row["v"], None) for b, e in _runs(twice)]
-            if row["split"]:
-                out += windows(row, range(len(twice)))
+            if row["split"]:  # one of a string's equals is enough: those here are found, but may be the partner of one elsewhere
+                for p in np.flatnonzero(first).tolist():
+                    h = xxhash.xxh64_intdigest(row["bytes"][p : p + length], 7) - (1 << 63)
+                    out.append((row["doc_id"], row["th"], at + p, at + p + length, row["v"], h))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)], names)
 
-    def windows(row: dict, starts: range) -> Iterator[tuple]:
-        # One row per different string of a shard: strings found twice here need no partner elsewhere,
-        # but may be the partner of one there.
-        for p in starts:
-            h = xxhash.xxh64_intdigest(row["bytes"][p : p + length], 7) - (1 << 63)
-            if (row["v"], h) not in seen:
-                seen.add((row["v"], h))
-                yield row["doc_id"], row["th"], row["start"] + p, row["start"] + p + length, row["v"], h
-
     held: list[dict] = []
     n_bytes, last = 0, None
-    seen: set[tuple[int, int]] = set()
     for batch in batches:
         for row in batch.to_pylist():
             shard = (row["v"], row["salt"])
             if n_bytes >= SHARD_BYTES and shard != last:
                 yield found(held)
                 held, n_bytes = [], 0
-                seen.clear()
             held.append(row)
             n_bytes += len(row["bytes"])
             last = shard
@@ -214,7 +211,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, largest_key: int = LAR
     2. Segments with equal bytes are repeated from end to end. Of the other segments that share a key one
        each goes, with its bytes, to the key's shard, where a suffix array and its common prefixes tell the
        repeated strings.
-    3. A key with more than ``largest_key`` different segments is split over shards. Each sorts its part and
+    3. A key with more than ``largest_key`` bytes of different segments is split over shards. Each sorts its part and
        reports its different strings by hash, and strings reported by two shards are repeated as well.
 
     ``length`` is above ANCHOR. Strings are compared byte by byte within a shard and by 128 bits of hashes
@@ -235,7 +232,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, largest_key: int = LAR
         "doc_id", "th", F.col("start").alias("begin"), (F.col("start") + F.col("len")).alias("end")
     )
     contested = different.where("f.mixed").select("v", "digest", "f.doc_id", "f.th", "f.start", "f.len")
-    sizes = contested.groupBy("v").agg(F.count("*").alias("n")).withColumnRenamed("v", "key")
+    sizes = contested.groupBy("v").agg(F.sum("len").alias("n")).withColumnRenamed("v", "key")
     pieces = F.ceil(F.col("n") / largest_key)
     wanted = contested.join(sizes, F.col("v") == F.col("key")).groupBy("doc_id", "th").agg(
         F.collect_list(F.struct(

@@ -1,5 +1,7 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, as array operations."""
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -88,45 +90,50 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return out, int(names[-1]) + 1
 
 
-def _doubled(s: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet by doubling the sorted prefix."""
-    rank, n, k = s.astype(np.int64), len(s), 1
-    while True:
-        key = rank * (n + 1)
-        key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
-        if new[order[-1]] == n - 1:
-            return order
-        rank, k = new, 2 * k
-
-
-#: Above this share of symbols among places, buckets are too small to be worth an array operation each.
-SPARSE = 64
-
-
-def suffix_array(s: np.ndarray) -> np.ndarray:
+def _induced_singly(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As _induced, one place after the other, for names: their buckets are too small for an array operation each."""
+    sizes = np.bincount(s)
+    ends = np.cumsum(sizes)
+    heads, tails = (ends - sizes).tolist(), (ends - 1).tolist()
+    order = np.argsort(s[lms], kind="stable")
+    symbols = s[lms][order]
+    _, first, counts = np.unique(symbols, return_index=True, return_counts=True)
+    within = np.arange(len(lms)) - np.repeat(first, counts)
+    start = np.full(len(s), -1)
+    start[ends[symbols] - np.repeat(counts, counts) + within] = lms[order]
+    # By place: whether its left neighbour is induced from it. The last entry is read for places not yet known.
+    left_larger = [False, *(~smaller[:-1]).tolist(), False]
+    left_smaller = [False, *smaller[:-1].tolist(), False]
+    symbol, sa = s.tolist(), start.tolist()
+    for p in sa:
+        if left_larger[p]:
+            c = symbol[p - 1]
+            sa[heads[c]] = p - 1
+            heads[c] += 1
+    for p in reversed(sa):
+        if left_smaller[p]:
+            c = symbol[p - 1]
+            sa[tails[c]] = p - 1
+            tails[c] -= 1
+    return np.array(sa)
+
+
+def suffix_array(s: np.ndarray, induced: Callable = _induced) -> np.ndarray:
     """Places of the sorted suffixes of ``s``, whose last symbol is 0 and occurs only there.
 
     Suffixes are classified, the leftmost-smaller substrings sorted by induction and named; the string of
-    names is sorted recursively (over a large alphabet by doubling), and its order induces all the rest.
+    names is sorted recursively, and its order induces all the rest.
     """
     if len(s) < 3:
         return np.arange(len(s))[::-1].copy()
     smaller = _types(s)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    first = _induced(s, smaller, lms)
+    first = induced(s, smaller, lms)
     is_lms = np.zeros(len(s), bool)
     is_lms[lms] = True
     names, n_names = _names(s, lms, first[is_lms[first]])
-    if n_names == len(lms):
-        order = np.argsort(names)
-    elif n_names * SPARSE <= len(lms):
-        order = suffix_array(names)
-    else:
-        order = _doubled(names)
-    return _induced(s, smaller, lms[order])
+    order = np.argsort(names) if n_names == len(lms) else suffix_array(names, _induced_singly)
+    return induced(s, smaller, lms[order])
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

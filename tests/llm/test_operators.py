@@ -257,11 +257,11 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length, largest_key", [(100, 1_000), (100, 2), (150, 1)])
+@pytest.mark.parametrize("length, largest_key", [(100, 1_000), (100, 2), (150, 1), (100, 3_500_000)])
 def test_repeats(frame, odd_rows, length, largest_key):
     passage = prose(77, 60)
     shared = [(300 + i, f"{prose(400 + i, 30 + i)}\n{passage}\n{prose(500 + i, 25)}", "s") for i in range(14)]
-    periodic = [(330, "ab" * 400, "p"), (331, "abc" * 90 + "x" + "abc" * 90, "p"), (332, passage[:100], "p"), (333, passage[:99], "p")]
+    periodic = [(329, "line again\n" * 900, "p"), (328, "line again\n" * 450 + "other\n", "p"), (330, "ab" * 400, "p"), (331, "abc" * 90 + "x" + "abc" * 90, "p"), (332, passage[:100], "p"), (333, passage[:99], "p")]
     rows = odd_rows + shared + periodic
     found = repeats.remove_repeats(frame(rows), length, largest_key, with_text=True).collect()
     expected = Counter((d, *facts) for (d, _, _), facts in zip(rows, brute_repeats([(t or "").encode() for _, t, _ in rows], length)))

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from auctionstream.llm import licenses, mixing, simhash, suffix_arrays, token_counts, token_files, toxicity
-from auctionstream.llm.repeats import segments
+from auctionstream.llm.repeats import MOST_STARTS, segments
 
 BYTES = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -79,6 +79,20 @@ def test_large_alphabets_and_recursion_sort_alike():
         assert suffix_arrays.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_every_level_of_the_induced_sort_alike():
+    random.seed(4)
+    for k, n in itertools.product((1, 2, 3, 40), (0, 1, 2, 3, 200)):
+        s = np.array([random.randint(1, k) for _ in range(n)] * 3 + [0], np.int64)
+        order = sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        assert suffix_arrays.suffix_array(s, suffix_arrays._induced_singly).tolist() == order
+
+
+def test_segments_of_periodic_text_are_cut():
+    found = list(segments(b"ab" * 10_000, 100))
+    assert max(n - 99 for _, n, _, _, _ in found) == MOST_STARTS
+    assert sum(n - 99 for _, n, _, _, _ in found) == 20_000 - 99
+
+
 def test_segments_hold_every_string_once_and_equal_strings_share_keys():
     random.seed(1)
     text = bytes(random.choice(b"ab") for _ in range(900)) * 2 + b"c" * 700
