@@ -10,7 +10,7 @@ from auctionstream.session import ROCKSDB, work_folder
 from auctionstream.sources import adapter, events, sinks, tables, topics
 from auctionstream.streaming import aggregates as stream_aggregates
 from auctionstream.streaming import joins as stream_joins
-from auctionstream.streaming import stateful, updating, windows as stream_windows
+from auctionstream.streaming import stateful, tables as stream_tables, updating, windows as stream_windows
 from auctionstream.streaming.run import NOW, finish, plain_times, run_append, run_update, run_updating, stream_files
 
 # The driver's events are minutes apart, so its windows are longer than the defaults.
@@ -210,6 +210,10 @@ def on_plain_stream(entities: str, operator, **options):
     return run
 
 
+def _together(spark, folder, *entities):
+    return stream_tables.together(**{e: adapter.stream_of(spark, folder, e) for e in entities})
+
+
 def on_updates(operator, keys: list[str], **options):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return run_update(operator(_stream(spark, folder, "bid"), **options), keys)
@@ -235,24 +239,31 @@ def st_report(by_channel: bool):
     return run
 
 
-def _offers(spark, folder, **options):
-    return stream_joins.offers(_stream(spark, folder, "auction"), _stream(spark, folder, "bid"), **options)
-
-
 def st_ijoin(spark: SparkSession, folder: str) -> DataFrame:
-    rows = run_append(_offers(spark, folder, max_open="10 days"))
+    rows = run_append(stream_joins.offers(_stream(spark, folder, "auction"), _stream(spark, folder, "bid"), max_open="10 days"))
     return rows.select("id", "category", "bidder", "price", "bid_dateTime")
 
 
+def _on_offers(spark, folder, base, result):
+    """Hands the offers of every micro-batch to ``result``: offers, number of the batch, watermark."""
+    both = _together(spark, folder, "auction", "bid")
+    finish(both.writeStream.foreachBatch(stream_tables.Offers(spark, f"{base}/offers", "10 days", result, WATERMARK).apply)
+           .option("checkpointLocation", f"{base}/checkpoint").trigger(**NOW).start())
+
+
 def st_join_agg(spark: SparkSession, folder: str) -> DataFrame:
     base = work_folder(spark, "category-average")
-    offers = _offers(spark, folder, max_open="10 days", salts=2)
-    return run_updating(offers, updating.CategoryAverage(spark, base), base)
+    average = updating.CategoryAverage(spark, base)
+    _on_offers(spark, folder, base, lambda offers, batch_id, now: average.apply(offers, batch_id))
+    return plain_times(average.read())
 
 
 def st_final(spark: SparkSession, folder: str) -> DataFrame:
-    rows = run_append(stateful.winners_at_close(_offers(spark, folder, max_open="10 days")))
-    return rows.select("id", "seller", "expires", "bidder", "price", "bid_dateTime")
+    """An auction is final as long after its end as auctions may last."""
+    base = work_folder(spark, "final")
+    winners = stream_tables.WinnersAtClose(spark, f"{base}/winners", "10 days")
+    _on_offers(spark, folder, base, winners.apply)
+    return plain_times(winners.read()).select("id", "seller", "expires", "bidder", "price", "bid_dateTime")
 
 
 def st_topn(spark: SparkSession, folder: str) -> DataFrame:

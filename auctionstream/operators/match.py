@@ -190,6 +190,67 @@ def match_rows(df: DataFrame, partition_by: list[str], order_by: list[str], patt
     return placed.mapInArrow(run, schema)
 
 
+def match_schema(df: DataFrame, partition_by: list[str], pattern: Pattern) -> StructType:
+    measures = StructType.fromDDL(", ".join(f"{n} {kind}" for n, (kind, _) in pattern.measures.items()))
+    return StructType([df.schema[k] for k in partition_by] + list(measures))
+
+
+def match_passed(
+    df: DataFrame, partition_by: list[str], order_by: list[str], pattern: Pattern, now: int | None, ttl: int | None = None
+) -> DataFrame:
+    """The matches among the rows up to ``now``, and all rows that are still needed for later ones.
+
+    The columns of ``df``, the measures, and ``__final``, which is true for matches: they have key columns and measures, the
+    rows left have the columns of ``df``. The first order column is an integer time.
+    """
+    columns, names = list(df.columns), list(pattern.measures)
+    place, time = {c: i for i, c in enumerate(columns)}, df.columns.index(order_by[0])
+    key_places = [place[k] for k in partition_by]
+    measures = [f for f in match_schema(df, partition_by, pattern) if f.name in names]
+    schema = StructType([*df.schema, *measures]).add("__final", "boolean")
+    kinds = to_arrow_schema(schema)
+
+    def table(matches: list[tuple], left: list[tuple]) -> pa.RecordBatch:
+        out = []
+        for i, column in enumerate(columns):
+            of_key = partition_by.index(column) if column in partition_by else None
+            out.append([None if of_key is None else key[of_key] for key, _ in matches] + [r[i] for r in left])
+        out += [[m[i] for _, m in matches] + [None] * len(left) for i in range(len(names))]
+        out.append([True] * len(matches) + [False] * len(left))
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, kinds.types)], schema=kinds)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, matches, left = None, [], [], []
+
+        def decide(over: bool) -> None:
+            nonlocal rows
+            passed = sum(r[time] <= now for r in rows) if now is not None else 0
+            found, start = find_matches(rows[:passed], place, order_by[0], pattern, False, now if over else None, ttl if over else None)
+            matches.extend((key, m) for m in found)
+            rows = rows[start:]
+            if over:
+                left.extend(rows)
+
+        for part in parts:
+            for row in zip(*[part.column(c).to_pylist() for c in columns]):
+                row_key = tuple(row[i] for i in key_places)
+                if row_key != key:
+                    if key:
+                        decide(True)
+                    key, rows = row_key, []
+                rows.append(row)
+            if key:
+                decide(False)
+            yield table(matches, left)
+            matches, left = [], []
+        if key:
+            decide(True)
+            yield table(matches, left)
+
+    placed = df.repartition(*partition_by).sortWithinPartitions(*partition_by, *order_by)
+    return placed.mapInArrow(run, schema)
+
+
 # ---- the four patterns over rows with a time in microseconds ------------------------------------
 
 

@@ -35,27 +35,38 @@ def tumble_max(bid: DataFrame, size: str = "10 seconds") -> DataFrame:
     return bid.groupBy(tumble(size).alias("window")).agg(F.max("price").alias("maxprice"))
 
 
-def hop_start_counts(bid: DataFrame, size: str, slide: str) -> DataFrame:
-    """Bids per auction and start of the hopping window.
+def _pane(size: str, slide: str) -> pd.Timedelta:
+    return pd.Timedelta(math.gcd(pd.Timedelta(size).value, pd.Timedelta(slide).value))
 
-    Bids are counted per pane first, the longest span that every window holds wholly or not at all; the
-    few counts, not the bids, are then repeated for each window of their pane.
-    """
-    length, step = pd.Timedelta(size), pd.Timedelta(slide)
-    pane = pd.Timedelta(math.gcd(length.value, step.value))
-    per_pane = (
+
+def pane_counts(bid: DataFrame, size: str, slide: str, *more: Column) -> DataFrame:
+    """Bids per auction and pane, the longest span that every hopping window holds wholly or not at all."""
+    pane = f"{_pane(size, slide).value // 1000} microseconds"
+    return (
         bid.where(F.col("dateTime").isNotNull())
-        .groupBy("auction", tumble(f"{pane.value // 1000} microseconds")["start"].alias("__pane"))
-        .agg(F.count("*").alias("__n"))
+        .groupBy("auction", tumble(pane)["start"].alias("__pane")).agg(F.count("*").alias("__n"), *more)
     )
+
+
+def window_counts(panes: DataFrame, size: str, slide: str) -> DataFrame:
+    """Counts per pane, repeated for each hopping window of the pane and summed per auction and start of the window."""
+    length, step = pd.Timedelta(size), pd.Timedelta(slide)
     first = tumble(slide, "__pane")["start"]
     starts = F.array(*[first - interval(slide) * k for k in range(-(-length // step))])
-    rows = per_pane.select("auction", "__pane", "__n", F.explode(starts).alias("start"))
+    rows = panes.select("auction", "__pane", "__n", F.explode(starts).alias("start"))
     if length % step:
         rows = rows.where(F.col("__pane") < F.col("start") + interval(size))
     return rows.groupBy("auction", "start").agg(F.sum("__n").alias("num"))
 
 
+def hop_start_counts(bid: DataFrame, size: str, slide: str) -> DataFrame:
+    """Bids per auction and start of the hopping window.
+
+    Bids are counted per pane first; the few counts, not the bids, are then repeated for each window of their pane.
+    """
+    return window_counts(pane_counts(bid, size, slide), size, slide)
+
+
 def q5_hot_items(bid: DataFrame, size: str = "10 seconds", slide: str = "2 seconds") -> DataFrame:
     """The auctions with most bids in every hopping window; ties are all kept.
 
