@@ -201,11 +201,12 @@ def on_stream(entities: str, operator, **options):
     return run
 
 
-def on_plain_stream(entities: str, operator, **options):
-    """The operator over streams without watermark: nothing is ever late, state is unbounded."""
+def on_plain_stream(entities: str, operator):
+    """The inner join over streams without watermark: nothing is ever late, all rows are kept."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return run_append(operator(*[_plain_stream(spark, folder, e) for e in entities.split()], **options))
+        base, names = work_folder(spark, "joined"), entities.split()
+        return run_updating(_together(spark, folder, *names), stream_tables.Joined(spark, base, names, operator), base)
 
     return run
 
