@@ -222,6 +222,17 @@ def on_updates(operator, keys: list[str], **options):
     return run
 
 
+def st_hops(finish=None):
+    """Counts of hopping windows that the watermark has closed."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        base = work_folder(spark, "hops")
+        counts = stream_tables.HopCounts(spark, base, SIZE, SLIDE, finish, WATERMARK)
+        return run_updating(adapter.stream_of(spark, folder, "bid"), counts, base)
+
+    return run
+
+
 def st_procwin(spark: SparkSession, folder: str) -> DataFrame:
     counts = stream_windows.processing_time_counts(_stream(spark, folder, "bid"))
     rows = run_update(counts, ["bidder", "starttime"])
@@ -458,10 +469,10 @@ def queries() -> dict:
         "gen_bid": generated("bid"),
         "st_wm": on_stream("bid", stream_windows.closed_counts, size=TUMBLE),
         "st_tumble": on_stream("bid", stream_windows.tumbling_max, size=TUMBLE),
-        "st_hop": on_stream("bid", stream_windows.hopping_counts, size=SIZE, slide=SLIDE),
+        "st_hop": st_hops(),
         "st_session": on_stream("bid", stream_windows.session_counts, gap=GAP),
         "st_procwin": st_procwin,
-        "st_chain": on_stream("bid bid", stream_windows.hot_items, size=SIZE, slide=SLIDE),
+        "st_chain": st_hops(stream_tables.most_per_window),
         "st_wjoin": on_stream("bid", stream_windows.highest_bids, size=TUMBLE),
         "st_wjoin_q8": on_stream("person auction", stream_windows.new_sellers, size=DAY),
         "st_join": on_plain_stream("bid auction", joins.q20_expand_bids),
