@@ -10,7 +10,7 @@ from auctionstream.session import ROCKSDB, work_folder
 from auctionstream.sources import adapter, events, sinks, tables, topics
 from auctionstream.streaming import aggregates as stream_aggregates
 from auctionstream.streaming import joins as stream_joins
-from auctionstream.streaming import stateful, tables as stream_tables, updating, windows as stream_windows
+from auctionstream.streaming import tables as stream_tables, updating, windows as stream_windows
 from auctionstream.streaming.run import NOW, finish, plain_times, run_append, run_update, run_updating, stream_files
 
 # The driver's events are minutes apart, so its windows are longer than the defaults.
@@ -350,8 +350,10 @@ def match_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def st_cep(pattern: match.Pattern):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        bids = _stream(spark, folder, "bid").select("bidder", "dateTime", "id", "price")
-        found = run_append(stateful.match_rows(bids, ["bidder"], ["dateTime", "id"], pattern))
+        base = work_folder(spark, "matches")
+        bids = adapter.stream_of(spark, folder, "bid").select("bidder", "dateTime", "id", "price")
+        matches = stream_tables.Matches(spark, base, ["bidder"], ["dateTime", "id"], pattern, WATERMARK)
+        found = run_updating(bids, matches, base)
         times = [c for c in found.columns if c.endswith(("tstamp", "time"))]
         return plain_times(found.withColumns({c: F.timestamp_micros(c) for c in times}))
 
