@@ -26,11 +26,11 @@ def run_append(stream: DataFrame, folder: str | None = None) -> DataFrame:
     return plain_times(spark.read.schema(stream.schema).parquet(f"{folder}/rows"))
 
 
-def run_update(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
-    """Updated rows of every micro-batch; the newest row per key is the result."""
+def run_update(stream: DataFrame, keys: list[str], folder: str | None = None, order: list[str] = []) -> DataFrame:
+    """Updated rows of every micro-batch; the newest row per key, the greatest in ``order``, is the result."""
     spark = stream.sparkSession
     folder = folder or work_folder(spark, "update")
-    finish(write_upserts(stream, f"{folder}/rows", f"{folder}/checkpoint", keys, **NOW))
+    finish(write_upserts(stream, f"{folder}/rows", f"{folder}/checkpoint", keys, order=order, **NOW))
     return plain_times(read_upserts(spark, f"{folder}/rows", stream.schema, keys))
 
 

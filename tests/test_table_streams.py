@@ -12,7 +12,7 @@ from auctionstream.operators import joins, match
 from auctionstream.streaming import joins as stream_joins, tables
 
 START = datetime.datetime(2024, 1, 1)
-QUERIES = "st_final st_join_agg st_join st_join_q3 st_join_q23 st_hop st_chain st_cep0 st_cep1 st_cep2 st_cep3"
+QUERIES = "st_final st_join_agg st_hop st_chain st_join st_join_q3 st_join_q23 st_dedup_last st_cep0 st_cep1 st_cep2 st_cep3"
 BIDS = "auction long, bidder long, price long, dateTime timestamp, extra string"
 AUCTIONS = """id long, itemName string, description string, initialBid long, reserve long, dateTime timestamp, expires timestamp,
  seller long, category long, extra string"""
