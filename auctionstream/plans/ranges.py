@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 
 from auctionstream.session import stage
 
-#: Where a row is: the number of its partition, and its place among the rows of its key there.
+#: Where a row is: the number of its part, and its place among the rows of its key there. Parts are portions of partitions.
 PART, PLACE = "__part", "__place"
+#: Rows of a portion, but for the rest of an Arrow batch, and portions that the number of a part has room for in each partition.
+PORTION, MOST_PORTIONS = 100_000, 1 << 14
 
 
 class Groups:
@@ -61,18 +63,31 @@ def in_ranges(
 ) -> DataFrame:
     """The kernel's output for all range partitions, with ``__part``.
 
-    ``kernel`` gets the rows of one partition in order, and returns columns of equal length by name. A
-    partition, which AQE keeps near its advisory size, is held in memory.
+    ``kernel`` gets rows that follow each other, and returns columns of equal length by name. It sees one portion of a
+    partition after the other; what crosses the end of a portion is settled like what crosses the end of a partition. So a task holds
+    a portion, however large its partition is.
     """
-    count = [partitions] if partitions else []
+    count, rows_at_once = [partitions] if partitions else [], PORTION
     placed = df.repartitionByRange(*count, *keys, *order).sortWithinPartitions(*keys, *order)
 
+    def of_portion(held: list[pa.RecordBatch], part: int) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        out = kernel(table, Groups(table, keys))
+        n = len(next(iter(out.values())))
+        return pa.table({**out, PART: pa.array([part] * n, pa.int32())}).to_batches(max_chunksize=PORTION)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        part, held, n_held, portion = TaskContext.get().partitionId() * MOST_PORTIONS, [], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if n_held >= rows_at_once:
+                yield from of_portion(held, part + portion)
+                held, n_held, portion = [], 0, portion + 1
+                assert portion < MOST_PORTIONS, "a partition has too many rows"
+            held.append(batch)
+            n_held += batch.num_rows
         if held:
-            table = pa.Table.from_batches(held)
-            out = kernel(table, Groups(table, keys))
-            n = len(next(iter(out.values())))
-            yield from pa.table({**out, PART: pa.array([TaskContext.get().partitionId()] * n, pa.int32())}).to_batches()
+            yield from of_portion(held, part + portion)
 
     return stage(placed.mapInArrow(run, f"{schema}, {PART} int"), name)

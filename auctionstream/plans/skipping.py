@@ -14,8 +14,8 @@ from auctionstream.plans.nearest import same_keys
 from auctionstream.plans.ranges import PART, PLACE
 from auctionstream.session import stage
 
-#: A position along a key: the number of the partition times this, plus the row's place there.
-SPAN = 1 << 40
+#: A position along a key: the number of the part times this, plus the row's place there.
+SPAN = 1 << 32
 #: Far above the digits of any number of partitions; a loop that doesn't end is an error.
 MOST_ROUNDS = 60
 

@@ -80,3 +80,28 @@ def test_bursts_fill_several_ranges(spark):
     assert len(sizes) > 5 and max(sizes) < 3_000
     assert cut.select(PART).distinct().count() == len(sizes)
     discard(topn.moving_average(df, "k", ["t", "id"], "v", 10, "m", 10))
+
+
+@pytest.mark.parametrize("portion", [12, 90])
+def test_a_task_holds_a_portion_of_its_partition(spark, inputs, monkeypatch, portion):
+    """Patterns and the moving average have the same rows, however a partition is cut."""
+    from auctionstream.operators import patterns
+    from auctionstream.plans import ranges
+
+    bid = hot_bids(inputs["bid"])
+    keys = {"keys": ["auction"], "tie": ["id", "bidder"], "partitions": 2}
+    kinds = [patterns.cep0_v_shape, patterns.cep1_low_average, patterns.cep2_low_average_overlapping]
+    run = lambda: [
+        *[rows(f(bid, **keys)) for f in kinds], rows(patterns.cep3_drop(bid, within="10 days", **keys)),
+        rows(topn.moving_average(bid.select("auction", "dateTime", "id", "price"), "auction", ["dateTime", "id", "price"], "price", 10, "m", 2)),
+    ]
+    whole = run()
+    assert all(whole)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", max(1, portion // 4))
+        monkeypatch.setattr(ranges, "PORTION", portion)
+        sizes = ranges.in_ranges(bid, ["auction"], ["id"], lambda table, groups: {"n": [table.num_rows]}, "n long", "sizes", 2)
+        assert max(r.n for r in sizes.collect()) <= portion + max(1, portion // 4)
+        assert run() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
