@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 BLOCK_IDS = 65_536
-#: Words whose ids a Python worker remembers.
+#: Words and pieces of words whose ids a Python worker remembers.
 REMEMBERED = 250_000
 #: Bytes of text that are tokenised at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 BLOCKS = """part int, block int, part_start long, bits int, doc_ids array<long>, offsets array<int>, n_ids int,
  payload binary"""
 
@@ -69,9 +69,10 @@ def tokenizer(path: str):
 
 
 #: A word of plain letters, digits and marks, without what the tokenizer treats apart (apostrophes) or composes.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PLAIN = f"^[{LETTERS}0-9{MARKS}]+$"
 #: Its pieces: the tokenizer splits it into runs of letters, single digits, and runs of marks.
-PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+PIECES = f"([{LETTERS}]+|[0-9]|[{MARKS}]+)"
 
 
 @lru_cache(1)
@@ -82,48 +83,66 @@ def shown_bytes() -> list[str]:
     return [chr(b) if b in printed else chr(next(spare)) for b in range(256)]
 
 
+def laid(values: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that ``chosen`` numbers, one after the other, and where each ends. Run i has sizes[i] values."""
+    taken = sizes[chosen]
+    behind = np.cumsum(taken)
+    first = (np.cumsum(sizes) - sizes)[chosen]
+    total = int(behind[-1]) if len(behind) else 0
+    at = np.arange(total, dtype=np.int32 if max(total, len(values)) < 2**31 else np.int64)
+    at += np.repeat((first - (behind - taken)).astype(at.dtype), taken)
+    return values[at], behind
+
+
 class WordIds(dict):
-    """Ids of words as little-endian 32-bit numbers, asked of the library once per word.
+    """Ids of pieces of words as little-endian 32-bit numbers, asked of the library while they are remembered once.
 
     The tokenizer must split at white space and drop it, as its normaliser and pre-tokeniser show; then
     the ids of a text are those of its words, one after the other. Plain words are split further, and the model is
-    asked for their pieces, which far more words share.
+    asked for their pieces, which far more words share. Of what it remembers it forgets the half that was not asked for lately.
     """
 
     def __init__(self, library):
         super().__init__()
-        self.library = library
+        self.library, self.model = library, library.model
         self.special = [t.content for t in library.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.table = shown_bytes()
+        self.plain = re.compile(PLAIN)
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED // 2:
+            self.earlier = dict(self)
+            self.clear()
+        found = self.earlier.get(piece)
         if found is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            shown = piece if piece.isascii() else "".join([self.table[b] for b in piece.encode()])
-            found = self.pieces[piece] = np.array([t.id for t in self.library.model.tokenize(shown)], "<u4").tobytes()
+            if self.plain.match(piece):
+                shown = piece if piece.isascii() else "".join([self.table[b] for b in piece.encode()])
+                ids = [t.id for t in self.model.tokenize(shown)]
+            else:
+                ids = self.library.encode(piece, add_special_tokens=False).ids
+            found = np.array(ids, "<u4").tobytes()
+        self[piece] = found
         return found
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        pieces = PIECES.findall(word.lower()) if PLAIN.fullmatch(word) else None
-        if pieces is None:
-            found = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            found = self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
-        self[word] = found
-        return found
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one after the other, and how many each has."""
+        apart = pc.ascii_rtrim(pc.replace_substring_regex(pc.utf8_lower(words), PIECES, "\\1 "), " ")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(words, PLAIN), apart, words))
+        coded = split.flatten().dictionary_encode()
+        found = [self[p] if p else b"" for p in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, behind = laid(np.frombuffer(b"".join(found), "<u4"), sizes, coded.indices.to_numpy())
+        return ids, np.diff(np.append(0, behind)[split.offsets.to_numpy()])
 
     def of_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has.
 
-        Arrow splits the texts at white space and numbers their different words; Python sees each different word once.
+        Arrow splits the texts at white space, numbers their different words and splits those into pieces; Python sees each
+        different piece once.
         """
         strange = {
-            i: np.array(self.library.encode(t.as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+            i: np.array(self.library.encode(t.as_py(), add_special_tokens=False).ids, "<u4")
             for special in self.special for i in pc.indices_nonzero(pc.match_substring(texts, special)).to_pylist() for t in [texts[i]]
         }
         if strange:
@@ -131,22 +150,14 @@ class WordIds(dict):
             blank[list(strange)] = True
             texts = pc.if_else(pa.array(blank), "", texts)
         split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        per_text = np.diff(split.offsets.to_numpy())
-        words = coded.indices.to_numpy()
-        found = [self[w] if w else b"" for w in coded.dictionary.to_pylist()]  # white space at an end leaves an empty word
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), "<u4")
-        taken = sizes[words] if len(words) else np.zeros(0, np.int64)
-        behind = np.cumsum(taken)
-        first = (np.cumsum(sizes) - sizes)[words] if len(words) else taken
-        flat = ids[np.repeat(first - (behind - taken), taken) + np.arange(behind[-1] if len(behind) else 0)]
-        edges = np.concatenate([[0], behind])[np.concatenate([[0], np.cumsum(per_text)])]
+        coded = split.flatten().dictionary_encode()  # white space at an end leaves an empty word
+        flat, behind = laid(*self._of_words(coded.dictionary), coded.indices.to_numpy())
+        edges = np.append(0, behind)[split.offsets.to_numpy()]
         counts = np.diff(edges)
         if strange:
             parts = [flat[a:b] for a, b in zip(edges, edges[1:])]
             for i, found_ids in strange.items():
-                parts[i] = np.frombuffer(found_ids, "<u4")
+                parts[i] = found_ids
             flat, counts = np.concatenate(parts), np.array([len(x) for x in parts])
         return flat, counts
 

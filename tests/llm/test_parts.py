@@ -183,3 +183,21 @@ def test_shared_words_share_a_fingerprint():
         a = [random.randint(1, 9) for _ in range(5)] + common + [random.randint(1, 9) for _ in range(5)]
         b = common + [random.randint(1, 9) for _ in range(3)]
         assert set(licenses.winnowed(np.array(a, np.uint64))[0]) & set(licenses.winnowed(np.array(b, np.uint64))[0])
+
+
+def test_remembered_ids_are_few_and_right(monkeypatch):
+    """Words of shared and of own pieces, far more of them than are remembered, many texts at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "REMEMBERED", 40)
+    library = token_files.tokenizer(BYTES)
+    ids = token_files.WordIds(library)
+    texts = [
+        "Straße ÉTÉ été Été, don't DON'T it's 12345 a-b-c ... x1y2 ×÷ ß ÿ é́ 日本 \x1c  [a] end-", "", "  ", "<|endoftext|> in a text",
+        *[" ".join(f"Word{i}{'abc'[i % 3] * (i % 5)}, {i}x{i * 7}" for i in range(k, k + 30)) for k in range(0, 300, 20)],
+    ]
+    for _ in range(2):
+        flat, counts = ids.of_many(pa.array(texts, pa.large_string()))
+        assert [len(library.encode(t, add_special_tokens=False).ids) for t in texts] == list(counts)
+        assert [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] == flat.tolist()
+        assert len(ids) + len(ids.earlier) <= 40
